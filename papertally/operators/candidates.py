@@ -173,3 +173,19 @@ def fetch_candidates(
             hits = top_rows(hits, ["doc"], [F.col("fetch_pos"), F.col("name")], query_cap, "_n").drop("_n")
         fetched.append(hits)
     return cap_per_document(union_first(fetched), document_cap)
+
+
+def contains_every(refs: DataFrame, target: DataFrame, field: str, key: str = "name") -> DataFrame:
+    """Records whose field holds all the values of a document.
+
+    This is the meaning of an expanded LIKE inside ``filters``: (doc, key).
+    """
+    wanted = refs.select("doc", "value").distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("_wanted"))
+    hits = contains_join(refs.select("doc", "value").distinct(), target.select(key, field), field, key)
+    return (
+        hits.groupBy("doc", key)
+        .agg(F.count_distinct("value").alias("_n"))
+        .join(wanted, "doc")
+        .where(F.col("_n") == F.col("_wanted"))
+        .select("doc", key)
+    )

@@ -66,7 +66,8 @@ def upsert_mappings(mappings: DataFrame, confirmations: DataFrame) -> DataFrame:
         F.col("confidence").cast("double").alias("confidence"),
     )
     fresh = confirmations.where(
-        (F.coalesce("supplier", F.lit("")) != "") & (F.coalesce("item_code", F.lit("")) != "")
+        (F.coalesce("supplier", F.lit("")) != "")
+        & (F.coalesce(F.col("item_code").cast("string"), F.lit("")) != "")
     ).select(
         *SCOPE,
         text_key(F.col("printed_text")).alias("normalized_text"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from papertally.functions.positions import keep_first, top_rows
 from papertally.operators.candidates import eligible
-from papertally.operators.references import Rule, reference_hits
+from papertally.operators.references import Rule
 
 # Default scores, answer threshold, text lengths.
 BASE_SCORE = 0.4
@@ -26,28 +26,57 @@ def _rule_scores(rules: Sequence[Rule]) -> Column:
 
 
 def corroborated(
-    refs: DataFrame, cands: DataFrame, rules: Sequence[Rule], for_gate: bool = False, suffix_autoapply: bool = False
+    cands: DataFrame, hits: DataFrame, rules: Sequence[Rule], for_gate: bool = False, suffix_autoapply: bool = False
 ) -> DataFrame:
     """(doc, name, corroborated): does any rule link the record to the document?
 
     Null for every row when there are no rules. For an automatic write a
     trailing number alone does not count unless ``suffix_autoapply`` is set.
+    ``hits`` is :func:`papertally.operators.references.reference_hits`.
     """
     pairs = cands.select("doc", "name").distinct()
     if not rules:
         return pairs.withColumn("corroborated", F.lit(None).cast("boolean"))
-    hits = reference_hits(refs, cands, rules)
+    linked = hits.where(F.col("name").isNotNull())
     if for_gate and not suffix_autoapply:
-        hits = hits.where(F.col("mode") == "exact")
-    linked = hits.select("doc", "name").distinct().withColumn("_hit", F.lit(True))
+        linked = linked.where(F.col("mode") == "exact")
+    linked = linked.select("doc", "name").distinct().withColumn("_hit", F.lit(True))
     return pairs.join(linked, ["doc", "name"], "left").select(
         "doc", "name", F.coalesce("_hit", F.lit(False)).alias("corroborated")
     )
 
 
+def evidence(hits: DataFrame, rules: Sequence[Rule], base_score: float = BASE_SCORE) -> DataFrame:
+    """(doc, name, confidence, matched_value, via, kind, mode): the rule that
+    scores each record, in one aggregate.
+
+    Rules apply in order: a trailing number raises the score if it is higher
+    (the earliest rule among equals), the first exact rule sets it and ends the
+    scan. Of several values that fit the rule the first one in the document
+    counts; for an exact rule it is the record's own text.
+    """
+    row = F.struct(_rule_scores(rules).alias("score"), "value", "via", "kind", "mode")
+    exact = F.col("mode") == "exact"
+    raises = (F.col("mode") == "suffix") & (_rule_scores(rules) > base_score)
+    first = F.struct("rule_ord", "pos", "value")
+    best = F.struct((-_rule_scores(rules)).alias("s"), "rule_ord", "pos", "value")
+    return (
+        hits.where(F.col("name").isNotNull())
+        .groupBy("doc", "name")
+        .agg(
+            F.coalesce(
+                F.min_by(F.when(exact, row), F.when(exact, first)), F.min_by(F.when(raises, row), F.when(raises, best))
+            ).alias("_e")
+        )
+        .where(F.col("_e").isNotNull())
+        .select("doc", "name", "_e.*")
+        .withColumnsRenamed({"score": "confidence", "value": "matched_value"})
+    )
+
+
 def scored_candidates(
-    refs: DataFrame,
     cands: DataFrame,
+    hits: DataFrame,
     rules: Sequence[Rule],
     base_score: float = BASE_SCORE,
     rank_field: str | None = None,
@@ -58,50 +87,34 @@ def scored_candidates(
     """(doc, name, confidence, reason, matched_value, matched_field, rank_text,
     fetch_pos): candidates with the evidence that supports them.
 
-    Rules apply in order: a trailing number raises the score if it is higher,
-    the first exact rule sets it and ends the scan. Rows with evidence are all
-    kept; rows without are cut to ``context_rows`` and to what ``limit`` leaves.
+    Rows with evidence are all kept; rows without are cut to ``context_rows``
+    and to what ``limit`` leaves.
     """
     base = base_score or BASE_SCORE
-    hits = reference_hits(refs, cands, rules).withColumn("_score", _rule_scores(rules))
-    # the value that answers a rule is the first one in the document; an exact
-    # rule answers with the record's own text, which is that same value
-    answered = hits.groupBy("doc", "name", "rule_ord", "mode", "via", "kind", "_score").agg(
-        F.min_by("value", F.struct("pos", "value")).alias("value")
-    )
-    row = F.struct("_score", "value", "via", "kind", "mode")
-    best = answered.groupBy("doc", "name").agg(
-        F.min_by(F.when(F.col("mode") == "exact", row), F.when(F.col("mode") == "exact", F.col("rule_ord"))).alias(
-            "_exact"
-        ),
-        # highest score above the base; the earliest rule among equals
-        F.max_by(
-            F.when((F.col("mode") == "suffix") & (F.col("_score") > base), row),
-            F.when(
-                (F.col("mode") == "suffix") & (F.col("_score") > base),
-                F.struct("_score", (-F.col("rule_ord")).alias("o")),
-            ),
-        ).alias("_suffix"),
-    )
+    found = evidence(hits, rules, base)
+    how = "left" if context_rows > 0 else "inner"
     rank_text = F.coalesce(F.col(rank_field).cast("string"), F.lit("")) if rank_field else F.lit("")
     listed = cands.select("doc", "name", "fetch_pos", rank_text.alias("rank_text"))
-    evidence = F.coalesce("_exact", "_suffix")
-    said = F.when(
-        F.col("_e.mode") == "exact",
-        F.concat(F.lit("exact "), F.col("_e.via"), F.lit(" matches the document's "), F.col("_e.kind")),
-    ).otherwise(F.concat(F.col("_e.via"), F.lit(" ends with the document's "), F.col("_e.kind")))
-    scored = (
-        listed.join(best.select("doc", "name", evidence.alias("_e")), ["doc", "name"], "left")
-        .select(
-            "doc",
-            "name",
-            F.coalesce("_e._score", F.lit(float(base))).alias("confidence"),
-            F.when(F.col("_e").isNotNull(), said).otherwise(F.lit("matches the candidate search")).alias("reason"),
-            F.col("_e.value").alias("matched_value"),
-            F.col("_e.via").alias("matched_field"),
-            "rank_text",
-            "fetch_pos",
+    said = (
+        F.when(
+            F.col("mode") == "exact",
+            F.concat(F.lit("exact "), F.col("via"), F.lit(" matches the document's "), F.col("kind")),
         )
+        .when(
+            F.col("mode") == "suffix",
+            F.concat(F.col("via"), F.lit(" ends with the document's "), F.col("kind")),
+        )
+        .otherwise(F.lit("matches the candidate search"))
+    )
+    scored = listed.join(found, ["doc", "name"], how).select(
+        "doc",
+        "name",
+        F.coalesce("confidence", F.lit(float(base))).alias("confidence"),
+        said.alias("reason"),
+        "matched_value",
+        F.col("via").alias("matched_field"),
+        "rank_text",
+        "fetch_pos",
     )
     strong = scored.where(F.col("matched_value").isNotNull())
     if context_rows <= 0:

@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papertally.functions.text import blank_to_null, trailing_digits
-from papertally.operators.candidates import richest_kind
 
 
 @dataclass(frozen=True)
@@ -99,67 +98,65 @@ def keyed_candidates(cands: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def reference_hits(refs: DataFrame, cands: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """(doc, kind, value, pos, mode, name, via, rule_ord): every reference with
-    every record it matches, by one equi-join on (doc, kind, mode, key)."""
-    modes = {}
+    every record it matches, by one equi-join on (doc, kind, mode, key).
+
+    A reference without any match keeps one row without ``name``. The other
+    functions of this module and of ``matching`` all work on this table; write
+    it once (:func:`papertally.session.written`) when several of them are used.
+    """
+    modes: dict[str, list[str]] = {}
     for r in rules:
-        modes.setdefault(r.source, {}).setdefault(r.mode, None)
-    asked = F.array(*[F.lit(m) for m in ("exact", "suffix")])
-    wanted = [f"{kind}|{mode}" for kind, ms in modes.items() for mode in ms]
+        if r.mode not in modes.setdefault(r.source, []):
+            modes[r.source].append(r.mode)
+    asked = F.element_at(
+        F.create_map(*[x for k, ms in modes.items() for x in (F.lit(k), F.array(*[F.lit(m) for m in ms]))]), F.col("kind")
+    )
     left = (
         refs.where(F.col("kind").isin(list(modes)))
         .withColumn("mode", F.explode(asked))
-        .where(F.concat_ws("|", "kind", "mode").isin(wanted))
         .withColumn("key", match_key_of(F.col("value"), F.col("mode")))
-        .where(F.col("key").isNotNull())
     )
-    return left.join(keyed_candidates(cands, rules), ["doc", "kind", "mode", "key"]).drop("key")
+    return left.join(keyed_candidates(cands, rules), ["doc", "kind", "mode", "key"], "left").drop("key")
 
 
-def resolve_references(
-    refs: DataFrame, cands: DataFrame, rules: Sequence[Rule]
-) -> DataFrame:
+def resolve_references(hits: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """(doc, kind, value, pos, kind_ord, n_exact, n_suffix, target, strength,
-    via, status): one row per reference value.
+    via, status): one row per reference value, from :func:`reference_hits`.
 
     A value with exactly one exact record is proven; with several it is a
     ``duplicate``. Others fall back on trailing numbers: ``paired`` with a
     proven record, else a lone ``suffix`` record, else ``ambiguous``.
     """
     kinds = _kind_order(rules)
-    own = refs.where(F.col("kind").isin(list(kinds)))
-    hits = reference_hits(own, cands, rules)
+    keys = ["doc", "kind", "value"]
     # a record may match by several fields of one mode: the first field counts
-    names = hits.groupBy("doc", "kind", "value", "mode", "name").agg(
-        F.min_by("via", "rule_ord").alias("via")
-    )
-    exact = (
-        names.where(F.col("mode") == "exact")
-        .groupBy("doc", "kind", "value")
-        .agg(
-            F.count(F.lit(1)).alias("n_exact"),
-            F.min(F.struct("name", "via")).alias("_exact"),
-        )
+    names = hits.groupBy(*keys, "mode", "name").agg(F.min_by("via", "rule_ord").alias("via"), F.min("pos").alias("pos"))
+    proven = (
+        names.where((F.col("mode") == "exact") & F.col("name").isNotNull())
+        .groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name"))
+        .where(F.col("n") == 1)
+        .select("doc", "name", F.lit(True).alias("_proven"))
+        .distinct()
     )
-    proven = exact.where(F.col("n_exact") == 1).select("doc", F.col("_exact.name").alias("name")).distinct()
-    suffix = (
-        names.where(F.col("mode") == "suffix")
-        .join(proven.withColumn("_proven", F.lit(True)), ["doc", "name"], "left")
-        .groupBy("doc", "kind", "value")
-        .agg(
-            F.count(F.lit(1)).alias("n_suffix"),
-            F.min(F.struct("name", "via")).alias("_suffix"),
-            F.count("_proven").alias("n_paired"),
-            F.min(F.when(F.col("_proven"), F.struct("name", "via"))).alias("_paired"),
-        )
+    marked = names.join(proven, ["doc", "name"], "left")
+    record = F.when(F.col("name").isNotNull(), F.struct("name", "via"))
+    exact, suffix = F.col("mode") == "exact", F.col("mode") == "suffix"
+    counted = marked.groupBy(*keys).agg(
+        F.min("pos").alias("pos"),
+        F.count(F.when(exact, F.col("name"))).alias("n_exact"),
+        F.count(F.when(suffix, F.col("name"))).alias("n_suffix"),
+        F.count(F.when(suffix, F.col("_proven"))).alias("n_paired"),
+        F.min(F.when(exact, record)).alias("_exact"),
+        F.min(F.when(suffix, record)).alias("_suffix"),
+        F.min(F.when(suffix & F.col("_proven"), record)).alias("_paired"),
     )
-    both = own.join(exact, ["doc", "kind", "value"], "left").join(suffix, ["doc", "kind", "value"], "left")
-    n_exact, n_suffix = F.coalesce("n_exact", F.lit(0)), F.coalesce("n_suffix", F.lit(0))
     status = (
-        F.when(n_exact == 1, "exact")
-        .when(n_exact > 1, "duplicate")
-        .when(F.coalesce("n_paired", F.lit(0)) == 1, "paired")
-        .when(n_suffix == 1, "suffix")
-        .when(n_suffix > 1, "ambiguous")
+        F.when(F.col("n_exact") == 1, "exact")
+        .when(F.col("n_exact") > 1, "duplicate")
+        .when(F.col("n_paired") == 1, "paired")
+        .when(F.col("n_suffix") == 1, "suffix")
+        .when(F.col("n_suffix") > 1, "ambiguous")
         .otherwise("unresolved")
     )
     chosen = (
@@ -168,16 +165,14 @@ def resolve_references(
         .when(F.col("status") == "suffix", F.col("_suffix"))
     )
     return (
-        both.withColumn("status", status)
+        counted.withColumn("status", status)
         .withColumn("_chosen", chosen)
         .select(
-            "doc",
-            "kind",
-            "value",
+            *keys,
             "pos",
             _lookup(kinds, F.col("kind")).alias("kind_ord"),
-            n_exact.alias("n_exact"),
-            n_suffix.alias("n_suffix"),
+            "n_exact",
+            "n_suffix",
             F.col("_chosen.name").alias("target"),
             F.when(F.col("status").isin("exact", "paired", "suffix"), F.col("status")).alias("strength"),
             F.col("_chosen.via").alias("via"),
@@ -186,11 +181,22 @@ def resolve_references(
     )
 
 
-def consistency(resolutions: DataFrame, refs: DataFrame, detect_conflicts: bool = True) -> DataFrame:
-    """(doc, expected, n_union, n_ambiguous, n_duplicate, conflict) per document
-    that has references; empty when detection is switched off."""
-    if not detect_conflicts:
-        resolutions = resolutions.limit(0)
+def consistency(resolutions: DataFrame) -> DataFrame:
+    """(doc, expected, n_union, n_ambiguous, n_duplicate, conflict) per document.
+
+    Each value has one row in ``resolutions``, so the richest kind is counted
+    there too.
+    """
+    by_kind = (
+        resolutions.groupBy("doc", "kind")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("status") == "ambiguous").alias("a"),
+            F.count_if(F.col("status") == "duplicate").alias("d"),
+        )
+        .groupBy("doc")
+        .agg(F.max("n").alias("expected"), F.sum("a").alias("n_ambiguous"), F.sum("d").alias("n_duplicate"))
+    )
     claimed = (
         resolutions.where(F.col("target").isNotNull())
         .select("doc", "target")
@@ -198,44 +204,30 @@ def consistency(resolutions: DataFrame, refs: DataFrame, detect_conflicts: bool
         .groupBy("doc")
         .agg(F.count(F.lit(1)).alias("n_union"))
     )
-    flags = resolutions.groupBy("doc").agg(
-        F.count_if(F.col("status") == "ambiguous").alias("n_ambiguous"),
-        F.count_if(F.col("status") == "duplicate").alias("n_duplicate"),
-    )
     n_union = F.coalesce("n_union", F.lit(0))
-    return (
-        flags.join(richest_kind(refs), "doc")
-        .join(claimed, "doc", "left")
-        .select(
-            "doc",
-            "expected",
-            n_union.alias("n_union"),
-            "n_ambiguous",
-            "n_duplicate",
-            ((n_union > F.col("expected")) | (F.col("n_duplicate") > 0)).alias("conflict"),
-        )
+    return by_kind.join(claimed, "doc", "left").select(
+        "doc",
+        "expected",
+        n_union.alias("n_union"),
+        "n_ambiguous",
+        "n_duplicate",
+        ((n_union > F.col("expected")) | (F.col("n_duplicate") > 0)).alias("conflict"),
     )
 
 
-def issue_targets(resolutions: DataFrame, refs: DataFrame, cands: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def issue_targets(resolutions: DataFrame, hits: DataFrame) -> DataFrame:
     """(doc, kind, value, type, name): the records behind each ambiguous or
     duplicate reference, one row each."""
+    duplicate = F.col("status") == "duplicate"
     troubled = resolutions.where(F.col("status").isin("ambiguous", "duplicate")).select(
-        "doc", "kind", "value", "status"
-    )
-    hits = reference_hits(refs, cands, rules).select("doc", "kind", "value", "mode", "name").distinct()
-    mode = F.when(F.col("status") == "duplicate", "exact").otherwise("suffix")
-    return (
-        troubled.withColumn("mode", mode)
-        .join(hits, ["doc", "kind", "value", "mode"])
-        .select(
-            "doc",
-            "kind",
-            "value",
-            F.when(F.col("status") == "duplicate", "conflict").otherwise("ambiguous").alias("type"),
-            "name",
-        )
+        "doc",
+        "kind",
+        "value",
+        F.when(duplicate, "exact").otherwise("suffix").alias("mode"),
+        F.when(duplicate, "conflict").otherwise("ambiguous").alias("type"),
     )
+    named = hits.where(F.col("name").isNotNull()).select("doc", "kind", "value", "mode", "name")
+    return named.join(troubled, ["doc", "kind", "value", "mode"]).select("doc", "kind", "value", "type", "name").distinct()
 
 
 def issues(

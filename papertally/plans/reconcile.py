@@ -15,6 +15,7 @@ from papertally.operators import matching as M
 from papertally.operators import quality as Q
 from papertally.operators import references as R
 from papertally.plans.settings import MatchSettings
+from papertally.session import written
 
 
 @dataclass(frozen=True)
@@ -28,9 +29,11 @@ class Checks:
 class Resolution:
     refs: DataFrame
     candidates: DataFrame
+    hits: DataFrame
     resolutions: DataFrame
     consistency: DataFrame
     scored: DataFrame
+    gate: DataFrame
     applied: DataFrame
     coverage: DataFrame
 
@@ -76,9 +79,13 @@ def check_items(
 
 def check_conflict(refs: DataFrame, target: DataFrame, settings: MatchSettings) -> DataFrame:
     """Fetch candidates and test the references of each document."""
-    cands = C.fetch_candidates(refs, target, settings.queries)
-    resolutions = R.resolve_references(refs, cands, settings.rules)
-    return R.consistency(resolutions, refs, settings.detect_conflicts)
+    hits = written(R.reference_hits(refs, C.fetch_candidates(refs, target, settings.queries), settings.rules))
+    return R.consistency(_resolutions(hits, settings))
+
+
+def _resolutions(hits: DataFrame, settings: MatchSettings) -> DataFrame:
+    resolutions = R.resolve_references(hits, settings.rules)
+    return resolutions if settings.detect_conflicts else resolutions.where(F.lit(False))
 
 
 def resolve_documents(
@@ -91,26 +98,27 @@ def resolve_documents(
 ) -> Resolution:
     """Candidates, agreement of references, and what is applied on proof.
 
-    ``context``: (doc, context_from, context_to).
+    ``context``: (doc, context_from, context_to). The candidates and their
+    hits, which every later step reads, are written once (two actions).
     """
     sources = list(dict.fromkeys(r.source for r in settings.rules))
     own = refs.where(F.col("kind").isin(sources))
-    cands = C.fetch_candidates(refs, target, settings.queries, query_cap, document_cap)
-    resolutions = R.resolve_references(own, cands, settings.rules)
-    if not settings.detect_conflicts:
-        resolutions = resolutions.limit(0)
-    verdicts = R.consistency(resolutions, own)
+    cands = written(C.fetch_candidates(refs, target, settings.queries, query_cap, document_cap))
+    hits = written(R.reference_hits(own, cands, settings.rules))
+    resolutions = written(_resolutions(hits, settings))
+    verdicts = R.consistency(resolutions)
     scored = M.scored_candidates(
-        own, cands, settings.rules, settings.base_score, settings.rank_field,
+        cands, hits, settings.rules, settings.base_score, settings.rank_field,
         settings.rank_desc, settings.context_rows, settings.limit,
     )
-    strict = M.corroborated(own, cands, settings.rules, True, settings.suffix_autoapply)
-    tied = R.issue_targets(resolutions, own, cands, settings.rules)
+    strict = M.corroborated(cands, hits, settings.rules, True, settings.suffix_autoapply)
+    tied = R.issue_targets(resolutions, hits)
     gate = M.write_gate(
         cands, strict, verdicts, tied, context, settings.eligibility_field, configured=bool(settings.rules)
     )
     applied = M.apply_list(scored, gate)
-    return Resolution(own, cands, resolutions, verdicts, scored, applied, M.coverage(applied, own))
+    values = resolutions if settings.detect_conflicts else own
+    return Resolution(own, cands, hits, resolutions, verdicts, scored, gate, applied, M.coverage(applied, values))
 
 
 def fill_in_candidates(waiting: DataFrame, refs: DataFrame, target: DataFrame, settings: MatchSettings) -> DataFrame:

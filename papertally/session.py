@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,15 +29,28 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder (this is an action).
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; only where it
+    names none (tests) a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    global _TEMPORARY
+    if _TEMPORARY is None:
+        _TEMPORARY = tempfile.mkdtemp(prefix="papertally-")
+    return _TEMPORARY
 
-    The folder named by the cluster in ``spark.checkpoint.dir`` is used; only
-    where none is set (tests) does this fall back to a temporary one.
+
+_TEMPORARY: str | None = None
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table written to the shared folder (this is an action).
+
+    For results that several later steps read: they are computed once, survive
+    the loss of executors, and later plans know their size.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="papertally-ckpt-"))
-    return df.checkpoint()
+    path = f"{_shared_folder(spark).rstrip('/')}/papertally/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

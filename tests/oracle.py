@@ -88,9 +88,9 @@ def main() -> int:
             else:
                 problem, said = None, f"rows {df.count()}"
         except Exception as exc:  # report and go on with the next query
-            problem, said = exc, f"ERROR {str(exc)[:900]}"
+            problem, said = exc, f"ERROR {str(exc)[:500]}"
         bad += problem is not None
-        print(f"{name}: {said} ({time.time() - start:.1f}s)", flush=True)
+        print(f"\n{name}: {said} ({time.time() - start:.1f}s)", flush=True)
     print(f"{len(names) - bad} of {len(names)} fine")
     return 1 if bad else 0
 
