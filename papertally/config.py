@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -24,3 +24,23 @@ def config_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Dat
     return spark.createDataFrame(table).select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields]
     )
+
+
+def _sql(value: object) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool | int | float):
+        return str(value).lower()
+    escaped = str(value).replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def literal_map(entries: Mapping[str, object]) -> Column:
+    """A constant map, written as one expression."""
+    return F.expr("map(" + ", ".join(_sql(x) for kv in entries.items() for x in kv) + ")")
+
+
+def literal_array(values: Sequence[object], element: str = "string") -> Column:
+    """A constant array, written as one expression."""
+    listed = ", ".join(_sql(v) for v in values)
+    return F.expr(f"CAST(array({listed}) AS array<{element}>)")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from papertally.config import literal_map
+
 _NUMERIC = r"\A([0-9]{1,2})[\s\-/.]+([0-9]{1,2})[\s\-/.]+([0-9]{2,4})\z"
 _NAMED = r"\A([0-9]{1,2})[\s\-/.]*([A-Za-z]{3,9})[\s\-/.,]*([0-9]{2,4})\z"
 _ISO = r"\A([0-9]{4})-([0-9]{2})-([0-9]{2})\z"
@@ -20,7 +22,7 @@ def _calendar_date(year: Column, month: Column, day: Column) -> Column:
     """ISO text of a date that exists; a two-digit year is in this century."""
     full = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(F.lpad(year, 4, "0"))
     iso = F.concat_ws("-", full, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    return F.when(full != "0000", F.try_to_date(iso, F.lit("yyyy-MM-dd")).cast("string"))
+    return F.when(full != "0000", F.try_to_date(iso, "yyyy-MM-dd").cast("string"))
 
 
 def indian_date(c: Column) -> Column:
@@ -31,8 +33,7 @@ def indian_date(c: Column) -> Column:
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract(text, pattern, group)
 
-    months = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
-    month = F.element_at(months, F.lower(F.substring(part(_NAMED, 2), 1, 3)))
+    month = F.element_at(literal_map(MONTHS), F.lower(F.substring(part(_NAMED, 2), 1, 3)))
     return (
         F.when(text.rlike(_NUMERIC), _calendar_date(part(_NUMERIC, 3), part(_NUMERIC, 2), part(_NUMERIC, 1)))
         .when(text.rlike(_NAMED), _calendar_date(part(_NAMED, 3), month, part(_NAMED, 1)))

@@ -8,6 +8,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from papertally.config import literal_map
+
 # Labels of the standard fields when a table defines none.
 STANDARD_FIELD_LABELS = {
     "creation": "Created On",
@@ -85,9 +87,7 @@ def title_case(c: Column) -> Column:
 def field_label(fieldname: Column, configured: Column, meta_label: Column) -> Column:
     """Configured label, else the table's own, else a standard one, else the
     field name in title case."""
-    standard = F.element_at(
-        F.create_map(*[F.lit(x) for kv in STANDARD_FIELD_LABELS.items() for x in kv]), fieldname
-    )
+    standard = F.element_at(literal_map(STANDARD_FIELD_LABELS), fieldname)
     return F.coalesce(
         blank_to_null(F.trim(configured)),
         blank_to_null(meta_label),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +37,14 @@ def _text(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 
 
+def _indexed(key: str) -> Callable[[Column, Column], Column]:
+    return lambda v, i: F.struct(F.lit(key).alias("key"), i.cast("int").alias("idx"), v.alias("item"))
+
+
+def _of_table(table: str) -> Callable[[Column], Column]:
+    return lambda v: F.struct(F.lit(table).alias("table"), v.alias("item"))
+
+
 def shape_items(replies: DataFrame, schema: Sequence[FieldSpec]) -> DataFrame:
     """(doc, key, idx, value, raw_text, confidence, bbox) for the schema keys.
 
@@ -57,11 +65,7 @@ def shape_items(replies: DataFrame, schema: Sequence[FieldSpec]) -> DataFrame:
                 F.try_variant_get(present, "$", "array<variant>"), F.when(~falsy, F.array(present))
             )
             kept = F.filter(listed, lambda v: v.isNotNull() & ~F.is_variant_null(v))
-            entries.append(
-                F.transform(
-                    kept, lambda v, i, k=spec.key: F.struct(F.lit(k).alias("key"), i.cast("int").alias("idx"), v.alias("item"))
-                )
-            )
+            entries.append(F.transform(kept, _indexed(spec.key)))
         else:
             one = F.struct(F.lit(spec.key).alias("key"), F.lit(None).cast("int").alias("idx"), present.alias("item"))
             entries.append(F.when(present.isNotNull(), F.array(one)))
@@ -243,7 +247,7 @@ def line_rows(replies: DataFrame, tables: Sequence[str]) -> DataFrame:
         objects = F.filter(own, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
         parts.append(
             F.coalesce(
-                F.transform(objects, lambda v, t=table: F.struct(F.lit(t).alias("table"), v.alias("item"))),
+                F.transform(objects, _of_table(table)),
                 F.array().cast("array<struct<table:string,item:variant>>"),
             )
         )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from papertally.functions.positions import keep_first, top_rows
 from papertally.operators.candidates import eligible
-from papertally.operators.references import Rule
+from papertally.operators.references import Rule, field_of
 
 # Default scores, answer threshold, text lengths.
 BASE_SCORE = 0.4
@@ -55,7 +55,7 @@ def evidence(hits: DataFrame, rules: Sequence[Rule], base_score: float = BASE_SC
     scan. Of several values that fit the rule the first one in the document
     counts; for an exact rule it is the record's own text.
     """
-    row = F.struct(_rule_scores(rules).alias("score"), "value", "via", "kind", "mode")
+    row = F.struct(_rule_scores(rules).alias("score"), "value", field_of(rules, F.col("rule_ord")).alias("via"), "kind", "mode")
     exact = F.col("mode") == "exact"
     raises = (F.col("mode") == "suffix") & (_rule_scores(rules) > base_score)
     first = F.struct("rule_ord", "pos", "value")

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papertally.config import literal_array
+
 # Permission flags in their usual order.
 PTYPES = [
     "select", "read", "write", "create", "delete", "submit", "cancel",
@@ -55,7 +57,7 @@ def effective_grants(standard: DataFrame, custom: DataFrame, skip_role: str = BO
     """(doctype, role, permlevel, ptype): every grant in force."""
     ptypes = shared_ptypes(standard, custom)
     live = _rows(standard, ptypes).join(_governed(custom), "parent", "left_anti").unionByName(_rows(custom, ptypes))
-    flags = F.map_from_arrays(F.array(*[F.lit(p) for p in ptypes]), F.array(*[F.col(p) for p in ptypes]))
+    flags = F.map_from_arrays(literal_array(ptypes), F.array(*[F.col(p) for p in ptypes]))
     granted = F.map_keys(F.map_filter(flags, lambda _, on: on != 0))
     return (
         live.where(F.col("role") != skip_role)

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papertally.config import config_frame
+from papertally.config import config_frame, literal_array, literal_map
 from papertally.functions.boxes import area, iou
 from papertally.functions.formats import normalize_by_key
 from papertally.functions.numbers import try_int
@@ -74,8 +74,7 @@ def _keys(schema: Sequence[FieldSpec], test) -> list[str]:
 
 
 def _order(schema: Sequence[FieldSpec]) -> Column:
-    pairs = [F.lit(x) for i, s in enumerate(schema) for x in (s.key, i)]
-    return F.element_at(F.create_map(*pairs), F.col("key"))
+    return F.element_at(literal_map({s.key: i for i, s in enumerate(schema)}), F.col("key"))
 
 
 def apply_formats(items: DataFrame, schema: Sequence[FieldSpec]) -> DataFrame:
@@ -96,7 +95,7 @@ def _deficiency(rows: DataFrame, kind: str, detail: Column, idx: str | None = "i
 def item_deficiencies(items: DataFrame, schema: Sequence[FieldSpec]) -> DataFrame:
     """The checks that look at one item (``format``, ``bbox_missing``,
     ``bbox_insane``) in a single pass over the items."""
-    fmt_of = F.create_map(*[F.lit(x) for s in schema for x in (s.key, s.format or "")])
+    fmt_of = literal_map({s.key: s.format or "" for s in schema})
     boxed = F.col("key").isin(_keys(schema, lambda s: s.bbox_required))
     shown = F.substring(F.concat(F.lit("'"), F.col("value"), F.lit("'")), 1, DETAIL_LENGTH)
     percent = F.round(area(F.col("bbox")) * 100).cast("int").cast("string")
@@ -136,7 +135,7 @@ def missing_required(items: DataFrame, docs: DataFrame, schema: Sequence[FieldSp
         .groupBy("doc")
         .agg(F.collect_set("key").alias("_present"))
     )
-    wanted = F.array(*[F.lit(k) for k in required]).cast("array<string>")
+    wanted = literal_array(required)
     absent = F.array_except(wanted, F.coalesce("_present", F.array().cast("array<string>")))
     rows = docs.select("doc").distinct().join(present, "doc", "left").select("doc", F.explode(absent).alias("key"))
     return _deficiency(rows, "missing_value", F.lit("required field absent"), None)
@@ -312,7 +311,7 @@ def gate(
     lists = _keys(schema, lambda s: s.kind == "array")
     scalars = _keys(schema, lambda s: s.kind != "array")
     bad = deficiencies.groupBy("doc", "key", "idx", "kind").agg(F.count(F.lit(1)).alias("n"))
-    place = F.array_position(F.array(*[F.lit(k) for k in KIND_ORDER]), F.col("kind")).alias("place")
+    place = F.array_position(literal_array(KIND_ORDER), F.col("kind")).alias("place")
     kinds = F.array_sort(F.collect_list(F.struct(place, "kind", "n")))
     per_item = bad.groupBy("doc", "key", F.coalesce("idx", F.lit(-1)).alias("_idx")).agg(kinds.alias("_kinds"))
     whole = per_item.where((F.col("_idx") == -1) & F.col("key").isin(lists)).select(
@@ -322,7 +321,7 @@ def gate(
 
     have = items.where(F.col("key").isin(scalars)).groupBy("doc").agg(F.collect_set("key").alias("_have"))
     lacking = F.array_except(
-        F.array(*[F.lit(k) for k in scalars]).cast("array<string>"),
+        literal_array(scalars),
         F.coalesce("_have", F.array().cast("array<string>")),
     )
     empty = mode.join(have, "doc", "left").select("doc", F.explode(lacking).alias("key")).select(

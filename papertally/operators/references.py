@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papertally.config import literal_map
 from papertally.functions.text import blank_to_null, trailing_digits
 
 
@@ -65,7 +66,7 @@ def _labels(rules: Sequence[Rule]) -> dict[str, str]:
 
 
 def _lookup(mapping: Mapping[str, object], key: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]), key)
+    return F.element_at(literal_map(mapping), key)
 
 
 def match_key_of(value: Column, mode: Column) -> Column:
@@ -74,14 +75,13 @@ def match_key_of(value: Column, mode: Column) -> Column:
 
 
 def keyed_candidates(cands: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(doc, name, kind, mode, key, via, rule_ord): one row per rule that has a
+    """(doc, name, kind, mode, key, rule_ord): one row per rule that has a
     key in the record, made by one narrow explode."""
     entries = F.array(
         *[
             F.struct(
                 F.lit(r.source).alias("kind"),
                 F.lit(r.mode).alias("mode"),
-                F.lit(r.target_field).alias("via"),
                 F.lit(i).alias("rule_ord"),
                 F.col(r.target_field).cast("string").alias("text"),
             )
@@ -97,7 +97,7 @@ def keyed_candidates(cands: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def reference_hits(refs: DataFrame, cands: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(doc, kind, value, pos, mode, name, via, rule_ord): every reference with
+    """(doc, kind, value, pos, mode, name, rule_ord): every reference with
     every record it matches, by one equi-join on (doc, kind, mode, key).
 
     A reference without any match keeps one row without ``name``. The other
@@ -129,8 +129,12 @@ def resolve_references(hits: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """
     kinds = _kind_order(rules)
     keys = ["doc", "kind", "value"]
-    # a record may match by several fields of one mode: the first field counts
-    names = hits.groupBy(*keys, "mode", "name").agg(F.min_by("via", "rule_ord").alias("via"), F.min("pos").alias("pos"))
+    names = hits
+    if len({(r.source, r.mode) for r in rules}) < len(rules):
+        # a record may match by several fields of one mode: the first field counts
+        names = hits.groupBy(*keys, "mode", "name").agg(
+            F.min("rule_ord").alias("rule_ord"), F.min("pos").alias("pos")
+        )
     proven = (
         names.where((F.col("mode") == "exact") & F.col("name").isNotNull())
         .groupBy(*keys)
@@ -140,7 +144,7 @@ def resolve_references(hits: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         .distinct()
     )
     marked = names.join(proven, ["doc", "name"], "left")
-    record = F.when(F.col("name").isNotNull(), F.struct("name", "via"))
+    record = F.when(F.col("name").isNotNull(), F.struct("name", "rule_ord"))
     exact, suffix = F.col("mode") == "exact", F.col("mode") == "suffix"
     counted = marked.groupBy(*keys).agg(
         F.min("pos").alias("pos"),
@@ -175,12 +179,17 @@ def resolve_references(hits: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             "n_suffix",
             F.col("_chosen.name").alias("target"),
             F.when(F.col("status").isin("exact", "paired", "suffix"), F.col("status")).alias("strength"),
-            F.col("_chosen.via").alias("via"),
+            field_of(rules, F.col("_chosen.rule_ord")).alias("via"),
             "status",
         )
     )
 
 
+def field_of(rules: Sequence[Rule], rule_ord: Column) -> Column:
+    """The record field of a rule."""
+    return F.get(F.array(*[F.lit(r.target_field) for r in rules]), rule_ord)
+
+
 def consistency(resolutions: DataFrame) -> DataFrame:
     """(doc, expected, n_union, n_ambiguous, n_duplicate, conflict) per document.
 

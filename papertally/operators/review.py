@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papertally.config import literal_map
 from papertally.functions.dates import relative_day
 from papertally.functions.positions import keep_last, top_rows
 from papertally.operators.quality import FieldSpec, filled
@@ -54,7 +55,7 @@ def without_newer_resolved(runs: DataFrame, every_run: DataFrame) -> DataFrame:
 def document_titles(items: DataFrame, schema: Sequence[FieldSpec]) -> DataFrame:
     """(doc, title): the value of the first title key, else the first value."""
     titles = [s.key for s in schema if s.is_title]
-    place = F.element_at(F.create_map(*[F.lit(x) for i, s in enumerate(schema) for x in (s.key, i)]), F.col("key"))
+    place = F.element_at(literal_map({s.key: i for i, s in enumerate(schema)}), F.col("key"))
     first = F.coalesce("idx", F.lit(0))
     titled = F.col("key").isin(titles) & (first == 0) if titles else F.lit(False)
     order = F.struct((~titled).alias("t"), place.alias("k"), first.alias("i"), "value")
