@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +40,15 @@ def literal_map(entries: Mapping[str, object]) -> Column:
     return F.expr("map(" + ", ".join(_sql(x) for kv in entries.items() for x in kv) + ")")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    A column expression is text: using a costly one several times inside another
+    computes it as often. Here it is bound to a lambda variable instead.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def literal_array(values: Sequence[object], element: str = "string") -> Column:
     """A constant array, written as one expression."""
     listed = ", ".join(_sql(v) for v in values)

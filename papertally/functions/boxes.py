@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from papertally.config import let
 from papertally.functions.numbers import flt, is_finite
 
 BOX_TYPE = "struct<x:double,y:double,w:double,h:double>"
@@ -61,18 +62,25 @@ def lenient_corners(ymin: Column, xmin: Column, ymax: Column, xmax: Column) -> C
 
 def box_from_json(text: Column, strict: bool = True) -> Column:
     """Box from ``{"x":..,"y":..,"w":..,"h":..}`` or ``[ymin,xmin,ymax,xmax]``."""
-    body = F.trim(text)
-    sides = F.from_json(body, "x string, y string, w string, h string")
-    named = [flt(sides[n]) for n in ("x", "y", "w", "h")]
-    listed = F.from_json(body, "array<string>")
-    corners = [flt(F.get(listed, F.lit(i))) for i in range(4)]
-    by_side = canonical_box(*named) if strict else F.when(
-        sides["x"].isNotNull() & sides["y"].isNotNull() & sides["w"].isNotNull() & sides["h"].isNotNull(),
-        lenient_box(*named),
-    )
-    by_corner = canonical_corners(*corners) if strict else lenient_corners(*corners)
-    return F.when(body.startswith("{"), by_side).when(
-        body.startswith("[") & (F.size(listed) == 4), by_corner
+    names = ["x", "y", "w", "h"]
+
+    def numbers(parts: list[Column]) -> Column:
+        return F.struct(*[flt(p).alias(n) for p, n in zip(parts, names)])
+
+    def by_side(sides: Column) -> Column:
+        parts = [sides[n] for n in names]
+        given = [p.isNotNull() for p in parts]
+        shape = canonical_box if strict else lenient_box
+        made = let(numbers(parts), lambda s: shape(*[s[n] for n in names]))
+        return made if strict else F.when(given[0] & given[1] & given[2] & given[3], made)
+
+    def by_corner(listed: Column) -> Column:
+        shape = canonical_corners if strict else lenient_corners
+        parts = [F.get(listed, F.lit(i)) for i in range(4)]
+        return F.when(F.size(listed) == 4, let(numbers(parts), lambda s: shape(*[s[n] for n in names])))
+
+    return F.when(text.startswith("{"), let(F.from_json(text, "x string, y string, w string, h string"), by_side)).when(
+        text.startswith("["), let(F.from_json(text, "array<string>"), by_corner)
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from papertally.config import let
 from papertally.functions.dates import indian_date
 from papertally.functions.numbers import is_finite, try_double
 from papertally.functions.text import strip_spaces
@@ -34,11 +35,14 @@ def normalize(value: Column, raw_text: Column, fmt: str | None) -> Column:
         shaped = _result(digits, F.length(digits) == int(fmt.split(":", 1)[1]))
     elif fmt == "amount":
         number = try_double(F.regexp_replace(text, r"[^0-9.\-]", ""))
-        good = F.coalesce(is_finite(number) & (F.abs(number) < 1e36), F.lit(False))
-        shaped = _result(F.when(good, amount_text(F.round(number, 2))).otherwise(text), good)
+
+        def rounded(n: Column) -> Column:
+            good = F.coalesce(is_finite(n) & (F.abs(n) < 1e36), F.lit(False))
+            return _result(F.when(good, amount_text(F.round(n, 2))).otherwise(text), good)
+
+        shaped = let(number, rounded)
     elif fmt == "date:indian-ddmmyyyy":
-        parsed = indian_date(text)
-        shaped = _result(F.coalesce(parsed, text), parsed.isNotNull())
+        shaped = let(indian_date(text), lambda day: _result(F.coalesce(day, text), day.isNotNull()))
     elif fmt.startswith("regex:"):
         pattern = fmt.split(":", 1)[1]
         shaped = _result(text, text.rlike(rf"\A(?:{pattern})\z"))

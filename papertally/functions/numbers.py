@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Texts a decimal parser accepts. Spark's own cast also takes "1d" and hex floats.
-_NUMBER = r"(?i)\A\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)\s*\z"
+_NUMBER = r"(?i)\A\s*([+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan))\s*\z"
 
 # Texts that mean "yes" in a check field.
 TRUE_WORDS = ["1", "true", "yes", "y", "on", "checked"]
@@ -19,7 +19,7 @@ BAND_MID = 0.6
 def try_double(c: Column) -> Column:
     """Double from text, null when it is not a number; thousands commas ignored."""
     text = F.replace(c.cast("string"), F.lit(","), F.lit(""))
-    return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
+    return F.regexp_extract(text, _NUMBER, 1).try_cast("double")
 
 
 def is_finite(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from papertally.config import let
+
 _FENCE = r"(?s)\A```(?:json)?\s*(.*?)\s*```\z"
 
 
@@ -16,14 +18,17 @@ def parse_reply(reply: Column) -> Column:
     brackets; commas before a closing mark are dropped only in the last two.
     """
     text = F.regexp_replace(reply, r"\A\s+|\s+\z", "")
-    body = F.when(text.rlike(_FENCE), F.regexp_extract(text, _FENCE, 1)).otherwise(text)
+    # a text that is no fence does not match and stays as it is
+    body = F.regexp_replace(text, _FENCE, "$1")
+
+    def block(body: Column, pattern: str) -> Column:
+        return F.try_parse_json(F.regexp_replace(F.regexp_extract(body, pattern, 0), r",\s*([}\]])", "$1"))
 
-    def block(pattern: str) -> Column:
-        found = F.nullif(F.regexp_extract(body, pattern, 0), F.lit(""))
-        return F.try_parse_json(F.regexp_replace(found, r",\s*([}\]])", "$1"))
+    def attempts(body: Column) -> Column:
+        return F.coalesce(F.try_parse_json(body), block(body, r"(?s)\{.*\}"), block(body, r"(?s)\[.*\]"))
 
-    parsed = F.coalesce(F.try_parse_json(body), block(r"(?s)\{.*\}"), block(r"(?s)\[.*\]"))
-    return F.when(~F.is_variant_null(parsed), parsed)
+    parsed = let(body, attempts)
+    return F.get(F.filter(F.array(parsed), lambda v: ~F.is_variant_null(v)), F.lit(0))
 
 
 def redact_images(payload: Column) -> Column:

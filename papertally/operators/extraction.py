@@ -52,37 +52,46 @@ def shape_items(replies: DataFrame, schema: Sequence[FieldSpec]) -> DataFrame:
     ignored, also inside an item. A lone value under a list key becomes a list
     of one, null entries vanish, and a bare value becomes an item of its own.
     """
+    def raw(spec: FieldSpec) -> Column:
+        found = F.try_variant_get("reply", f"$.{spec.key}", "variant")
+        return F.get(F.filter(F.array(found), lambda v: ~F.is_variant_null(v)), F.lit(0))
+
+    given = replies.select("doc", *[raw(s).alias(f"_r{i}") for i, s in enumerate(schema)])
     entries = []
-    for spec in schema:
-        path = f"$.{spec.key}"
-        raw = F.try_variant_get("reply", path, "variant")
-        present = F.when(~F.is_variant_null(raw), raw)
+    for i, spec in enumerate(schema):
+        present = F.col(f"_r{i}")
         if spec.kind == "array":
-            falsy = F.schema_of_variant(present).isin("OBJECT<>", "VOID") | F.coalesce(
-                F.try_variant_get(present, "$", "string").isin("", "false", "0"), F.lit(False)
-            )
-            listed = F.coalesce(
-                F.try_variant_get(present, "$", "array<variant>"), F.when(~falsy, F.array(present))
-            )
-            kept = F.filter(listed, lambda v: v.isNotNull() & ~F.is_variant_null(v))
+            text = F.to_json(present)
+            listed = F.try_variant_get(present, "$", "array<variant>")
+            lone = F.when(~text.isin("{}", '""', "false", "0", "0.0"), F.array(present))
+            kept = F.filter(F.coalesce(listed, lone), lambda v: v.isNotNull() & ~F.is_variant_null(v))
             entries.append(F.transform(kept, _indexed(spec.key)))
         else:
             one = F.struct(F.lit(spec.key).alias("key"), F.lit(None).cast("int").alias("idx"), present.alias("item"))
             entries.append(F.when(present.isNotNull(), F.array(one)))
-    empty = F.array().cast("array<struct<key:string,idx:int,item:variant>>")
-    every = F.concat(*[F.coalesce(e, empty) for e in entries])
-    rows = replies.select("doc", F.inline(every))
-    is_object = F.schema_of_variant("item").startswith("OBJECT")
-    value = F.when(is_object, _text(F.col("item"), "$.value")).otherwise(_text(F.col("item"), "$"))
-    raw_text = F.when(is_object, _text(F.col("item"), "$.raw_text"))
-    return rows.select(
+    empty = F.expr("CAST(array() AS array<struct<key:string,idx:int,item:variant>>)")
+    rows = given.select("doc", F.inline(F.concat(*[F.coalesce(e, empty) for e in entries])))
+    # an object has an entry for every path; anything else is a bare value
+    parts = rows.select(
+        "doc",
+        "key",
+        "idx",
+        F.schema_of_variant("item").startswith("OBJECT").alias("_object"),
+        _text(F.col("item"), "$").alias("_bare"),
+        _text(F.col("item"), "$.value").alias("_value"),
+        _text(F.col("item"), "$.raw_text").alias("_raw"),
+        _text(F.col("item"), "$.confidence").alias("_confidence"),
+        F.to_json(F.try_variant_get("item", "$.bbox", "variant")).alias("_bbox"),
+    )
+    value = F.when(F.col("_object"), F.col("_value")).otherwise(F.col("_bare"))
+    return parts.select(
         "doc",
         "key",
         "idx",
         value.alias("value"),
-        F.coalesce(blank_to_null(raw_text), value).alias("raw_text"),
-        F.when(is_object, try_double(_text(F.col("item"), "$.confidence"))).alias("confidence"),
-        F.when(is_object, box_from_json(F.to_json(F.try_variant_get("item", "$.bbox", "variant")))).alias("bbox"),
+        F.coalesce(F.when(F.col("_object"), blank_to_null(F.col("_raw"))), value).alias("raw_text"),
+        F.when(F.col("_object"), try_double(F.col("_confidence"))).alias("confidence"),
+        F.when(F.col("_object"), box_from_json(F.col("_bbox"))).alias("bbox"),
     )
 
 
@@ -210,22 +219,31 @@ def header_rows(replies: DataFrame, header: DataFrame) -> DataFrame:
         .select("doc", "fieldname", "label", "fieldtype", F.lit(None).cast("bigint").alias("pos"), F.lit(None).cast("variant").alias("item"))
     )
     rows = known.select("doc", "fieldname", "label", "fieldtype", F.col("pos").cast("bigint").alias("pos"), "item").unionByName(lacking)
-    raw = _text(F.col("item"), "$.value")
-    coerced = F.coalesce(coerce_value(F.col("fieldtype"), raw), F.lit(""))
-    box = box_from_json(F.to_json(F.try_variant_get("item", "$.bbox", "variant")), strict=False)
-    page = cint(_text(F.col("item"), "$.page"))
-    return rows.select(
+    parts = rows.select(
+        "doc",
+        "pos",
+        "fieldname",
+        "label",
+        "fieldtype",
+        _text(F.col("item"), "$.value").alias("_value"),
+        _text(F.col("item"), "$.raw_text").alias("_raw"),
+        _text(F.col("item"), "$.confidence").alias("_confidence"),
+        cint(_text(F.col("item"), "$.page")).alias("_page"),
+        F.to_json(F.try_variant_get("item", "$.bbox", "variant")).alias("_bbox"),
+    )
+    coerced = F.coalesce(coerce_value(F.col("fieldtype"), F.col("_value")), F.lit(""))
+    return parts.select(
         "doc",
         "pos",
         "fieldname",
         "label",
         "fieldtype",
         F.when(F.col("fieldtype").isin(LINK_TYPES), F.lit("")).otherwise(coerced).alias("value"),
-        F.coalesce(raw, F.lit("")).alias("llm_value"),
-        F.substring(F.coalesce(_text(F.col("item"), "$.raw_text"), F.lit("")), 1, RAW_TEXT_LENGTH).alias("llm_raw_text"),
-        flt(_text(F.col("item"), "$.confidence")).alias("confidence"),
-        box.alias("bbox"),
-        F.when(page == 0, F.lit(1)).otherwise(page).alias("source_page"),
+        F.coalesce("_value", F.lit("")).alias("llm_value"),
+        F.substring(F.coalesce("_raw", F.lit("")), 1, RAW_TEXT_LENGTH).alias("llm_raw_text"),
+        flt(F.col("_confidence")).alias("confidence"),
+        box_from_json(F.col("_bbox"), strict=False).alias("bbox"),
+        F.when(F.col("_page") == 0, F.lit(1)).otherwise(F.col("_page")).alias("source_page"),
         F.lit("Pending").alias("status"),
     )
 
@@ -259,7 +277,10 @@ def line_rows(replies: DataFrame, tables: Sequence[str]) -> DataFrame:
         texts = [blank_to_null(_text(F.col("item"), f"$.{n}")) for n in names]
         return F.substring(F.coalesce(*texts, F.lit("")), 1, length)
 
-    page = cint(_text(F.col("item"), "$.page"))
+    rows = rows.withColumn("_page", cint(_text(F.col("item"), "$.page"))).withColumn(
+        "_bbox", F.to_json(F.try_variant_get("item", "$.bbox", "variant"))
+    )
+    page = F.col("_page")
     return rows.select(
         "doc",
         "table",
@@ -273,7 +294,7 @@ def line_rows(replies: DataFrame, tables: Sequence[str]) -> DataFrame:
         flt(_text(F.col("item"), "$.amount")).alias("amount"),
         F.substring(F.to_json("item"), 1, RAW_JSON_LENGTH).alias("raw_json"),
         F.when(page == 0, F.lit(1)).otherwise(page).alias("source_page"),
-        box_from_json(F.to_json(F.try_variant_get("item", "$.bbox", "variant")), strict=False).alias("bbox"),
+        box_from_json(F.col("_bbox"), strict=False).alias("bbox"),
         F.lit("Unmatched").alias("resolution_status"),
     )
 

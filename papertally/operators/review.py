@@ -82,7 +82,7 @@ def review_queue(
         own = F.col("title")
     blank = F.lit("")
     title = F.coalesce(
-        F.nullif(own, blank), F.nullif(F.col("reference_detail"), blank), F.nullif(F.col("reference_name"), blank), "name"
+        F.nullif(own, blank), F.nullif(F.col("reference_detail"), blank), F.nullif(F.col("reference_name"), blank), F.col("name").cast("string")
     )
     return queue.withColumn("title", title)
 
