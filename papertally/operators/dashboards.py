@@ -50,6 +50,6 @@ def access_checks(requests: DataFrame, dashboards: DataFrame, listed: DataFrame)
         .when((F.col("user") == F.col("owner")) | F.col("is_manager"), yes)
         .otherwise(F.col("_l").isNotNull())
     )
-    return requests.join(boards, "name").join(on_list, ["name", "user"], "left").select(
-        "user", "name", allowed.alias("allowed")
-    )
+    joined = requests.join(boards, "name").join(on_list, ["name", "user"], "left")
+    kept = [c for c in requests.columns if c != "is_manager"]
+    return joined.select(*kept, allowed.alias("allowed"))
