@@ -108,15 +108,18 @@ def same_spot(a: Column, b: Column) -> Column:
     return F.coalesce((small > 0) & (_overlap(a, b) / small >= 0.8), F.lit(False))
 
 
-def union_box(first: Column, *more: Column) -> Column:
-    """Smallest box around several; null ones are ignored."""
-    all_boxes = [first, *more]
-    if len(all_boxes) == 1:
-        x0, y0 = first["x"], first["y"]
-        x1, y1 = first["x"] + first["w"], first["y"] + first["h"]
-    else:
-        x0 = F.least(*[b["x"] for b in all_boxes])
-        y0 = F.least(*[b["y"] for b in all_boxes])
-        x1 = F.greatest(*[b["x"] + b["w"] for b in all_boxes])
-        y1 = F.greatest(*[b["y"] + b["h"] for b in all_boxes])
-    return F.when(x0.isNotNull(), clamp_box(x0, y0, x1 - x0, y1 - y0))
+def union_of(boxes: Column) -> Column:
+    """Smallest box around an array of boxes; null ones are ignored."""
+    known = F.filter(boxes, lambda b: b.isNotNull())
+    edges = let(
+        known,
+        lambda bs: F.struct(
+            F.array_min(F.transform(bs, lambda b: b["x"])).alias("x0"),
+            F.array_min(F.transform(bs, lambda b: b["y"])).alias("y0"),
+            F.array_max(F.transform(bs, lambda b: b["x"] + b["w"])).alias("x1"),
+            F.array_max(F.transform(bs, lambda b: b["y"] + b["h"])).alias("y1"),
+        ),
+    )
+    return let(
+        edges, lambda e: F.when(e["x0"].isNotNull(), clamp_box(e["x0"], e["y0"], e["x1"] - e["x0"], e["y1"] - e["y0"]))
+    )

@@ -184,41 +184,43 @@ def labelled_rules(rules: DataFrame, meta: DataFrame) -> DataFrame:
     return joined.withColumn("label", F.coalesce(blank_to_null(F.col("label")), "_label")).drop("_label")
 
 
-def reply_fields(replies: DataFrame) -> DataFrame:
+def _entry(pos: Column, fieldname: Column, item: Column) -> Column:
+    return F.struct(pos.cast("int").alias("pos"), fieldname.alias("fieldname"), item.alias("item"))
+
+
+def reply_fields(replies: DataFrame, demanded: Column | None = None) -> DataFrame:
     """(doc, pos, fieldname, item): the ``fields`` part of each reply, given as
     a list of objects or as an object by field name; the last one of a name
-    wins and keeps the first position."""
+    wins and keeps the first position.
+
+    ``demanded``, an array of further entries at position -1 without an item,
+    adds the fields a reply lacks in the same aggregate.
+    """
     listed = F.try_variant_get("reply", "$.fields", "array<variant>")
     named = F.try_variant_get("reply", "$.fields", "map<string,variant>")
-    from_list = F.transform(
-        listed, lambda v, i: F.struct(i.alias("pos"), F.try_variant_get(v, "$.fieldname", "string").alias("fieldname"), v.alias("item"))
-    )
-    from_map = F.transform(
-        F.map_entries(named), lambda e, i: F.struct(i.alias("pos"), e["key"].alias("fieldname"), e["value"].alias("item"))
-    )
-    rows = replies.select("doc", F.inline(F.coalesce(from_list, from_map))).where(
-        (F.coalesce("fieldname", F.lit("")) != "") & F.schema_of_variant("item").startswith("OBJECT")
+    from_list = F.transform(listed, lambda v, i: _entry(i, F.try_variant_get(v, "$.fieldname", "string"), v))
+    from_map = F.transform(F.map_entries(named), lambda e, i: _entry(i, e["key"], e["value"]))
+    none = F.expr("CAST(array() AS array<struct<pos:int,fieldname:string,item:variant>>)")
+    given = F.filter(
+        F.coalesce(from_list, from_map, none),
+        lambda e: (F.coalesce(e["fieldname"], F.lit("")) != "") & F.schema_of_variant(e["item"]).startswith("OBJECT"),
     )
+    if demanded is not None:
+        given = F.concat(given, demanded)
+    rows = replies.select("doc", F.inline(given))
     # variants cannot be compared, but they can be carried by max_by
-    return rows.groupBy("doc", "fieldname").agg(F.min("pos").alias("pos"), F.max_by("item", "pos").alias("item"))
+    return rows.groupBy("doc", "fieldname").agg(
+        F.min(F.when(F.col("pos") >= 0, F.col("pos"))).alias("pos"), F.max_by("item", "pos").alias("item")
+    )
 
 
 def header_rows(replies: DataFrame, header: DataFrame) -> DataFrame:
     """Field rows of each document: known fields of the reply, and required
     fields it lacks. ``header``: (fieldname, label, fieldtype, required)."""
-    given = reply_fields(replies)
-    docs = replies.select("doc").distinct()
-    known = given.join(header, "fieldname")
-    demanded = F.collect_list(F.when(F.col("required"), F.struct("fieldname", "label", "fieldtype")))
     # the header of a target is a configuration table of a few dozen fields
-    demand = header.agg(demanded.alias("_d")).scalar()
-    lacking = (
-        docs.withColumn("_h", F.explode(demand))
-        .select("doc", "_h.*")
-        .join(given.select("doc", "fieldname"), ["doc", "fieldname"], "left_anti")
-        .select("doc", "fieldname", "label", "fieldtype", F.lit(None).cast("bigint").alias("pos"), F.lit(None).cast("variant").alias("item"))
-    )
-    rows = known.select("doc", "fieldname", "label", "fieldtype", F.col("pos").cast("bigint").alias("pos"), "item").unionByName(lacking)
+    absent = _entry(F.lit(-1), F.col("fieldname"), F.lit(None).cast("variant"))
+    demanded = header.agg(F.collect_list(F.when(F.col("required"), absent)).alias("d")).scalar()
+    rows = reply_fields(replies, demanded).join(header, "fieldname")
     parts = rows.select(
         "doc",
         "pos",
