@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from papertally.catalog.registry import Tables, query
 from papertally.functions import boxes as B
 from papertally.operators import quality as Q
+from papertally.session import written
 
 SCHEMA = [
     Q.FieldSpec("lr_number", required=True, format="strip-spaces", bbox_required=True),
@@ -122,7 +123,8 @@ _DEFICIENCIES = _ITEMS + """
 
 
 def _deficiencies(t: Tables) -> tuple[DataFrame, DataFrame]:
-    items = Q.apply_formats(receipt_items(t), SCHEMA)
+    # four checks and the gate read the items: shape them once
+    items = written(Q.apply_formats(receipt_items(t), SCHEMA))
     found = (
         Q.item_deficiencies(items, SCHEMA)
         .unionByName(Q.missing_required(items, _docs(t), SCHEMA))
@@ -157,7 +159,7 @@ _GATED = _DEFICIENCIES + """
 
 def _gate(t: Tables) -> DataFrame:
     items, found = _deficiencies(t)
-    return Q.gate(items, found, SCHEMA, _docs(t), F.col("o_orderstatus") != "O")
+    return Q.gate(items, written(found), SCHEMA, _docs(t), F.col("o_orderstatus") != "O")
 
 
 @query("gate_status", "WITH" + _GATED + "SELECT doc, key, idx, status, reason FROM gated")

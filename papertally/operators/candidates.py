@@ -141,6 +141,10 @@ QUERY_LIMIT = 40
 DOCUMENT_LIMIT = 60
 
 
+# What the records of an equi-joined key have in common.
+_KEY_OF = {"exact": blank_to_null, "suffix": trailing_digits}
+
+
 def fetch_candidates(
     refs: DataFrame,
     target: DataFrame,
@@ -156,19 +160,31 @@ def fetch_candidates(
     nothing, so no query can run over the whole table by accident. Caps are the
     reference limits (``QUERY_LIMIT``, ``DOCUMENT_LIMIT``) when asked for;
     without them the result is whole.
+
+    A document's first ``query_cap`` records are among the first ``query_cap``
+    of each of its values, so with a cap an equi-joined target is cut per key
+    before the join: a trailing number shared by a large part of the records
+    does not multiply them.
     """
     join_of = {"exact": exact_join, "suffix": suffix_join, "contains": contains_join}
     fetched = []
     for query in queries:
         condition = predicate(resolve(query.get("filters"), DocumentValues()), [])
         rows = target if condition is None else target.where(condition)
+        order = F.expr(query.get("order", "name")).cast("string")
         branches = []
         for spec in query["keys"]:
             side = refs.where(F.col("kind") == spec["from"]).select("doc", "value")
-            found = join_of[spec.get("match", "exact")](side, rows, spec["field"])
+            mode = spec.get("match", "exact")
+            near = rows
+            if query_cap is not None and mode in _KEY_OF:
+                key = _KEY_OF[mode](F.col(spec["field"]).cast("string"))
+                keyed = rows.withColumn("_cut_key", key).where(F.col("_cut_key").isNotNull())
+                near = top_rows(keyed, ["_cut_key"], [order, F.col("name")], query_cap, "_n").drop("_cut_key", "_n")
+            found = join_of[mode](side, near, spec["field"])
             branches.append(found.drop("value"))
         hits = functools.reduce(lambda a, b: a.unionByName(b), branches).dropDuplicates(["doc", "name"])
-        hits = hits.withColumn("fetch_pos", F.expr(query.get("order", "name")).cast("string"))
+        hits = hits.withColumn("fetch_pos", order)
         if query_cap is not None:
             hits = top_rows(hits, ["doc"], [F.col("fetch_pos"), F.col("name")], query_cap, "_n").drop("_n")
         fetched.append(hits)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papertally.functions.positions import top_rows
@@ -47,37 +47,45 @@ def rank_items(queries: DataFrame, items: DataFrame, k: int = TOP_ITEMS) -> Data
 
 
 def rank_items_blocked(
-    queries: DataFrame, items: DataFrame, k: int = TOP_ITEMS, query_blocks: int = 8, item_blocks: int = 64
+    queries: DataFrame, items: DataFrame, k: int = TOP_ITEMS, query_rows: int = 4000, item_rows: int = 40000
 ) -> DataFrame:
     """The same for any number of queries of one dimension.
 
-    Queries and items are hashed into blocks and meet block by block, each task
-    multiplying one query block with one item block and returning the best
-    ``k`` per query; a second top-k merges the blocks. Choose the block counts
-    so that two blocks of vectors fit a task.
+    Queries and items are hashed into blocks of about ``query_rows`` and
+    ``item_rows`` vectors, so a task's memory does not grow with the tables.
+    The blocks meet pair by pair, each task returning the best ``k`` per query;
+    a second top-k merges the blocks.
     """
-    left = queries.select(
-        "query", "vector", F.pmod(F.xxhash64("query"), F.lit(query_blocks)).cast("int").alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))).alias("ib"),
-    )
-    right = items.select(
-        "item", "vector", F.pmod(F.xxhash64("item"), F.lit(item_blocks)).cast("int").alias("ib"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"),
-    )
+
+    def blocks(df: DataFrame, rows: int) -> Column:
+        # counted by the query itself when it runs, not by an action here
+        needed = F.ceil(F.count(F.lit(1)) / rows).cast("int")
+        return df.agg(F.greatest(needed, F.lit(1)).alias("n")).scalar()
+
+    def block_of(name: str, count: str) -> Column:
+        return F.pmod(F.xxhash64(name), F.col(count)).cast("int")
+
+    counts = {"_qn": blocks(queries, query_rows), "_in": blocks(items, item_rows)}
+    every = {side: F.explode(F.sequence(F.lit(0), F.col(side) - 1)) for side in counts}
+    left = queries.withColumns(counts).select("query", "vector", block_of("query", "_qn").alias("qb"), every["_in"].alias("ib"))
+    right = items.withColumns(counts).select("item", "vector", block_of("item", "_in").alias("ib"), every["_qn"].alias("qb"))
 
     def multiply(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
         if q.empty or i.empty:
             return pd.DataFrame({"query": [], "item": [], "score": []})
         a = np.array(q["vector"].tolist(), dtype="float64")
         b = np.array(i["vector"].tolist(), dtype="float64")
-        length = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            scores = np.where(length > 0, (a @ b.T) / length, 0.0).round(SCORE_DIGITS)
+        a_length, b_length = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
         names = i["item"].to_numpy()
         out = []
         for row, query in enumerate(q["query"]):
-            best = np.lexsort((names, -scores[row]))[:k]
-            out.append(pd.DataFrame({"query": query, "item": names[best], "score": scores[row][best]}))
+            length = a_length[row] * b_length
+            scores = np.divide(b @ a[row], length, out=np.zeros(len(b)), where=length > 0).round(SCORE_DIGITS)
+            # everything that ties with the k-th score stays in until names decide
+            floor = np.partition(scores, -k)[-k] if len(scores) > k else -np.inf
+            good = np.flatnonzero(scores >= floor)
+            best = good[np.lexsort((names[good], -scores[good]))][:k]
+            out.append(pd.DataFrame({"query": query, "item": names[best], "score": scores[best]}))
         return pd.concat(out)
 
     types = f"query {queries.schema['query'].dataType.simpleString()}, item {items.schema['item'].dataType.simpleString()}, score double"

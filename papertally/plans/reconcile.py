@@ -51,7 +51,12 @@ def check_items(
     automated: Column,
     lookups: Mapping[str, tuple[DataFrame, str, str]] | None = None,
 ) -> Checks:
-    """All checks and the gate. ``lookups``: {key: (table, field, doctype)}."""
+    """All checks and the gate. ``lookups``: {key: (table, field, doctype)}.
+
+    The items, which every check reads, and the deficiencies are written once
+    (two actions); otherwise each check would parse and shape the replies again.
+    """
+    items = written(items)
     found = (
         Q.item_deficiencies(items, schema)
         .unionByName(Q.missing_required(items, docs, schema))
@@ -74,6 +79,7 @@ def check_items(
             .withColumn("cross_check", F.col("_c"))
             .drop("_i", "_c")
         )
+    found = written(found)
     return Checks(checked, found, Q.gate(checked, found, schema, docs, automated))
 
 

@@ -232,10 +232,26 @@ def test_ranking_agrees_with_blocks(spark):
     items = spark.createDataFrame(rows, "item int, vector array<float>")
     queries = items.where("item < 5").withColumnRenamed("item", "query")
     a = sorted(map(tuple, S.rank_items(queries, items).collect()))
-    b = sorted(map(tuple, S.rank_items_blocked(queries, items, query_blocks=2, item_blocks=3).collect()))
+    b = sorted(map(tuple, S.rank_items_blocked(queries, items, query_rows=2, item_rows=90).collect()))
     assert a == b and len(a) == 40
 
 
+def test_capped_fetch_equals_brute_force_on_a_hot_key(spark):
+    # two thirds of the records end in the same number
+    names = [f"P{i:03d}-{7 if i % 3 else i}" for i in range(90)]
+    target = spark.createDataFrame([(n, f"{i % 4}") for i, n in enumerate(names)], "name string, region string")
+    refs = [(d, "tail", v, p) for d in range(6) for p, v in enumerate(["7", f"x{d * 3}"])] + [(9, "tail", "none", 0)]
+    queries = [{"keys": [{"field": "name", "from": "tail", "match": "suffix"}], "order": "region"}]
+    got = C.fetch_candidates(
+        spark.createDataFrame(refs, "doc int, kind string, value string, pos int"), target, queries, query_cap=5, document_cap=4
+    )
+    expected = []
+    for d in range(6):
+        hit = [(str(i % 4), n) for i, n in enumerate(names) if int(n.split("-")[1]) in (7, d * 3)]
+        expected += [(d, n) for _, n in sorted(hit)[:5][:4]]
+    assert sorted(map(tuple, got.select("doc", "name").collect())) == sorted(expected)
+
+
 def test_plugins(spark):
     @PL.register
     class Returns(PL.ExtractionPlugin):
