@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from papertally.catalog.registry import Tables, query
 from papertally.functions import boxes as B
 from papertally.operators import quality as Q
-from papertally.session import written
+from papertally.session import spread, written
 
 SCHEMA = [
     Q.FieldSpec("lr_number", required=True, format="strip-spaces", bbox_required=True),
@@ -66,7 +66,8 @@ def receipt_items(t: Tables) -> DataFrame:
         ]
     )
     none = F.lit(None).cast("int").alias("idx")
-    fields = t.orders.select(key.alias("doc"), none, F.inline(items))
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    fields = spread(orders).select(key.alias("doc"), none, F.inline(items))
     bills = t.lineitem.groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("idx")).agg(F.min("l_partkey").alias("p"))
     text = F.concat(F.lit("B-"), F.col("p").cast("string"))
     boxed = F.when(F.col("p") % 3 != 0, B.canonical_box(F.lit(0.1), F.col("idx") / 10, F.lit(0.2), F.lit(0.05)))

@@ -56,3 +56,13 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{_shared_folder(spark).rstrip('/')}/papertally/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores when it is read in fewer pieces than there are.
+
+    A small table in one file is one task, whatever is computed from its rows.
+    A table of many files stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
