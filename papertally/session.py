@@ -31,12 +31,20 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     return spark
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; only where it
-    names none (tests) a temporary one."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``, which driver and
+    executors share.
+
+    Where none is named a session on one machine (tests) gets a temporary one;
+    on a cluster that would lose data, so it is an error there.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
-        return named
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError(
+            "spark.checkpoint.dir must name a folder that the driver and all executors share"
+        )
     global _TEMPORARY
     if _TEMPORARY is None:
         _TEMPORARY = tempfile.mkdtemp(prefix="papertally-")
@@ -46,6 +54,11 @@ def _shared_folder(spark: SparkSession) -> str:
 _TEMPORARY: str | None = None
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new, unused path in the shared folder."""
+    return f"{shared_folder(spark)}/papertally/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared folder (this is an action).
 
@@ -53,7 +66,7 @@ def written(df: DataFrame) -> DataFrame:
     the loss of executors, and later plans know their size.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark).rstrip('/')}/papertally/{uuid.uuid4().hex}"
+    path = shared_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
