@@ -43,7 +43,11 @@ def power_tables(size: int = CHUNK_BYTES) -> list[np.ndarray]:
 
 def row_key() -> Column:
     """A row by what it holds: its doc_id (null unlike any number) and digest."""
-    return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), digest())
+    return _row_of(digest())
+
+
+def _row_of(digest: Column | str) -> Column:
+    return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), digest)
 
 
 def digest() -> Column:
@@ -104,7 +108,7 @@ def unequal_groups(docs: DataFrame, marked: DataFrame, chunk_bytes: int = CHUNK_
     group = ["fingerprint", "n_bytes"]
     several = marked.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*group)
     wanted = marked.join(several, group, "left_semi").select(
-        F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), "text_sha256").alias("_key"),
+        _row_of("text_sha256").alias("_key"),
         "fingerprint",
     ).distinct()
     texts = docs.select("text", row_key().alias("_key")).join(wanted, "_key")
@@ -144,16 +148,18 @@ def duplicate_groups(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFra
 def without_copies(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``docs`` with one row of each text: the one of the largest doc_id, with
     all its columns."""
-    kept = duplicate_groups(docs, chunk_bytes).where("kept").select("doc_id", "text_sha256", "group_size")
-    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), "text_sha256")
-    kept = kept.select(key.alias("_key"))
-    rows = docs.withColumn("_key", row_key()).join(kept, "_key", "left_semi")
-    # only rows that repeat doc_id and text are still twofold; the text column
-    # need not be compared again
-    several = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    if not several.isEmpty():
-        rows = rows.dropDuplicates(["_key"])
-    return rows.drop("_key")
+    groups = duplicate_groups(docs, chunk_bytes).withColumn("row", _row_of("text_sha256"))
+    return keep_rows(docs, groups.where("kept").select("row"), groups.select("row"))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``row_key`` is a ``row`` of ``kept``, each once.
+    ``known`` has the ``row`` of every row of ``docs``."""
+    rows = docs.withColumn("_row", row_key()).join(kept.select(F.col("row").alias("_row")), "_row", "left_semi")
+    # a whole row that is repeated is still there as often; most tables have none
+    if not known.groupBy("row").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+        rows = rows.dropDuplicates(["_row"])
+    return rows.drop("_row")
 
 
 @query(

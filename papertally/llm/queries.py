@@ -1,6 +1,6 @@
 """All queries of this package, with their SQL where SQL can say it."""
 
-from papertally.llm import binary, fingerprints, media, mixing, packing, secrets, sharding, toxicity  # noqa: F401
+from papertally.llm import binary, fingerprints, jaccard, media, mixing, packing, secrets, sharding, toxicity  # noqa: F401
 from papertally.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
