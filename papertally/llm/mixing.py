@@ -68,11 +68,12 @@ def share(nodes: DataFrame) -> DataFrame:
 
 
 def leaf_budgets(
-    leaves: DataFrame, levels: Sequence[str], weights: Sequence[Column], budget: Column, max_epochs: int
+    leaves: DataFrame, levels: Sequence[str], weights: Sequence[Column], budget: Column | None, max_epochs: int
 ) -> DataFrame:
     """Budget of each leaf. ``leaves`` has the ``levels`` and ``tokens``;
     ``weights`` is one positive integer column per level, over level names;
-    ``budget`` the tokens wanted, over the sum ``tokens`` of all leaves."""
+    ``budget`` the tokens wanted, over the sum ``tokens`` of all leaves; without
+    one it is the least that gives every leaf all its tokens once."""
     depth = len(levels)
     tree = leaves.select(
         *levels,
@@ -80,7 +81,20 @@ def leaf_budgets(
         *[_node(levels, d).alias(f"_node{d}") for d in range(depth + 1)],
         *[w.cast("bigint").alias(f"_weight{d + 1}") for d, w in enumerate(weights)],
     )
-    given = tree.agg(F.sum("tokens").alias("tokens")).select(
+    if budget is None:
+        shares = tree.withColumn("_share", F.lit(1.0))
+        for d in range(1, depth + 1):
+            nodes = tree.groupBy(f"_node{d - 1}", f"_node{d}").agg(F.max(f"_weight{d}").alias("_w"))
+            part = F.col("_w") / F.sum("_w").over(Window.partitionBy(f"_node{d - 1}"))
+            shares = shares.join(nodes.select(f"_node{d}", part.alias("_part")), f"_node{d}")
+            shares = shares.withColumn("_share", F.col("_share") * F.col("_part")).drop("_part")
+        # a little more, as fractions are rounded down on the way to a leaf
+        least = F.max((F.col("tokens") + depth + 1) / F.col("_share")) * (1 + 1e-9)
+        total = shares.agg(F.ceil(least).alias("tokens"))
+        budget = F.col("tokens")
+    else:
+        total = tree.agg(F.sum("tokens").alias("tokens"))
+    given = total.select(
         F.lit("").alias("parent"), F.coalesce(budget, F.lit(0)).cast("bigint").alias("given")
     )
     for d in range(1, depth + 1):
@@ -107,7 +121,7 @@ def mix(
     docs: DataFrame,
     levels: Sequence[str],
     weights: Sequence[Column],
-    budget: Column,
+    budget: Column | None = None,
     max_epochs: int = 4,
     seed: str = "mix",
 ) -> DataFrame:
