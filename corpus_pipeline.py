@@ -16,9 +16,8 @@ from papertally.llm.packing import pack
 from papertally.llm.toxicity import without_toxic
 from papertally.session import shared_path
 
-#: Weights of the mixture; a name that is not listed has weight 1.
-LANGUAGES = {"en": 12, "de": 3, "fr": 3, "es": 2}
-SOURCES = {"src0": 9}
+#: A name weighs as its tokens to this power: small languages and sources gain.
+TEMPER = 0.85
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,17 +36,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Languages and sources by weight. The budget lets every document in once;
-    names with more weight than tokens repeat documents in further epochs."""
-
-    def weight(column: str, weights: dict[str, int]) -> F.Column:
-        chosen = F.lit(1)
-        for name, value in weights.items():
-            chosen = F.when(F.col(column) == name, value).otherwise(chosen)
-        return chosen
-
-    mixed = mix(docs, ["lang", "source"], [weight("lang", LANGUAGES), weight("source", SOURCES)], max_epochs=3)
-    return mixed.select(*docs.columns)
+    """Languages, and sources within them, by tempered weight. The budget lets
+    every document in once; names with more weight than tokens repeat documents
+    in further epochs."""
+    tempered = F.floor(F.pow("tokens", F.lit(TEMPER)))
+    return mix(docs, ["lang", "source"], [tempered, tempered], max_epochs=3).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -157,7 +157,7 @@ def index_keys(suspects: DataFrame, percent: int) -> DataFrame:
                     often = np.array([s["df"] > FREQUENT for s in shared], bool)
                     own = size_class(n, percent)
                     for size_key in (own, own + 1):
-                        salt = np.uint64(size_key) * _FACTORS[4]
+                        salt = _FACTORS[4:] * np.uint64(size_key)
                         frequent = np.sort(hashes[often])
                         part = frequent & np.uint64(parts_of(size_key, percent) - 1)
                         a, b = np.triu_indices(len(frequent), 1) if len(frequent) < 64 else _pairs_within(part)

@@ -71,7 +71,8 @@ def leaf_budgets(
     leaves: DataFrame, levels: Sequence[str], weights: Sequence[Column], budget: Column | None, max_epochs: int
 ) -> DataFrame:
     """Budget of each leaf. ``leaves`` has the ``levels`` and ``tokens``;
-    ``weights`` is one positive integer column per level, over level names;
+    ``weights`` is one integer column per level (less than 1 counts as 1), over
+    the level names down to it and the node's ``tokens``;
     ``budget`` the tokens wanted, over the sum ``tokens`` of all leaves; without
     one it is the least that gives every leaf all its tokens once."""
     depth = len(levels)
@@ -79,14 +80,19 @@ def leaf_budgets(
         *levels,
         F.col("tokens").cast("bigint"),
         *[_node(levels, d).alias(f"_node{d}") for d in range(depth + 1)],
-        *[w.cast("bigint").alias(f"_weight{d + 1}") for d, w in enumerate(weights)],
     )
+
+    def nodes_at(d: int) -> DataFrame:
+        """The nodes of a depth with their parents, tokens and weights."""
+        summed = tree.groupBy(F.col(f"_node{d - 1}").alias("parent"), F.col(f"_node{d}").alias("node"), *levels[:d])
+        nodes = summed.agg(F.sum("tokens").alias("tokens"))
+        return nodes.select("parent", "node", "tokens", F.greatest(weights[d - 1].cast("bigint"), F.lit(1)).alias("weight"))
+
     if budget is None:
         shares = tree.withColumn("_share", F.lit(1.0))
         for d in range(1, depth + 1):
-            nodes = tree.groupBy(f"_node{d - 1}", f"_node{d}").agg(F.max(f"_weight{d}").alias("_w"))
-            part = F.col("_w") / F.sum("_w").over(Window.partitionBy(f"_node{d - 1}"))
-            shares = shares.join(nodes.select(f"_node{d}", part.alias("_part")), f"_node{d}")
+            part = F.col("weight") / F.sum("weight").over(Window.partitionBy("parent"))
+            shares = shares.join(nodes_at(d).select(F.col("node").alias(f"_node{d}"), part.alias("_part")), f"_node{d}")
             shares = shares.withColumn("_share", F.col("_share") * F.col("_part")).drop("_part")
         # a little more, as fractions are rounded down on the way to a leaf
         least = F.max((F.col("tokens") + depth + 1) / F.col("_share")) * (1 + 1e-9)
@@ -98,9 +104,7 @@ def leaf_budgets(
         F.lit("").alias("parent"), F.coalesce(budget, F.lit(0)).cast("bigint").alias("given")
     )
     for d in range(1, depth + 1):
-        nodes = tree.groupBy(F.col(f"_node{d - 1}").alias("parent"), F.col(f"_node{d}").alias("node")).agg(
-            F.max(f"_weight{d}").alias("weight"), (F.sum("tokens") * max_epochs).alias("capacity")
-        )
+        nodes = nodes_at(d).withColumn("capacity", F.col("tokens") * max_epochs).drop("tokens")
         shared = share(nodes.join(given, "parent"))
         given = shared.select(F.col("node").alias("parent"), F.col("budget").alias("given"))
     return tree.withColumn("parent", F.col(f"_node{depth}")).join(given, "parent").select(
