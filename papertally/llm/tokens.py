@@ -8,14 +8,18 @@ a memo of bounded size.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
-import numpy as np
+if array("I").itemsize != 4 or sys.byteorder != "little":
+    raise ImportError("ids are kept as the machine's 32-bit integers, which must be little-endian")
 
 #: The id that ends a document.
 END_ID = 1
-#: Words of Latin letters with closing marks: their letters and marks are always
-#: cut apart, and lower case is the only change to the letters.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|$%&*#()]*)")
+#: Marks that are always cut from letters before them.
+_MARKS = ".,;:!?|$%&*#()"
+#: Letters whose lower case is one letter and whose form never changes.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def default_tokenizer() -> str:
@@ -33,47 +37,57 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder(dict):
-    """From a word (UTF-8) to its ids (little-endian unsigned 32-bit)."""
+    """From a word (UTF-8) to its ids (little-endian unsigned 32-bit).
 
-    def __init__(self, path: str, memo: int = 250_000):
+    What is remembered has two generations of ``memo`` words: when the younger
+    one is full it becomes the older one, which is forgotten. Words in use move
+    back to the younger.
+    """
+
+    def __init__(self, path: str, memo: int = 300_000):
         super().__init__()
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._model = self._tokenizer.model
-        self._memo = memo
-        self._parts: dict[str, bytes] = {}
+        self._pieces = self._tokenizer.model.tokenize
+        self._memo, self._older, self._letters, self._marks = memo, {}, {}, {}
         letters = _byte_letters()
-        plain = "".join(m for m in map(chr, range(0xC0, 0x100)) if _PLAIN.fullmatch(m))
+        plain = [c for c in map(chr, range(0xC0, 0x100)) if _LATIN.fullmatch(c)]
         self._spelled = {ord(c): "".join(letters[b] for b in c.encode()) for c in plain}
 
     def _whole(self, text: str) -> bytes:
-        ids = self._tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def _part(self, text: str, letters: bool) -> bytes:
-        found = self._parts.get(text)
-        if found is None:
-            if len(self._parts) >= self._memo:
-                self._parts.clear()
-            if letters:
-                pieces = self._model.tokenize(text.translate(self._spelled))
-                found = np.array([p.id for p in pieces], "<u4").tobytes()
-            else:
-                found = self._whole(text)
-            self._parts[text] = found
-        return found
+        return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _encoded(self, text: str) -> bytes:
+        core = text.rstrip(_MARKS)
+        if core.isascii() and core.isalpha():
+            spelled = core.lower()
+        elif _LATIN.fullmatch(core):
+            spelled = core.lower().translate(self._spelled)
+        else:
+            return self._whole(text)
+        ids = self._letters.get(spelled)
+        if ids is None:
+            if len(self._letters) >= self._memo:
+                self._letters.clear()
+            # letters alone are one piece for the vocabulary, without further steps
+            self._letters[spelled] = ids = array("I", [p.id for p in self._pieces(spelled)]).tobytes()
+        marks = text[len(core) :]
+        if not marks:
+            return ids
+        after = self._marks.get(marks)
+        if after is None:
+            if len(self._marks) >= self._memo:
+                self._marks.clear()
+            self._marks[marks] = after = self._whole(marks)
+        return ids + after
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        plain = _PLAIN.fullmatch(text)
-        if plain is None:
-            ids = self._whole(text)
-        else:
-            ids = self._part(plain[1].lower(), True)
-            if plain[2]:
-                ids += self._part(plain[2], False)
+        ids = self._older.get(word)
+        if ids is None:
+            ids = self._encoded(word.decode())
         if len(self) >= self._memo:
+            self._older = dict(self)
             self.clear()
         self[word] = ids
         return ids
@@ -93,4 +107,4 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-END = np.array([END_ID], "<u4").tobytes()
+END = array("I", [END_ID]).tobytes()
