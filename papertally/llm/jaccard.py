@@ -9,11 +9,14 @@ the frequent ones less one are more than t even if all were frequent. So two
 similar documents share an index key, whatever the frequencies are: of the one
 whose prefix ends first at most t shingles are missing in the other.
 
-Keys also carry a class of size. Documents of one key are candidates. In small
-groups all pairs are; in large ones each document meets four centres first, and
-once links have joined most of a group, only pairs across its components are
-left, all of which are verified. Copies (equal sets) are one set throughout.
-Hashes have 64 bits.
+Keys of combinations also carry a class of size. Documents of one key are
+candidates. In small groups all pairs are named, in large ones those with two
+centres. The likeliest candidates are verified first, and most families of
+candidates become one component. What could still join components is verified in
+blocks: each document outside its family's largest component against the whole
+family, some hundreds by some hundreds in a task, so that a family costs rows by
+the block and not by the pair. Copies (equal sets) are one set throughout. Hashes
+have 64 bits.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ from papertally.session import written
 
 #: A shingle in more prefixes is frequent; a key of more sets is a large group.
 FREQUENT, LARGE = 12, 4
+#: Sets of a family that meet in one task: so many against so many.
+BLOCK_OUTSIDE, BLOCK_ALL = 128, 512
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -156,6 +161,8 @@ def index_keys(suspects: DataFrame, percent: int) -> DataFrame:
                     hashes = np.array([s["h"] for s in shared], np.int64).view(np.uint64)
                     often = np.array([s["df"] > FREQUENT for s in shared], bool)
                     own = size_class(n, percent)
+                    out.append(_mixed(hashes[~often] + _FACTORS[3]))
+                    of.append(np.full(len(out[-1]), i))
                     for size_key in (own, own + 1):
                         salt = _FACTORS[4:] * np.uint64(size_key)
                         frequent = np.sort(hashes[often])
@@ -163,7 +170,7 @@ def index_keys(suspects: DataFrame, percent: int) -> DataFrame:
                         a, b = np.triu_indices(len(frequent), 1) if len(frequent) < 64 else _pairs_within(part)
                         same = part[a] == part[b]
                         pairs = frequent[a[same]] * _FACTORS[0] + frequent[b[same]] * _FACTORS[1]
-                        found = _mixed(np.concatenate((hashes[~often] + _FACTORS[3], pairs)) + salt)
+                        found = _mixed(pairs + salt)
                         out.append(found)
                         of.append(np.full(len(found), i))
                 at = pa.array(np.concatenate(of))
@@ -213,6 +220,68 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return tested.where(100 * F.col("_both") >= percent * (F.size("_a") + F.size("_b") - F.col("_both"))).select("a", "b")
 
 
+def _block_links(percent: int):
+    """For a block of sets outside (``outside`` true) and a block of all: links
+    between different labels, one for each set and label that it reaches."""
+
+    def check(group: pa.Table) -> pa.Table:
+        is_out = group.column("outside").to_numpy()
+        ids, labels = group.column("set_id").to_numpy(), group.column("label").to_numpy()
+        lists = group.column("hashes").combine_chunks()
+        ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        of = lambda i: values[ends[i] : ends[i + 1]]
+        all_ = np.flatnonzero(~is_out)
+        found: list[tuple[int, int]] = []
+        if len(all_):
+            sizes = np.array([len(of(i)) for i in all_])
+            hashes, owner = np.concatenate([of(i) for i in all_]), np.repeat(np.arange(len(all_)), sizes)
+            order = np.argsort(hashes, kind="stable")
+            hashes, owner = hashes[order], owner[order]
+            for i in np.flatnonzero(is_out):
+                mine = of(i)
+                a, b = np.searchsorted(hashes, mine), np.searchsorted(hashes, mine, "right")
+                lengths = b - a
+                at = np.repeat(a - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+                both = np.bincount(owner[at], minlength=len(all_))
+                linked = 100 * both >= percent * (len(mine) + sizes - both)
+                linked &= labels[all_] != labels[i]
+                reached = all_[np.flatnonzero(linked)]
+                _, first = np.unique(labels[reached], return_index=True)
+                found += [(int(ids[i]), int(ids[j])) for j in reached[first]]
+        return pa.table({
+            "a": pa.array([min(f) for f in found], pa.int64()), "b": pa.array([max(f) for f in found], pa.int64())
+        })
+
+    return check
+
+
+def links_across(candidates: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All that still joins components: links between sets of one family (what
+    candidates connect) with different labels."""
+    family = components(candidates).withColumnRenamed("node", "set_id").withColumnRenamed("label", "family")
+    member = written(_labelled(family, "set_id", labels, "label"))
+    counts = member.groupBy("family", "label").agg(F.count(F.lit(1)).alias("_n"))
+    split = counts.groupBy("family").agg(
+        F.count(F.lit(1)).alias("_labels"), F.max(F.struct("_n", "label")).alias("_main"), F.sum("_n").alias("_all")
+    ).where("_labels > 1")
+    blocks = split.select(
+        "family", F.col("_main.label").alias("_main"),
+        F.ceil((F.col("_all") - F.col("_main._n")) / BLOCK_OUTSIDE).alias("_x"),
+        F.ceil(F.col("_all") / BLOCK_ALL).alias("_y"),
+    )
+    dealt = member.join(blocks, "family").withColumn("_h", F.xxhash64("set_id"))
+    outside = dealt.where("label <> _main").select(
+        "family", "set_id", "label", F.lit(True).alias("outside"), F.expr("pmod(_h, _x)").alias("x"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_y") - 1)).alias("y"),
+    )
+    every = dealt.select(
+        "family", "set_id", "label", F.lit(False).alias("outside"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_x") - 1)).alias("x"), F.expr("pmod(_h, _y)").alias("y"),
+    )
+    met = outside.unionByName(every).join(sets, "set_id")
+    return met.groupBy("family", "x", "y").applyInArrow(_block_links(percent), "a bigint, b bigint").distinct()
+
+
 def _sizes_fit(a: str, b: str, percent: int) -> F.Column:
     return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
@@ -253,9 +322,7 @@ def similar_groups(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
 
     groups = keys.groupBy("key").agg(
         F.count(F.lit(1)).alias("_g"),
-        F.array_distinct(F.array(
-            F.min("set_id"), F.max("set_id"), F.min_by("set_id", F.xxhash64("set_id")), F.max_by("set_id", F.xxhash64("set_id"))
-        )).alias("_centres"),
+        F.array(F.min("set_id"), F.max("set_id")).alias("_centres"),
     ).where("_g > 1")
     grouped = written(keys.join(groups, "key"))
     small = grouped.where(F.col("_g") <= LARGE)
@@ -280,18 +347,7 @@ def similar_groups(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
     links = written(verified(first, sets, percent))
     labels = components(links)
 
-    # then what could still join two components: the other candidates, and in
-    # large groups every pair across components
-    others = candidates.select("a", "b").join(first, ["a", "b"], "left_anti")
-    large = _labelled(grouped.where(F.col("_g") > LARGE).select("key", "set_id", "n"), "set_id", labels, "label")
-    apart = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_n"))
-    main = apart.groupBy("key").agg(F.count(F.lit(1)).alias("_labels"), F.max(F.struct("_n", "label")).alias("_main"))
-    split = large.join(main.where("_labels > 1").select("key", F.col("_main.label").alias("_main")), "key")
-    x = split.where("label <> _main").select("key", F.col("set_id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-    y = split.select("key", F.col("set_id").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
-    across = x.join(y, "key").where("lx <> ly").where(_sizes_fit("nx", "ny", percent)).select(*_ordered_pair("x", "y"))
-    rest = _labelled(_labelled(others.union(across).distinct(), "a", labels, "la"), "b", labels, "lb").where("la <> lb")
-    more = written(verified(rest.select("a", "b").join(first, ["a", "b"], "left_anti"), sets, percent))
+    more = written(links_across(candidates.select("a", "b"), labels, sets, percent))
     labels = components(links.union(more))
 
     named = _labelled(known.select("doc_id", "row", "n_shingles", "set_id"), "set_id", labels, "_label")
