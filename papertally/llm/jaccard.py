@@ -10,8 +10,8 @@ similar documents share an index key, whatever the frequencies are: of the one
 whose prefix ends first at most t shingles are missing in the other.
 
 Keys of combinations also carry a class of size. Documents of one key are
-candidates. In small groups all pairs are named, in large ones those with two
-centres. The likeliest candidates are verified first, and most families of
+candidates. In small groups all pairs are named, in large ones those with one
+centre. The likeliest candidates are verified first, and most families of
 candidates become one component. What could still join components is verified in
 blocks: each document outside its family's largest component against the whole
 family, some hundreds by some hundreds in a task, so that a family costs rows by
@@ -256,10 +256,13 @@ def _block_links(percent: int):
 
 
 def links_across(candidates: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All that still joins components: links between sets of one family (what
-    candidates connect) with different labels."""
-    family = components(candidates).withColumnRenamed("node", "set_id").withColumnRenamed("label", "family")
-    member = written(_labelled(family, "set_id", labels, "label"))
+    """All that still joins components: links between sets of one family with
+    different labels. Candidates connect a family; what is linked already counts
+    as one, so the graph of families is small."""
+    named = _labelled(_labelled(candidates.select("a", "b"), "a", labels, "la"), "b", labels, "lb")
+    apart = named.where("la <> lb").select(*_ordered_pair("la", "lb")).distinct()
+    family = components(apart).select(F.col("node").alias("label"), F.col("label").alias("family"))
+    member = written(_labelled(sets.select("set_id"), "set_id", labels, "label").join(family, "label"))
     counts = member.groupBy("family", "label").agg(F.count(F.lit(1)).alias("_n"))
     split = counts.groupBy("family").agg(
         F.count(F.lit(1)).alias("_labels"), F.max(F.struct("_n", "label")).alias("_main"), F.sum("_n").alias("_all")
@@ -309,10 +312,9 @@ def similar_groups(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
     """
     known = written(document_sets(docs, words_each, percent))
     tokens = known.where(F.size("prefix") > 0).select("set_id", F.explode("prefix").alias("h"))
-    often = tokens.groupBy("h").agg(
-        F.count(F.lit(1)).alias("df"), F.min("set_id").alias("_lo"), F.max("set_id").alias("_hi")
-    )
-    shared = tokens.join(often.where("_lo <> _hi").select("h", "df"), "h")
+    # copies of a set in several tasks may count as several; their keys meet no other set
+    often = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = tokens.join(often, "h")
     by_set = shared.groupBy("set_id").agg(F.collect_set(F.struct("h", "df")).alias("shared"))
     sizes = known.where("n_shingles > 1").groupBy("set_id").agg(
         F.first("n_shingles").alias("n"), F.first("need").alias("need")
@@ -322,13 +324,13 @@ def similar_groups(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
 
     groups = keys.groupBy("key").agg(
         F.count(F.lit(1)).alias("_g"),
-        F.array(F.min("set_id"), F.max("set_id")).alias("_centres"),
+        F.min("set_id").alias("_centre"),
     ).where("_g > 1")
     grouped = written(keys.join(groups, "key"))
     small = grouped.where(F.col("_g") <= LARGE)
     one, two = small.select("key", F.col("set_id").alias("x"), F.col("n").alias("nx")), small.select("key", F.col("set_id").alias("y"), F.col("n").alias("ny"))  # noqa: E501
     within = one.join(two, "key").where("x < y").where(_sizes_fit("nx", "ny", percent)).select(*_ordered_pair("x", "y"))
-    star = grouped.where(F.col("_g") > LARGE).select(F.col("set_id").alias("x"), F.explode("_centres").alias("y"))
+    star = grouped.where(F.col("_g") > LARGE).select(F.col("set_id").alias("x"), F.col("_centre").alias("y"))
     candidates = written(
         within.union(star.where("x <> y").select(*_ordered_pair("x", "y"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys"))
     )
