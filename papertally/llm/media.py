@@ -2,7 +2,7 @@
 
 A payload is stored as a grey image (PNG, 8-bit samples, 64 to a row) that
 becomes a member of a tar shard, named by the digest of the payload. Equal
-payloads are stored once. A row needs digest, shard, offset and length alone;
+payloads are stored once, by the first row that has one. A row needs digest, shard, offset and length alone;
 its metadata columns come from reads of the image header, a few bytes each.
 """
 
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -124,46 +125,65 @@ class _Shards:
             self._out, self._count = None, self._count + 1
 
 
+def _owned(docs: DataFrame, folder: str) -> None:
+    """Decide which row stores each distinct payload: the first, by task and by
+    position in it. Written below ``folder``, a file a task."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.num_rows
+            columns = [batch.column("digest"), pa.array([task] * n, pa.int32()), pa.array(range(at, at + n), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["digest", "task", "at"])
+            at += n
+
+    rows = docs.select(payload_digest().alias("digest")).mapInArrow(placed, "digest string, task int, at bigint")
+    first = rows.groupBy("digest").agg(F.min(F.struct("task", "at")).alias("_f"))
+    owners = first.select("digest", "_f.task", "_f.at").repartition("task").sortWithinPartitions("task", "at")
+    owners.write.partitionBy("task").parquet(folder)
+
+
 def write_media(docs: DataFrame, folder: str) -> DataFrame:
     """Store the payloads of all ``docs`` (``text``) below ``folder``, which all
     executors see. Returns the index, a written table with a row per distinct
     payload: ``digest``, ``shard``, ``offset``, ``length``.
 
-    Each task hands on a payload once, and it goes to the task of its digest,
-    so a text that fills the table travels once a task. An empty table gives no
-    shards. Other columns are not read.
+    First digests alone are compared and a row is named for each payload; then
+    every task stores the payloads of its own named rows, so no text or image
+    travels. ``docs`` must give the same rows to the same tasks both times, as
+    tables do; else an error says so. An empty table gives no shards. Other
+    columns are not read.
     """
-
-    def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                names, data = [], []
-                for text in whole.column("text").slice(k, 500).to_pylist():
-                    payload = payload_of(text)
-                    name = hashlib.sha256(payload)
-                    if name.digest() not in seen:
-                        seen.add(name.digest())
-                        names.append(name.hexdigest())
-                        data.append(to_image(payload))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(data, pa.binary())], names=["digest", "image"])
+    named = f"{folder}/owners"
+    _owned(docs, named)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, last = _Shards(folder), None
+        files, base = fs.FileSystem.from_uri(named)
+        mine = f"{base}/task={TaskContext.get().partitionId()}"
+        if files.get_file_info(mine).type == fs.FileType.NotFound:
+            owned = {}
+        else:
+            rows = pq.read_table(mine, filesystem=files, columns=["digest", "at"])
+            owned = dict(zip(rows.column("at").to_pylist(), rows.column("digest").to_pylist()))
+        out, at, kinds = _Shards(folder), 0, [pa.string(), pa.string(), pa.int64(), pa.int64()]
         for batch in batches:
-            rows = []
-            for name, data in zip(batch.column("digest").to_pylist(), batch.column("image").to_pylist()):
-                if name != last:
-                    rows.append((name, *out.add(f"{name}.png", data), len(data)))
-                last = name
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
-            columns = [pa.array([r[i] for r in rows], kinds[i]) for i in range(4)]
+            found = []
+            for i, text in enumerate(batch.column("text").to_pylist(), at):
+                name = owned.pop(i, None)
+                if name is not None:
+                    payload = payload_of(text)
+                    if hashlib.sha256(payload).hexdigest() != name:
+                        raise RuntimeError("the texts of a task changed between two readings: write them to a table first")
+                    image = to_image(payload)
+                    found.append((name, *out.add(f"{name}.png", image), len(image)))
+            at += batch.num_rows
+            columns = [pa.array([r[i] for r in found], kinds[i]) for i in range(4)]
             yield pa.RecordBatch.from_arrays(columns, names=["digest", "shard", "offset", "length"])
         out.close()
+        if owned:
+            raise RuntimeError("the texts of a task changed between two readings: write them to a table first")
 
-    stored = docs.select("text").mapInArrow(images, "digest string, image binary")
-    by_digest = stored.repartition("digest").sortWithinPartitions("digest")
-    return written(by_digest.mapInArrow(shards, "digest string, shard string, offset bigint, length bigint"))
+    return written(docs.select("text").mapInArrow(shards, "digest string, shard string, offset bigint, length bigint"))
 
 
 def _by_shard(index: DataFrame) -> DataFrame:
