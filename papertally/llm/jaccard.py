@@ -40,7 +40,7 @@ from papertally.session import written
 #: A shingle in more prefixes is frequent; a key of more sets is a large group.
 FREQUENT, LARGE = 12, 4
 #: Sets of a family that meet in one task: so many against so many.
-BLOCK_OUTSIDE, BLOCK_ALL = 128, 512
+BLOCK_OUTSIDE, BLOCK_ALL = 512, 2048
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
