@@ -461,19 +461,23 @@ def line_counts(t: Tables) -> DataFrame:
 @query(
     "field_edits",
     """
-    WITH last AS (
+    WITH RECURSIVE edits AS (
       SELECT user_id AS doc, CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 = 0 THEN 'o_orderstatus' ELSE 'o_orderpriority' END AS fieldname,
-             arg_max({'v': CASE event_type WHEN 'click' THEN 'P' WHEN 'error' THEN NULL ELSE 'new' || event_id END,
-                      's': CASE event_type WHEN 'view' THEN 'Rejected' END, 'u': event_id, 't': ts}, ts) AS e
-      FROM events GROUP BY 1, 2),
+             CASE event_type WHEN 'click' THEN 'P' WHEN 'error' THEN NULL ELSE 'new' || event_id END AS v,
+             CASE event_type WHEN 'view' THEN 'Rejected' END AS s, '' || event_id AS u, ts
+      FROM events),
+    e AS (SELECT *, row_number() OVER (PARTITION BY doc, fieldname ORDER BY ts) AS n FROM edits),
     rows AS (SELECT o_orderkey AS doc, 'o_orderstatus' AS fieldname, o_orderstatus AS value FROM orders
              UNION ALL SELECT o_orderkey, 'o_orderpriority', o_orderpriority FROM orders),
-    j AS (SELECT r.doc, r.fieldname, r.value, l.e, l.e.v IS NOT NULL AND l.e.v <> r.value AS changed
-          FROM rows r LEFT JOIN last l ON l.doc = r.doc AND l.fieldname = r.fieldname)
-    SELECT doc, fieldname, CASE WHEN changed THEN e.v ELSE value END AS value,
-           CASE WHEN e.s IS NOT NULL THEN e.s WHEN changed THEN 'Edited' ELSE 'Pending' END AS status,
-           CASE WHEN changed THEN '' || e.u END AS edited_by, CASE WHEN changed THEN e.t END AS edited_on
-    FROM j
+    steps AS (
+      SELECT doc, fieldname, value, 'Pending' AS status, NULL::VARCHAR AS edited_by, NULL::TIMESTAMP AS edited_on, 0::BIGINT AS n FROM rows
+      UNION ALL
+      SELECT x.doc, x.fieldname, coalesce(e.v, x.value),
+             CASE WHEN e.s IS NOT NULL THEN e.s WHEN e.v <> x.value THEN 'Edited' ELSE x.status END,
+             CASE WHEN e.v <> x.value THEN e.u ELSE x.edited_by END, CASE WHEN e.v <> x.value THEN e.ts ELSE x.edited_on END, e.n
+      FROM steps x JOIN e ON e.doc = x.doc AND e.fieldname = x.fieldname AND e.n = x.n + 1)
+    SELECT doc, fieldname, value, status, edited_by, edited_on FROM steps
+    QUALIFY row_number() OVER (PARTITION BY doc, fieldname ORDER BY n DESC) = 1
     """,
 )
 def field_edits(t: Tables) -> DataFrame:

@@ -103,7 +103,10 @@ def contains_join(refs: DataFrame, target: DataFrame, field: str, key: str = "na
     )
     hits = (
         rarest.join(index, "_gram")
-        .where(F.expr("_hay LIKE concat('%', value, '%')"))
+        .where(
+            F.when(F.col("value").rlike("[%_]"), F.expr(r"_hay LIKE concat('%', replace(value, '\\', '\\\\'), '%')"))
+            .otherwise(F.contains("_hay", "value"))
+        )
         .select("value", "_key")
         .distinct()
     )

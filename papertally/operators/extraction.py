@@ -418,21 +418,32 @@ def apply_line_events(lines: DataFrame, events: DataFrame) -> DataFrame:
 def apply_field_edits(rows: DataFrame, edits: DataFrame) -> DataFrame:
     """Header rows after edits (doc, fieldname, at, value, status, user).
 
-    The latest edit of each field counts; a changed value makes the field
-    ``Edited`` by someone at some time, and an explicit status overrides that.
+    Edits apply one after the other: the last value given counts, and the last
+    status. An edit that changes the value makes the field ``Edited`` by someone
+    at some time, unless it brings a status of its own.
     """
-    latest = edits.groupBy("doc", "fieldname").agg(F.max_by(F.struct("value", "status", "user", "at"), "at").alias("_e"))
-    changed = F.col("_e.value").isNotNull() & ~F.col("_e.value").eqNullSafe(F.col("value"))
-    status = F.coalesce(
-        blank_to_null(F.col("_e.status")), F.when(changed, F.lit("Edited")), F.col("status")
+    earlier = Window.partitionBy("doc", "fieldname").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    known = edits.join(rows.select("doc", "fieldname", F.col("value").alias("_first")), ["doc", "fieldname"])
+    before = F.coalesce(F.last("value", ignorenulls=True).over(earlier), F.col("_first"))
+    steps = known.withColumn("_changed", F.col("value").isNotNull() & ~F.col("value").eqNullSafe(before)).withColumn(
+        "_status", F.coalesce(blank_to_null(F.col("status")), F.when(F.col("_changed"), F.lit("Edited")))
     )
+    latest = steps.groupBy("doc", "fieldname").agg(
+        F.struct(
+            F.expr("max_by(value, at) FILTER (WHERE value IS NOT NULL)").alias("value"),
+            F.expr("max_by(_status, at) FILTER (WHERE _status IS NOT NULL)").alias("status"),
+            F.expr("max_by(user, at) FILTER (WHERE _changed)").alias("user"),
+            F.expr("max(at) FILTER (WHERE _changed)").alias("at"),
+        ).alias("_e")
+    )
+    status = F.coalesce("_e.status", "status")
     rest = [c for c in rows.columns if c not in ("value", "status")]
     return rows.join(latest, ["doc", "fieldname"], "left").select(
         *rest,
-        F.when(changed, F.col("_e.value")).otherwise(F.col("value")).alias("value"),
+        F.coalesce("_e.value", "value").alias("value"),
         status.alias("status"),
-        F.when(changed, F.col("_e.user")).alias("edited_by"),
-        F.when(changed, F.col("_e.at")).alias("edited_on"),
+        F.col("_e.user").alias("edited_by"),
+        F.col("_e.at").alias("edited_on"),
     )
 
 

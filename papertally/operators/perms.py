@@ -80,10 +80,10 @@ def missing_mirror_rows(standard: DataFrame, custom: DataFrame, skip_roles: Sequ
 
 
 def mirror_applied(standard: DataFrame, custom: DataFrame, skip_roles: Sequence[str] = (BOT_ROLE,)) -> DataFrame:
-    """Custom rows with the missing ones appended; existing rows never change."""
-    ptypes = shared_ptypes(standard, custom)
-    kept = custom.select("parent", "role", F.col("permlevel").cast("int").alias("permlevel"), *ptypes)
-    return kept.unionByName(missing_mirror_rows(standard, custom, skip_roles))
+    """Custom rows, with all their columns, and the missing ones appended, with
+    null in columns that only custom rows have; existing rows never change."""
+    kept = custom.withColumn("permlevel", F.col("permlevel").cast("int"))
+    return kept.unionByName(missing_mirror_rows(standard, custom, skip_roles), allowMissingColumns=True)
 
 
 def permission_levels(doctypes: DataFrame, fields: DataFrame, custom_fields: DataFrame) -> DataFrame:

@@ -145,14 +145,16 @@ def _grid(edge: Column, side: Column, spread: bool) -> Column:
     """Places of a box along one axis: ``array<struct<level, cell>>``.
 
     Level L holds sides from 2^L up to 2^(L+1), its cells are 2^L wide. Two
-    boxes with an IoU of at least 0.85 have sides within a factor of 0.85 and
-    edges less than 0.15 sides, so under 0.31 cells, apart. With ``spread`` a
+    boxes with an IoU of at least 0.85 have sides within a factor of 0.85. Their
+    left edges are furthest apart when one lies right-aligned in the other: by
+    1/0.85 - 1 = 0.1765 of the smaller side, and a side is less than two cells,
+    so by under 0.36 cells. With ``spread`` a
     box enters every place where such a partner can be (mostly one or two),
     without it only its own.
     """
     two = F.lit(2.0)
     slack = COLLISION_IOU * 0.999 if spread else 1.0
-    reach = 0.31 if spread else 0.0
+    reach = 0.36 if spread else 0.0
     low = F.floor(F.log2(side * slack)).cast("int")
     high = F.floor(F.log2(side / slack)).cast("int")
 

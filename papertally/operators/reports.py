@@ -33,11 +33,11 @@ def date_range(
     fields = configured or DEFAULT_DATE_FIELDS
     known = {f["field"].strip(): (f.get("type") or "Date").strip().title() for f in fields if (f.get("field") or "").strip()}
     if field not in known:
-        raise ValueError(f"Selected field '{field}' is not configured in Report Date Fields")
+        raise ValueError(f"no report date field is named {field!r}")
     prefix = "datetime" if known[field] == "Datetime" else "date"
     start, end = bounds.get(f"{prefix}_start"), bounds.get(f"{prefix}_end")
     if not start or not end:
-        raise ValueError("Please set the start and end range for the selected field")
+        raise ValueError(f"the range of {field!r} lacks a start or an end")
     return F.col(field).between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
 
 

@@ -90,6 +90,15 @@ def review_queue(
 def feedback_fold(events: DataFrame) -> DataFrame:
     """(doc, field, idx, verdict, value, by, at): the verdict that stands.
 
+    ``events`` as in :func:`last_feedback`; its results may be given again.
+    """
+    return last_feedback(events).where(F.col("verdict") != "clear").drop("seq")
+
+
+def last_feedback(events: DataFrame) -> DataFrame:
+    """(doc, field, idx, verdict, value, by, at, seq): the last verdict given,
+    ``clear`` too.
+
     ``events``: (doc, field, idx, verdict, value, by, at, seq) with verdicts
     ``correct``, ``wrong``, ``corrected`` or ``clear``; the last one per field
     and index counts, and ``clear`` removes it. ``seq`` orders equal times.
@@ -103,9 +112,9 @@ def feedback_fold(events: DataFrame) -> DataFrame:
     last = (
         valid.withColumn("value", value)
         .groupBy("doc", "field", "idx")
-        .agg(F.max_by(F.struct("verdict", "value", "by", "at"), F.struct("at", "seq")).alias("_f"))
+        .agg(F.max_by(F.struct("verdict", "value", "by", "at", "seq"), F.struct("at", "seq")).alias("_f"))
     )
-    return last.where(F.col("_f.verdict") != "clear").select("doc", "field", "idx", "_f.*")
+    return last.select("doc", "field", "idx", "_f.*")
 
 
 def added_values(events: DataFrame, limit: int = ADDED_LIMIT) -> DataFrame:
@@ -127,27 +136,32 @@ def overlay_corrections(
 ) -> DataFrame:
     """Items as corrected by the reviewer.
 
-    A corrected value replaces the one at (key, idx); for a single-valued key
-    that is missing it creates the item; an index outside the list is skipped.
+    A corrected value replaces the one at (key, idx); for a single-valued key it
+    replaces the only item whatever the index, and creates it if it is missing
+    and no index was given; an index outside the list is skipped.
     Added values follow the items of their list, in the order they were added.
     """
     lists = [s.key for s in schema if s.kind == "array"]
     fixes = folded.where(F.col("verdict") == "corrected").select(
-        "doc", F.col("field").alias("key"), F.coalesce("idx", F.lit(-1)).alias("_i"), F.col("value").alias("_fix")
+        "doc", F.col("field").alias("key"), F.coalesce("idx", F.lit(-1)).alias("_given"), "value", "at"
     )
     scalar_fix = ~F.col("key").isin(lists)
-    # any index given for a single-valued key means that key's only item
-    fixes = fixes.where(scalar_fix | (F.col("_i") >= 0))
+    fixes = (
+        fixes.where(scalar_fix | (F.col("_given") >= 0))
+        .withColumn("_i", F.when(scalar_fix, F.lit(-1)).otherwise(F.col("_given")))
+        .groupBy("doc", "key", "_i")
+        .agg(F.max_by("value", "at").alias("_fix"), F.expr("max_by(value, at) FILTER (WHERE _given = -1)").alias("_new"))
+    )
     old = items.withColumn("_i", F.coalesce("idx", F.lit(-1))).withColumn("_old", F.lit(True))
     joined = old.join(fixes, ["doc", "key", "_i"], "full").where(
-        F.col("_old") | (~F.col("key").isin(lists) & (F.col("_i") == -1))
+        F.col("_old") | (~F.col("key").isin(lists) & F.col("_new").isNotNull())
     )
     fixed = joined.select(
         "doc",
         "key",
         F.when(F.col("_i") >= 0, F.col("_i")).cast("int").alias("idx"),
-        F.coalesce("_fix", "value").alias("value"),
-        F.when(F.col("_old").isNull(), F.col("_fix")).otherwise(F.col("raw_text")).alias("raw_text"),
+        F.when(F.col("_old").isNull(), F.col("_new")).otherwise(F.coalesce("_fix", "value")).alias("value"),
+        F.when(F.col("_old").isNull(), F.col("_new")).otherwise(F.col("raw_text")).alias("raw_text"),
         F.when(F.col("_fix").isNotNull(), "corrected").otherwise("model").alias("origin"),
     )
     sizes = items.where(F.col("key").isin(lists)).groupBy("doc", "key").agg(F.count(F.lit(1)).alias("_len"))
@@ -171,13 +185,15 @@ def overlay_corrections(
 
 
 def model_values(feedback: DataFrame, items: DataFrame) -> DataFrame:
-    """Feedback with ``model_value``: what the model gave at (field, idx); null
-    outside the list or for a list without an index."""
-    own = items.select(
-        "doc", F.col("key").alias("field"), F.coalesce("idx", F.lit(-1)).alias("_i"), F.col("value").alias("model_value")
-    )
-    asked = feedback.withColumn("_i", F.coalesce("idx", F.lit(-1)))
-    return asked.join(own, ["doc", "field", "_i"], "left").drop("_i")
+    """Feedback with ``model_value``: what the model gave at (field, idx), for a
+    single-valued field whatever the index; null outside the list or for a list
+    without an index."""
+    named = items.select("doc", F.col("key").alias("field"), F.col("idx").alias("_at"), "value")
+    single = named.where("_at IS NULL").select("doc", "field", F.col("value").alias("_single"))
+    listed = named.where("_at IS NOT NULL").select("doc", "field", F.col("_at").alias("_i"), F.col("value").alias("_listed"))
+    asked = feedback.withColumn("_i", F.col("idx"))
+    found = asked.join(single, ["doc", "field"], "left").join(listed, ["doc", "field", "_i"], "left")
+    return found.withColumn("model_value", F.coalesce("_listed", "_single")).drop("_i", "_single", "_listed")
 
 
 def resolution_trail(runs: DataFrame, events: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from papertally.operators.merge import sync_delivery
-from papertally.operators.review import feedback_fold
+from papertally.operators.review import last_feedback
 
 
 def _each_batch(
@@ -64,8 +64,9 @@ def _totals(batch: DataFrame) -> DataFrame:
 
 
 def stream_feedback(spark: SparkSession, event_folder: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Feedback events folded per batch. Events of one field may come in
-    several batches: fold the batch results again, the later time wins."""
+    """The last verdict per field and batch, ``clear`` too. Events of one field may
+    come in several batches: ``feedback_fold`` over all results gives what stands.
+    Added values are not part of it."""
     schema = "doc string, field string, idx int, verdict string, value string, by string, at timestamp, seq bigint"
     source = spark.readStream.schema(schema).parquet(event_folder)
-    return _each_batch(source, feedback_fold, out, checkpoint)
+    return _each_batch(source, last_feedback, out, checkpoint)

@@ -280,3 +280,72 @@ def test_output_schema():
     for bad in ('{"key": "a"}', '[{"label": "x"}]', "[1]"):
         with pytest.raises(ValueError):
             output_schema(bad)
+
+
+def test_collision_of_right_aligned_boxes(spark):
+    from papertally.operators.quality import colliding_pairs
+    from papertally.operators.quality import FieldSpec
+
+    schema = [FieldSpec("p"), FieldSpec("q")]
+    a = {"x": 0.12707, "y": 0.5, "w": 0.2499, "h": 0.1}
+    b = {"x": 0.083, "y": 0.5, "w": 0.29397, "h": 0.1}
+    kind = "doc string, key string, idx int, bbox struct<x:double,y:double,w:double,h:double>"
+    for first, second in ((a, b), (b, a)):
+        items = spark.createDataFrame([("d", "p", None, first), ("d", "q", None, second)], kind)
+        assert colliding_pairs(items, schema).count() == 1
+
+
+def test_status_edit_keeps_the_value_edit_before(spark):
+    import datetime
+
+    from papertally.operators.extraction import apply_field_edits
+
+    rows = spark.createDataFrame([("d", "f", "old", "New")], "doc string, fieldname string, value string, status string")
+    at = [datetime.datetime(2024, 1, k) for k in (1, 2)]
+    edits = spark.createDataFrame(
+        [("d", "f", at[0], "new", None, "u"), ("d", "f", at[1], None, "Approved", "v")],
+        "doc string, fieldname string, at timestamp, value string, status string, user string",
+    )
+    r = apply_field_edits(rows, edits).first()
+    assert (r["value"], r["status"], r["edited_by"], r["edited_on"]) == ("new", "Approved", "u", at[0])
+
+
+def test_index_on_a_single_valued_key(spark):
+    import datetime
+
+    from papertally.operators.review import model_values, overlay_corrections
+    from papertally.operators.quality import FieldSpec
+
+    schema = [FieldSpec("s"), FieldSpec("t")]
+    items = spark.createDataFrame([("d", "s", None, "old", "old")], "doc string, key string, idx int, value string, raw_text string")
+    at = datetime.datetime(2024, 1, 1)
+    folded = spark.createDataFrame(
+        [("d", "s", 0, "corrected", "new", "u", at), ("d", "t", 0, "corrected", "no", "u", at)],
+        "doc string, field string, idx int, verdict string, value string, by string, at timestamp",
+    )
+    added = spark.createDataFrame([], "doc string, field string, value string, by string, at timestamp, pos int")
+    got = [(r["key"], r["value"]) for r in overlay_corrections(items, folded, added, schema).collect()]
+    assert got == [("s", "new")]
+    assert {r["field"]: r["model_value"] for r in model_values(folded, items).collect()} == {"s": "old", "t": None}
+
+
+def test_clear_in_a_later_batch(spark):
+    import datetime
+
+    from papertally.operators.review import feedback_fold, last_feedback
+
+    kind = "doc string, field string, idx int, verdict string, value string, by string, at timestamp, seq bigint"
+    batch = lambda verdict, day: spark.createDataFrame(
+        [("d", "f", None, verdict, None, "u", datetime.datetime(2024, 1, day), day)], kind
+    )
+    results = last_feedback(batch("wrong", 1)).unionByName(last_feedback(batch("clear", 2)))
+    assert feedback_fold(results).count() == 0
+
+
+def test_backslash_in_a_searched_value(spark):
+    from papertally.operators.candidates import contains_join
+
+    target = spark.createDataFrame([("k1", r"xA\1y"), ("k2", "other")], "name string, text string")
+    refs = spark.createDataFrame([("d", r"A\1"), ("d", r"A\2")], "doc string, value string")
+    got = contains_join(refs, target, "text", "name").select("value", "name").collect()
+    assert [tuple(r) for r in got] == [(r"A\1", "k1")]
