@@ -41,18 +41,18 @@ def interleave(
     """
     own = [c for c in rows.columns if c not in ("shard", "slot")]
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    keyed = written(rows.select(*own, key.alias("_key")))
+    keyed = written(rows.select(*own, key.alias("__shard_key")))
     total = keyed.count()
     digits = _digits(total)
-    order = [F.col("_key"), *[F.col(t) for t in ties]]
-    ranked = number_in_group(keyed, [stratum], F.substring("_key", 1, digits), order, "_rank")
-    sizes = keyed.groupBy(F.col(stratum).alias("_stratum")).agg(F.count(F.lit(1)).alias("_size"))
-    placed = ranked.join(sizes, F.col(stratum).eqNullSafe(F.col("_stratum"))).withColumn(
-        "_place", (F.col("_rank") - 0.5) / F.col("_size")
+    order = [F.col("__shard_key"), *[F.col(t) for t in ties]]
+    ranked = number_in_group(keyed, [stratum], F.substring("__shard_key", 1, digits), order, "__shard_rank")
+    sizes = keyed.groupBy(F.col(stratum).alias("__shard_stratum")).agg(F.count(F.lit(1)).alias("__shard_size"))
+    placed = ranked.join(sizes, F.col(stratum).eqNullSafe(F.col("__shard_stratum"))).withColumn(
+        "__shard_place", (F.col("__shard_rank") - 0.5) / F.col("__shard_size")
     )
-    placed = written(placed.drop("_stratum", "_rank", "_size"))
-    bucket = F.floor(F.col("_place") * 16**digits)
-    lined = number_in_group(placed, [], bucket, [F.col("_place"), F.col(stratum), *order], "_at")
+    placed = written(placed.drop("__shard_stratum", "__shard_rank", "__shard_size"))
+    bucket = F.floor(F.col("__shard_place") * 16**digits)
+    lined = number_in_group(placed, [], bucket, [F.col("__shard_place"), F.col(stratum), *order], "_at")
     at = F.col("_at") - 1
     shard = F.floor(F.expr(f"((_at - 1) * {shards}) div {max(total, 1)}"))
     first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
