@@ -262,27 +262,31 @@ def links_across(candidates: DataFrame, labels: DataFrame, sets: DataFrame, perc
     named = _labelled(_labelled(candidates.select("a", "b"), "a", labels, "la"), "b", labels, "lb")
     apart = named.where("la <> lb").select(*_ordered_pair("la", "lb")).distinct()
     family = components(apart).select(F.col("node").alias("label"), F.col("label").alias("family"))
-    member = written(_labelled(sets.select("set_id"), "set_id", labels, "label").join(family, "label"))
-    counts = member.groupBy("family", "label").agg(F.count(F.lit(1)).alias("_n"))
-    split = counts.groupBy("family").agg(
+    # similar sets are in the same size class or in neighbouring ones, so each meets
+    # its family in its own class and in the next
+    size_class_of = F.floor(F.log(F.size("hashes").cast("double")) / (math.log(100 / percent) * 1.0001))
+    sized = sets.select("set_id", F.explode(F.array(size_class_of, size_class_of + 1)).alias("size_key"))
+    member = written(_labelled(sized, "set_id", labels, "label").join(family, "label"))
+    counts = member.groupBy("family", "size_key", "label").agg(F.count(F.lit(1)).alias("_n"))
+    split = counts.groupBy("family", "size_key").agg(
         F.count(F.lit(1)).alias("_labels"), F.max(F.struct("_n", "label")).alias("_main"), F.sum("_n").alias("_all")
     ).where("_labels > 1")
     blocks = split.select(
-        "family", F.col("_main.label").alias("_main"),
+        "family", "size_key", F.col("_main.label").alias("_main"),
         F.ceil((F.col("_all") - F.col("_main._n")) / BLOCK_OUTSIDE).alias("_x"),
         F.ceil(F.col("_all") / BLOCK_ALL).alias("_y"),
     )
-    dealt = member.join(blocks, "family").withColumn("_h", F.xxhash64("set_id"))
+    dealt = member.join(blocks, ["family", "size_key"]).withColumn("_h", F.xxhash64("set_id"))
     outside = dealt.where("label <> _main").select(
-        "family", "set_id", "label", F.lit(True).alias("outside"), F.expr("pmod(_h, _x)").alias("x"),
+        "family", "size_key", "set_id", "label", F.lit(True).alias("outside"), F.expr("pmod(_h, _x)").alias("x"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_y") - 1)).alias("y"),
     )
     every = dealt.select(
-        "family", "set_id", "label", F.lit(False).alias("outside"),
+        "family", "size_key", "set_id", "label", F.lit(False).alias("outside"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_x") - 1)).alias("x"), F.expr("pmod(_h, _y)").alias("y"),
     )
     met = outside.unionByName(every).join(sets, "set_id")
-    return met.groupBy("family", "x", "y").applyInArrow(_block_links(percent), "a bigint, b bigint").distinct()
+    return met.groupBy("family", "size_key", "x", "y").applyInArrow(_block_links(percent), "a bigint, b bigint").distinct()
 
 
 def _sizes_fit(a: str, b: str, percent: int) -> F.Column:
