@@ -14,8 +14,8 @@ candidates. In small groups all pairs are named, in large ones those with one
 centre. The likeliest candidates are verified first, and most families of
 candidates become one component. What could still join components is verified in
 blocks: each document outside its family's largest component against the whole
-family, some hundreds by some hundreds in a task, so that a family costs rows by
-the block and not by the pair. Copies (equal sets) are one set throughout. Hashes
+family, a block of shingles by a block of shingles in a task, so that a family
+costs rows by the block and not by the pair and a task's memory is bounded. Copies (equal sets) are one set throughout. Hashes
 have 64 bits.
 """
 
@@ -39,8 +39,8 @@ from papertally.session import written
 
 #: A shingle in more prefixes is frequent; a key of more sets is a large group.
 FREQUENT, LARGE = 12, 4
-#: Sets of a family that meet in one task: so many against so many.
-BLOCK_OUTSIDE, BLOCK_ALL = 512, 2048
+#: Shingles of a family that meet in one task: so many (8 MB) against so many.
+BLOCK = 1 << 20
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -221,8 +221,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _block_links(percent: int):
-    """For a block of sets outside (``outside`` true) and a block of all: links
-    between different labels, one for each set and label that it reaches."""
+    """For a block of sets ``outside`` and a block of all (``inside``; a set may be
+    both): links between different labels, one for each set and label that it
+    reaches."""
 
     def check(group: pa.Table) -> pa.Table:
         is_out = group.column("outside").to_numpy()
@@ -230,7 +231,7 @@ def _block_links(percent: int):
         lists = group.column("hashes").combine_chunks()
         ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
         of = lambda i: values[ends[i] : ends[i + 1]]
-        all_ = np.flatnonzero(~is_out)
+        all_ = np.flatnonzero(group.column("inside").to_numpy())
         found: list[tuple[int, int]] = []
         if len(all_):
             sizes = np.array([len(of(i)) for i in all_])
@@ -262,28 +263,38 @@ def links_across(candidates: DataFrame, labels: DataFrame, sets: DataFrame, perc
     named = _labelled(_labelled(candidates.select("a", "b"), "a", labels, "la"), "b", labels, "lb")
     apart = named.where("la <> lb").select(*_ordered_pair("la", "lb")).distinct()
     family = components(apart).select(F.col("node").alias("label"), F.col("label").alias("family"))
-    # similar sets are in the same size class or in neighbouring ones, so each meets
-    # its family in its own class and in the next
     size_class_of = F.floor(F.log(F.size("hashes").cast("double")) / (math.log(100 / percent) * 1.0001))
-    sized = sets.select("set_id", F.explode(F.array(size_class_of, size_class_of + 1)).alias("size_key"))
-    member = written(_labelled(sized, "set_id", labels, "label").join(family, "label"))
-    counts = member.groupBy("family", "size_key", "label").agg(F.count(F.lit(1)).alias("_n"))
+    sized = sets.select("set_id", F.size("hashes").cast("bigint").alias("_size"), size_class_of.alias("_class"))
+    of_family = written(_labelled(sized, "set_id", labels, "label").join(family, "label"))
+    # A family that fits a block meets whole. In larger ones similar sets are in the same
+    # size class or in neighbouring ones, so each meets its own class and the next.
+    fits = of_family.groupBy("family").agg((F.sum("_size") <= BLOCK).alias("_fits"))
+    size_keys = F.when(F.col("_fits"), F.array(F.lit(-1).cast("bigint"))).otherwise(F.array("_class", F.col("_class") + 1))
+    member = of_family.join(fits, "family").select(
+        "family", "set_id", "label", "_size", F.explode(size_keys).alias("size_key")
+    )
+    counts = member.groupBy("family", "size_key", "label").agg(F.sum("_size").alias("_n"))
     split = counts.groupBy("family", "size_key").agg(
         F.count(F.lit(1)).alias("_labels"), F.max(F.struct("_n", "label")).alias("_main"), F.sum("_n").alias("_all")
     ).where("_labels > 1")
     blocks = split.select(
         "family", "size_key", F.col("_main.label").alias("_main"),
-        F.ceil((F.col("_all") - F.col("_main._n")) / BLOCK_OUTSIDE).alias("_x"),
-        F.ceil(F.col("_all") / BLOCK_ALL).alias("_y"),
+        F.ceil((F.col("_all") - F.col("_main._n")) / BLOCK).alias("_x"),
+        F.ceil(F.col("_all") / BLOCK).alias("_y"),
     )
-    dealt = member.join(blocks, ["family", "size_key"]).withColumn("_h", F.xxhash64("set_id"))
-    outside = dealt.where("label <> _main").select(
-        "family", "size_key", "set_id", "label", F.lit(True).alias("outside"), F.expr("pmod(_h, _x)").alias("x"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_y") - 1)).alias("y"),
+    dealt = member.join(blocks, ["family", "size_key"]).select(
+        "family", "size_key", "set_id", "label", (F.col("label") != F.col("_main")).alias("outside"), "_x", "_y",
+        F.expr("pmod(xxhash64(set_id), _x)").alias("_at_x"), F.expr("pmod(xxhash64(set_id), _y)").alias("_at_y"),
     )
-    every = dealt.select(
-        "family", "size_key", "set_id", "label", F.lit(False).alias("outside"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_x") - 1)).alias("x"), F.expr("pmod(_h, _y)").alias("y"),
+    # a set comes once to a block, even if it is both one outside and one of all
+    named = ["family", "size_key", "set_id", "label", "outside", "inside", "x", "y"]
+    outside = dealt.where("outside").withColumn("x", F.col("_at_x")).withColumn(
+        "y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_y") - 1))
+    ).withColumn("inside", F.col("y") == F.col("_at_y")).select(named)
+    every = dealt.withColumn("y", F.col("_at_y")).withColumn(
+        "x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_x") - 1))
+    ).where("NOT (outside AND x = _at_x)").select(
+        "family", "size_key", "set_id", "label", F.lit(False).alias("outside"), F.lit(True).alias("inside"), "x", "y"
     )
     met = outside.unionByName(every).join(sets, "set_id")
     return met.groupBy("family", "size_key", "x", "y").applyInArrow(_block_links(percent), "a bigint, b bigint").distinct()
