@@ -15,8 +15,8 @@ centre. The likeliest candidates are verified first, and most families of
 candidates become one component. What could still join components is verified in
 blocks: each document outside its family's largest component against the whole
 family, a block of shingles by a block of shingles in a task, so that a family
-costs rows by the block and not by the pair and a task's memory is bounded. Copies (equal sets) are one set throughout. Hashes
-have 64 bits.
+costs rows by the block and not by the pair and a task's memory is bounded.
+Copies (equal sets) are one set throughout. Hashes have 64 bits.
 """
 
 from __future__ import annotations
@@ -39,8 +39,9 @@ from papertally.session import written
 
 #: A shingle in more prefixes is frequent; a key of more sets is a large group.
 FREQUENT, LARGE = 12, 4
-#: Shingles of a family that meet in one task: so many (8 MB) against so many.
-BLOCK = 1 << 20
+#: Shingles of a family that meet in one task: so many (32 MB) against so many. A
+#: family of fewer than WHOLE is not parted by size first.
+BLOCK, WHOLE = 1 << 22, 1 << 18
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -266,9 +267,9 @@ def links_across(candidates: DataFrame, labels: DataFrame, sets: DataFrame, perc
     size_class_of = F.floor(F.log(F.size("hashes").cast("double")) / (math.log(100 / percent) * 1.0001))
     sized = sets.select("set_id", F.size("hashes").cast("bigint").alias("_size"), size_class_of.alias("_class"))
     of_family = written(_labelled(sized, "set_id", labels, "label").join(family, "label"))
-    # A family that fits a block meets whole. In larger ones similar sets are in the same
+    # A small family meets whole. In larger ones similar sets are in the same
     # size class or in neighbouring ones, so each meets its own class and the next.
-    fits = of_family.groupBy("family").agg((F.sum("_size") <= BLOCK).alias("_fits"))
+    fits = of_family.groupBy("family").agg((F.sum("_size") < WHOLE).alias("_fits"))
     size_keys = F.when(F.col("_fits"), F.array(F.lit(-1).cast("bigint"))).otherwise(F.array("_class", F.col("_class") + 1))
     member = of_family.join(fits, "family").select(
         "family", "set_id", "label", "_size", F.explode(size_keys).alias("size_key")
