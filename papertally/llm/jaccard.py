@@ -223,8 +223,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _block_links(percent: int):
     """For a block of sets ``outside`` and a block of all (``inside``; a set may be
-    both): links between different labels, one for each set and label that it
-    reaches."""
+    both): links between different labels, each of which joins labels that those
+    before it have not joined, so that a block gives fewer links than it has labels."""
 
     def check(group: pa.Table) -> pa.Table:
         is_out = group.column("outside").to_numpy()
@@ -234,6 +234,14 @@ def _block_links(percent: int):
         of = lambda i: values[ends[i] : ends[i + 1]]
         all_ = np.flatnonzero(group.column("inside").to_numpy())
         found: list[tuple[int, int]] = []
+        joined: dict[int, int] = {}
+
+        def root(label: int) -> int:
+            while (above := joined.get(label, label)) != label:
+                joined[label] = joined.get(above, above)
+                label = above
+            return label
+
         if len(all_):
             sizes = np.array([len(of(i)) for i in all_])
             hashes, owner = np.concatenate([of(i) for i in all_]), np.repeat(np.arange(len(all_)), sizes)
@@ -249,7 +257,11 @@ def _block_links(percent: int):
                 linked &= labels[all_] != labels[i]
                 reached = all_[np.flatnonzero(linked)]
                 _, first = np.unique(labels[reached], return_index=True)
-                found += [(int(ids[i]), int(ids[j])) for j in reached[first]]
+                for j in reached[first]:
+                    a_label, b_label = root(int(labels[i])), root(int(labels[j]))
+                    if a_label != b_label:
+                        joined[a_label] = b_label
+                        found.append((int(ids[i]), int(ids[j])))
         return pa.table({
             "a": pa.array([min(f) for f in found], pa.int64()), "b": pa.array([max(f) for f in found], pa.int64())
         })
