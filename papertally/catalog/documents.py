@@ -263,6 +263,25 @@ def build_child_rows(t: Tables) -> DataFrame:
     return X.build_child_rows(_reviewed_lines(t), known, links)
 
 
+@query(
+    "child_rows_long",
+    """
+    SELECT doc_id AS doc, 'body' AS "column", n_chars AS n, text <> '' AS filled FROM documents WHERE text <> ''
+    UNION ALL SELECT doc_id, 'qty', CAST(length(CAST(n_chars::DOUBLE AS VARCHAR)) AS BIGINT), true FROM documents WHERE n_chars > 0
+    """,
+)
+def child_rows_long(t: Tables) -> DataFrame:
+    """A line per document that carries its whole text; the quantity comes after it."""
+    entry = F.struct(F.concat(F.lit("|"), "text", F.lit("|")).alias("body"), F.col("n_chars").alias("qty"))
+    reply = F.to_json(F.struct(F.struct(F.array(entry).alias("items")).alias("tables")))
+    replies = t.documents.where("text <> ''").select(F.col("doc_id").alias("doc"), F.parse_json(reply).alias("reply"))
+    lines = X.line_rows(replies, ["items"]).withColumn("matched_item", F.lit(None).cast("string"))
+    known = config_frame(t.spark, [("items", "body", "Text"), ("items", "qty", "Float")], "table string, column string, fieldtype string")
+    cells = X.build_child_rows(lines, known, config_frame(t.spark, [], "table string, link_field string"))
+    around = F.when(F.col("column") == "body", 2).otherwise(0)
+    return cells.select("doc", "column", (F.length("value") - around).cast("bigint").alias("n"), (F.col("value") != "").alias("filled"))
+
+
 def _meta(t: Tables) -> DataFrame:
     """Parts as fields of the table their brand names."""
     size = F.col("p_size") % 6
@@ -314,7 +333,7 @@ def header_fields(t: Tables) -> DataFrame:
     """,
 )
 def child_columns(t: Tables) -> DataFrame:
-    return X.child_columns(_meta(t)).select("parent", "fieldname", "col_no")
+    return X.child_columns(_meta(t), X.COLUMN_LIMIT).select("parent", "fieldname", "col_no")
 
 
 @query(

@@ -42,12 +42,12 @@ def _queue(cap: str) -> str:
 @query("review_queue", _queue("ORDER BY ts DESC, name DESC LIMIT 100"))
 def review_queue(t: Tables) -> DataFrame:
     """As the screen shows it: the scan is cut to the newest hundred."""
-    return V.review_queue(runs(t)).select("name", "reference_name", "creation", "title")
+    return V.review_queue(runs(t), scan_limit=V.QUEUE_LIMIT).select("name", "reference_name", "creation", "title")
 
 
 @query("review_queue_whole", _queue(""))
 def review_queue_whole(t: Tables) -> DataFrame:
-    return V.review_queue(runs(t), scan_limit=None).select("name", "reference_name", "creation", "title")
+    return V.review_queue(runs(t)).select("name", "reference_name", "creation", "title")
 
 
 @query(
@@ -58,7 +58,7 @@ def review_queue_whole(t: Tables) -> DataFrame:
     """,
 )
 def latest_per_reference(t: Tables) -> DataFrame:
-    latest = V.latest_per_reference(runs(t).where(F.col("reference_name") != ""), scan_limit=None)
+    latest = V.latest_per_reference(runs(t).where(F.col("reference_name") != ""))
     return latest.select(F.col("reference_name").cast("bigint").alias("user_id"), F.col("reference_detail").alias("detail"), "creation")
 
 
@@ -97,8 +97,8 @@ _FEEDBACK = """
         SELECT doc, field, idx, arg_max({'v': verdict, 'x': CASE WHEN verdict = 'corrected' THEN value END}, ts) AS r, max(ts) AS ts
         FROM fe WHERE verdict <> 'added' GROUP BY 1, 2, 3) g WHERE r.v <> 'clear'),
     added AS (
-      SELECT * FROM (SELECT doc, field, value, ts, CAST(row_number() OVER (PARTITION BY doc ORDER BY ts) AS INTEGER) AS pos
-                     FROM fe WHERE verdict = 'added') a WHERE pos <= 40),
+      SELECT doc, field, value, ts, CAST(row_number() OVER (PARTITION BY doc ORDER BY ts) AS INTEGER) AS pos
+      FROM fe WHERE verdict = 'added'),
     items AS (
       SELECT o_orderkey AS doc, 'status' AS key, NULL AS idx, o_orderstatus AS value FROM orders WHERE o_orderstatus <> 'P'
       UNION ALL SELECT o_orderkey, 'priority', NULL, o_orderpriority FROM orders
@@ -117,6 +117,20 @@ def added_values(t: Tables) -> DataFrame:
     return V.added_values(feedback_events(t)).select("doc", "field", "value", "pos")
 
 
+@query(
+    "rejected_feedback",
+    "WITH" + _FEEDBACK + """
+    , long AS (SELECT doc, field, event_id AS seq, verdict, repeat('x', CAST(event_id % 700 AS INTEGER)) AS value FROM fe)
+    SELECT doc, field, seq, 'value' AS refused FROM long
+    WHERE (verdict IN ('corrected', 'added') AND length(value) > 500) OR (verdict = 'added' AND value = '')
+    """,
+)
+def rejected_feedback(t: Tables) -> DataFrame:
+    """Values of up to 699 characters: those over 500 are refused, and empty additions."""
+    events = feedback_events(t).withColumn("value", F.expr("repeat('x', CAST(seq % 700 AS INT))"))
+    return V.rejected_feedback(events).select("doc", "field", "seq", "refused")
+
+
 SCHEMA = [FieldSpec("status", is_title=True), FieldSpec("priority"), FieldSpec("bills", kind="array")]
 
 

@@ -64,11 +64,12 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     ).select(*df.columns)
 
 
-def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str) -> DataFrame:
-    """The first ``k`` rows per key with their rank.
+def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None, out: str) -> DataFrame:
+    """The first ``k`` rows per key with their rank (``None``: all rows).
 
     Spark cuts each task's rows to ``k`` per key before the shuffle
     (``WindowGroupLimit``), so large groups never travel whole.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
+    ranked = df.withColumn(out, F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col(out) <= k)

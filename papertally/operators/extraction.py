@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,13 +20,9 @@ EXTRACTABLE_TYPES = [
 ]
 LINK_TYPES = ["Link", "Dynamic Link"]
 
-# Lengths to which texts are cut.
-RAW_TEXT_LENGTH = 1000
-DESCRIPTION_LENGTH = 1000
-CODE_LENGTH = 140
-HSN_LENGTH = 30
-UOM_LENGTH = 50
-RAW_JSON_LENGTH = 4000
+# Lengths of the fields that texts may be cut to on request, and
+# the number of columns of a child table that a form shows.
+FIELD_LENGTHS = {"llm_raw_text": 1000, "description": 1000, "supplier_code": 140, "hsn": 30, "uom": 50}
 COLUMN_LIMIT = 20
 
 # Entries of a line that describe it and are no columns.
@@ -37,6 +33,12 @@ def _text(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 
 
+def _shortened(rows: DataFrame, lengths: Mapping[str, int] | None) -> DataFrame:
+    """Texts cut to the lengths given for their columns; without any they stay whole."""
+    cuts = {c: F.substring(c, 1, n) for c, n in (lengths or {}).items() if c in rows.columns}
+    return rows.withColumns(cuts) if cuts else rows
+
+
 def _indexed(key: str) -> Callable[[Column, Column], Column]:
     return lambda v, i: F.struct(F.lit(key).alias("key"), i.cast("int").alias("idx"), v.alias("item"))
 
@@ -132,8 +134,9 @@ def header_fields(meta: DataFrame) -> DataFrame:
     )
 
 
-def child_columns(meta: DataFrame, limit: int = COLUMN_LIMIT) -> DataFrame:
-    """The first extractable columns of each child table, by field order."""
+def child_columns(meta: DataFrame, limit: int | None = None) -> DataFrame:
+    """The extractable columns of each child table with their place, by field
+    order; with ``limit`` the first ones."""
     return top_rows(header_fields(meta), ["parent"], [F.col("idx")], limit, "col_no")
 
 
@@ -214,9 +217,10 @@ def reply_fields(replies: DataFrame, demanded: Column | None = None) -> DataFram
     )
 
 
-def header_rows(replies: DataFrame, header: DataFrame) -> DataFrame:
+def header_rows(replies: DataFrame, header: DataFrame, lengths: Mapping[str, int] | None = None) -> DataFrame:
     """Field rows of each document: known fields of the reply, and required
-    fields it lacks. ``header``: (fieldname, label, fieldtype, required)."""
+    fields it lacks. ``header``: (fieldname, label, fieldtype, required). With ``lengths``
+    (such as ``FIELD_LENGTHS``) texts are cut."""
     # the header of a target is a configuration table of a few dozen fields
     absent = _entry(F.lit(-1), F.col("fieldname"), F.lit(None).cast("variant"))
     demanded = header.agg(F.collect_list(F.when(F.col("required"), absent)).alias("d")).scalar()
@@ -234,7 +238,7 @@ def header_rows(replies: DataFrame, header: DataFrame) -> DataFrame:
         F.to_json(F.try_variant_get("item", "$.bbox", "variant")).alias("_bbox"),
     )
     coerced = F.coalesce(coerce_value(F.col("fieldtype"), F.col("_value")), F.lit(""))
-    return parts.select(
+    shaped = parts.select(
         "doc",
         "pos",
         "fieldname",
@@ -242,20 +246,22 @@ def header_rows(replies: DataFrame, header: DataFrame) -> DataFrame:
         "fieldtype",
         F.when(F.col("fieldtype").isin(LINK_TYPES), F.lit("")).otherwise(coerced).alias("value"),
         F.coalesce("_value", F.lit("")).alias("llm_value"),
-        F.substring(F.coalesce("_raw", F.lit("")), 1, RAW_TEXT_LENGTH).alias("llm_raw_text"),
+        F.coalesce("_raw", F.lit("")).alias("llm_raw_text"),
         flt(F.col("_confidence")).alias("confidence"),
         box_from_json(F.col("_bbox"), strict=False).alias("bbox"),
         F.when(F.col("_page") == 0, F.lit(1)).otherwise(F.col("_page")).alias("source_page"),
         F.lit("Pending").alias("status"),
     )
+    return _shortened(shaped, lengths)
 
 
-def line_rows(replies: DataFrame, tables: Sequence[str]) -> DataFrame:
+def line_rows(replies: DataFrame, tables: Sequence[str], lengths: Mapping[str, int] | None = None) -> DataFrame:
     """Line rows of each document, numbered over all its tables in order.
 
     The numbers come from the position inside the reply, so no window over a
     document is needed. A reply with a bare ``lines`` list fills the first
-    table. Entries that are no objects are skipped and not counted.
+    table. Entries that are no objects are skipped and not counted. ``raw_json``
+    is the whole entry; with ``lengths`` (such as ``FIELD_LENGTHS``) other texts are cut.
     """
     has_tables = F.schema_of_variant(F.try_variant_get("reply", "$.tables", "variant")).startswith("OBJECT")
     parts = []
@@ -275,30 +281,31 @@ def line_rows(replies: DataFrame, tables: Sequence[str]) -> DataFrame:
         "doc", (F.col("_n") + 1).alias("row_no"), "_l.*"
     )
 
-    def cut(length: int, *names: str) -> Column:
+    def text(*names: str) -> Column:
         texts = [blank_to_null(_text(F.col("item"), f"$.{n}")) for n in names]
-        return F.substring(F.coalesce(*texts, F.lit("")), 1, length)
+        return F.coalesce(*texts, F.lit(""))
 
     rows = rows.withColumn("_page", cint(_text(F.col("item"), "$.page"))).withColumn(
         "_bbox", F.to_json(F.try_variant_get("item", "$.bbox", "variant"))
     )
     page = F.col("_page")
-    return rows.select(
+    shaped = rows.select(
         "doc",
         "table",
         "row_no",
-        cut(DESCRIPTION_LENGTH, "description", "item_name").alias("description"),
-        cut(CODE_LENGTH, "supplier_code").alias("supplier_code"),
-        cut(HSN_LENGTH, "hsn", "gst_hsn_code").alias("hsn"),
+        text("description", "item_name").alias("description"),
+        text("supplier_code").alias("supplier_code"),
+        text("hsn", "gst_hsn_code").alias("hsn"),
         flt(_text(F.col("item"), "$.qty")).alias("qty"),
-        cut(UOM_LENGTH, "uom").alias("uom"),
+        text("uom").alias("uom"),
         flt(_text(F.col("item"), "$.rate")).alias("rate"),
         flt(_text(F.col("item"), "$.amount")).alias("amount"),
-        F.substring(F.to_json("item"), 1, RAW_JSON_LENGTH).alias("raw_json"),
+        F.to_json("item").alias("raw_json"),
         F.when(page == 0, F.lit(1)).otherwise(page).alias("source_page"),
         box_from_json(F.col("_bbox"), strict=False).alias("bbox"),
         F.lit("Unmatched").alias("resolution_status"),
     )
+    return _shortened(shaped, lengths)
 
 
 def match_links(rows: DataFrame, links: DataFrame, targets: DataFrame) -> DataFrame:
@@ -376,7 +383,7 @@ def build_child_rows(
         linked.where(F.col("_match").isNull() & (F.coalesce("description", F.lit("")) != ""))
         .join(named_tables, "table", "left_semi")
         .select(
-            "doc", "table", "row_no", F.lit("item_name").alias("column"), F.substring("description", 1, CODE_LENGTH).alias("value")
+            "doc", "table", "row_no", F.lit("item_name").alias("column"), F.col("description").alias("value")
         )
         .join(
             typed.where(F.col("column") == "item_name").select("doc", "table", "row_no"),

@@ -26,9 +26,9 @@ def _newest(*more: str) -> list[Column]:
     return [F.col("creation").desc(), *[F.col(c).desc() for c in more]]
 
 
-def latest_per_reference(runs: DataFrame, scan_limit: int | None = QUEUE_LIMIT) -> DataFrame:
-    """Newest run of each reference among the newest ``scan_limit`` runs
-    (``None``: among all). The cut comes before the de-duplication."""
+def latest_per_reference(runs: DataFrame, scan_limit: int | None = None) -> DataFrame:
+    """Newest run of each reference; with ``scan_limit`` among that many newest
+    runs, which are cut before the de-duplication."""
     rows = runs if scan_limit is None else runs.orderBy(*_newest("name")).limit(scan_limit)
     return keep_last(rows, REFERENCE, F.struct("creation", "name"))
 
@@ -68,7 +68,7 @@ def review_queue(
     runs: DataFrame,
     titles: DataFrame | None = None,
     action: str | None = None,
-    scan_limit: int | None = QUEUE_LIMIT,
+    scan_limit: int | None = None,
 ) -> DataFrame:
     """Runs that wait for a human: the newest of each reference, unless a later
     run resolved it. ``titles``: (doc = run name, title)."""
@@ -87,6 +87,28 @@ def review_queue(
     return queue.withColumn("title", title)
 
 
+def _refused(value: Column) -> Column:
+    """Why feedback with this value is not accepted; null if it is."""
+    return (
+        F.when(~filled(F.col("field")) | (F.length("field") > FIELD_LENGTH), "field")
+        .when(F.col("verdict").isin("corrected", "added") & (F.length(value) > VALUE_LENGTH), "value")
+        .when((F.col("verdict") == "added") & (F.length(value) == 0), "value")
+        .when(~F.col("verdict").isin("correct", "wrong", "corrected", "clear", "added"), "verdict")
+    )
+
+
+def _given() -> Column:
+    text = F.coalesce("value", F.lit(""))
+    return F.when(F.col("verdict") == "added", F.trim(text)).otherwise(text)
+
+
+def rejected_feedback(events: DataFrame) -> DataFrame:
+    """Events (as in :func:`last_feedback`, or ``added``) that count nowhere,
+    with the ``refused`` part: ``field``, ``value`` or ``verdict``."""
+    verdict = F.when(F.col("verdict").isNull(), "verdict")
+    return events.withColumn("refused", F.coalesce(_refused(_given()), verdict)).where(F.col("refused").isNotNull())
+
+
 def feedback_fold(events: DataFrame) -> DataFrame:
     """(doc, field, idx, verdict, value, by, at): the verdict that stands.
 
@@ -102,12 +124,9 @@ def last_feedback(events: DataFrame) -> DataFrame:
     ``events``: (doc, field, idx, verdict, value, by, at, seq) with verdicts
     ``correct``, ``wrong``, ``corrected`` or ``clear``; the last one per field
     and index counts, and ``clear`` removes it. ``seq`` orders equal times.
+    Events that :func:`rejected_feedback` gives do not count.
     """
-    valid = (
-        events.where(F.col("verdict").isin("correct", "wrong", "corrected", "clear"))
-        .where(filled(F.col("field")) & (F.length("field") <= FIELD_LENGTH))
-        .where((F.col("verdict") != "corrected") | (F.length(F.coalesce("value", F.lit(""))) <= VALUE_LENGTH))
-    )
+    valid = events.where(F.col("verdict").isin("correct", "wrong", "corrected", "clear") & _refused(_given()).isNull())
     value = F.when(F.col("verdict") == "corrected", F.coalesce("value", F.lit("")))
     last = (
         valid.withColumn("value", value)
@@ -117,15 +136,10 @@ def last_feedback(events: DataFrame) -> DataFrame:
     return last.select("doc", "field", "idx", "_f.*")
 
 
-def added_values(events: DataFrame, limit: int = ADDED_LIMIT) -> DataFrame:
-    """(doc, field, value, by, at, pos): values a reviewer added, the first
-    ``limit`` of each document (the size of its list)."""
-    text = F.trim(F.coalesce("value", F.lit("")))
-    valid = (
-        events.where((F.col("verdict") == "added") & filled(F.col("field")) & (F.length("field") <= FIELD_LENGTH))
-        .withColumn("value", text)
-        .where((F.length("value") > 0) & (F.length("value") <= VALUE_LENGTH))
-    )
+def added_values(events: DataFrame, limit: int | None = None) -> DataFrame:
+    """(doc, field, value, by, at, pos): values a reviewer added; with ``limit``
+    (such as ``ADDED_LIMIT``) the first ones of each document."""
+    valid = events.where((F.col("verdict") == "added") & _refused(_given()).isNull()).withColumn("value", _given())
     return top_rows(valid, ["doc"], [F.col("at"), F.col("seq")], limit, "pos").select(
         "doc", "field", "value", "by", "at", "pos"
     )
@@ -165,7 +179,7 @@ def overlay_corrections(
         F.when(F.col("_fix").isNotNull(), "corrected").otherwise("model").alias("origin"),
     )
     sizes = items.where(F.col("key").isin(lists)).groupBy("doc", "key").agg(F.count(F.lit(1)).alias("_len"))
-    # at most ADDED_LIMIT rows per document, so numbering them is cheap
+    # a person adds these values one by one, so a document has few to number
     w = Window.partitionBy("doc", "key").orderBy("pos")
     more = (
         added.withColumnRenamed("field", "key")
