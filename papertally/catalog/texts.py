@@ -137,8 +137,8 @@ def lenient_numbers(t: Tables) -> DataFrame:
 @query(
     "redacted_calls",
     """
-    SELECT page_id, left('{"messages": [{"content": [{"type": "text", "text": "read"}, {"type": "image_url", "image_url": {"url": "<image redacted: '
-           || length(url) || ' chars>"}}]}]}', 140000) AS request_payload, left(html, 140000) AS response_payload, left(url, 500) AS error_message,
+    SELECT page_id, '{"messages": [{"content": [{"type": "text", "text": "read"}, {"type": "image_url", "image_url": {"url": "<image redacted: '
+           || length(url) || ' chars>"}}]}]}' AS request_payload, html AS response_payload, url AS error_message,
            0.0::DOUBLE AS cost_usd, page_id % 7 AS prompt_tokens
     FROM pages
     """,

@@ -16,7 +16,6 @@ BASE_SCORE = 0.4
 SUFFIX_SCORE = 0.7
 EXACT_SCORE = 0.95
 ANSWER_THRESHOLD = 0.8
-REASON_LENGTH = 300
 CANDIDATE_LIMIT = 8
 
 
@@ -152,7 +151,7 @@ def validate_answers(
         "target",
         "pos",
         sure.alias("confidence"),
-        F.substring(F.coalesce("reason", F.lit("")), 1, REASON_LENGTH).alias("reason"),
+        F.coalesce("reason", F.lit("")).alias("reason"),
     )
     kept = keep_first(clean, ["doc", "target"], F.struct((-F.col("confidence")).alias("c"), "pos"))
     best = kept.groupBy("doc").agg(F.max("confidence").alias("best"))

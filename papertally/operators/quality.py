@@ -25,7 +25,6 @@ from papertally.functions.numbers import try_int
 COLLISION_IOU = 0.85
 MAX_BOX_AREA = 0.35
 REJECTED_IOU = 0.6
-DETAIL_LENGTH = 200
 
 # Kinds of deficiencies in the order of the checks.
 KIND_ORDER = [
@@ -97,7 +96,7 @@ def item_deficiencies(items: DataFrame, schema: Sequence[FieldSpec]) -> DataFram
     ``bbox_insane``) in a single pass over the items."""
     fmt_of = literal_map({s.key: s.format or "" for s in schema})
     boxed = F.col("key").isin(_keys(schema, lambda s: s.bbox_required))
-    shown = F.substring(F.concat(F.lit("'"), F.col("value"), F.lit("'")), 1, DETAIL_LENGTH)
+    shown = F.concat(F.lit("'"), F.col("value"), F.lit("'"))
     percent = F.round(area(F.col("bbox")) * 100).cast("int").cast("string")
 
     def found(kind: str, test: Column, detail: Column) -> Column:
@@ -252,7 +251,7 @@ def cross_check(
 
 
 def cross_check_misses(checked: DataFrame) -> DataFrame:
-    shown = F.substring(F.concat(F.lit("'"), F.col("value"), F.lit("'")), 1, DETAIL_LENGTH)
+    shown = F.concat(F.lit("'"), F.col("value"), F.lit("'"))
     detail = F.concat(
         F.lit("no "), "doctype", F.lit(" found with "), "field", F.lit(" = "), shown,
         F.lit(" — re-read the value from the image"),
@@ -285,13 +284,9 @@ def usable_index(rows: DataFrame, schema: Sequence[FieldSpec], items: DataFrame
 
 def disagreements(rows: DataFrame, schema: Sequence[FieldSpec], items: DataFrame) -> DataFrame:
     """Verifier rows (doc, key, idx, expected, reason) as deficiencies."""
-    detail = F.substring(
-        F.concat(
-            F.lit("verifier: image shows '"), F.coalesce("expected", F.lit("")), F.lit("' ("),
-            F.coalesce("reason", F.lit("")), F.lit(")"),
-        ),
-        1,
-        300,
+    detail = F.concat(
+        F.lit("verifier: image shows '"), F.coalesce("expected", F.lit("")), F.lit("' ("),
+        F.coalesce("reason", F.lit("")), F.lit(")"),
     )
     return _deficiency(usable_index(rows, schema, items), "value_disagreement", detail)
 

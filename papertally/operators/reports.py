@@ -13,9 +13,7 @@ from papertally.functions.replies import redact_images
 # The report field used when a table configures none.
 DEFAULT_DATE_FIELDS = [{"field": "creation", "type": "Datetime"}]
 
-# Lengths to which a logged call is cut, and the run budget.
-PAYLOAD_LENGTH = 140000
-ERROR_LENGTH = 500
+# The run budget, and what a run that exceeds it says.
 RUN_SECONDS = 480
 STALE_MESSAGE = "stale — worker died before finalize; superseded by a newer run"
 
@@ -190,12 +188,12 @@ def extraction_bundle(
 
 
 def call_log_rows(calls: DataFrame) -> DataFrame:
-    """Call rows as they are logged: images redacted, texts cut, numbers filled."""
+    """Call rows as they are logged: images redacted, numbers filled, texts whole."""
     numbers = ["prompt_tokens", "completion_tokens", "total_tokens", "cost_estimated"]
     replaced = {
-        "request_payload": F.substring(redact_images(F.col("request_payload")), 1, PAYLOAD_LENGTH),
-        "response_payload": F.substring("response_payload", 1, PAYLOAD_LENGTH),
-        "error_message": F.substring(F.coalesce("error_message", F.lit("")), 1, ERROR_LENGTH),
+        "request_payload": redact_images(F.col("request_payload")),
+        "response_payload": F.col("response_payload"),
+        "error_message": F.coalesce("error_message", F.lit("")),
         "cost_usd": flt(F.col("cost_usd")),
         **{n: cint(F.col(n)) for n in numbers},
     }
