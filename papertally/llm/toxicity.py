@@ -34,6 +34,8 @@ LEAST_EXAMPLES, LEAST_RATIO, LEAST_SIGNAL = 4, 60.0, 20.0
 #: Terms are chosen until each toxic example has so many, from so many candidates.
 COVER, MAX_CANDIDATES = 4, 20_000
 NEIGHBOURS, BLOCK = 24, 64
+#: Longest word whose terms are kept for its next occurrence.
+MEMO_BYTES = 128
 #: How much closeness the base rate counts for.
 PRIOR = 0.35
 THRESHOLD = 0.7
@@ -44,26 +46,30 @@ def trained_row() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
 
 
-def word_terms(word: bytes) -> set[str]:
-    """The letter sequences of a word, in lower case, without marks at its ends."""
+def word_terms(word: bytes) -> list[str]:
+    """All letter sequences of a word, each as often as it occurs, in lower case,
+    without marks at its ends. A word may be a whole text of a script without spaces."""
     letters = "".join(c for c in word.decode(errors="replace").lower() if c.isalnum())
     if not letters:
-        return set()
-    marked = f"<{letters[:64]}>"
-    return {marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1)}
+        return []
+    marked = f"<{letters}>"
+    return [marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1)]
 
 
 class _Memo(dict):
-    """From a word to the numbers of its terms; bounded in size."""
+    """From a word to the numbers of its terms; bounded in size. Words of more
+    than ``MEMO_BYTES`` are not kept but cut into terms each time."""
 
     def __init__(self, terms: dict[str, int], most: int = 300_000):
         super().__init__()
         self._terms, self._most = terms, most
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
+        found = tuple(sorted(self._terms[t] for t in word_terms(word) if t in self._terms))
+        if len(word) > MEMO_BYTES:
+            return found
         if len(self) >= self._most:
             self.clear()
-        found = tuple(sorted(self._terms[t] for t in word_terms(word) & self._terms.keys()))
         self[word] = found
         return found
 

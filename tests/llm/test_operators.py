@@ -290,6 +290,27 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score_documents(none, marks).count() == 0
 
 
+@pytest.mark.parametrize("joint", ["", "\u00a0", "_"])
+def test_toxic_word_deep_in_an_unbroken_text(spark, joint):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("lmnorst", k=5))
+    rows, labels = [], []
+    for i in range(400):
+        words = [word() for _ in range(12)]
+        if i % 4 == 0:
+            words[3:3] = ["vilefoo", "grimbar"]
+        rows.append((i, joint.join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    clean = [word() for _ in range(60)]
+    dirty = [*clean[:40], "vilefoo", "grimbar", *clean[40:]]
+    rows += [(1000, joint.join(clean)), (1001, joint.join(dirty))]
+    assert rows[-1][1].index("vilefoo") >= 200
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(texts, marks).where("doc_id >= 1000").collect()}
+    assert got == {1000: 0, 1001: 1}
+
+
 def test_block_max_is_exact():
     rng = random.Random(9)
     unit = lambda d: [(t, w / sum(x * x for x in d.values()) ** 0.5) for t, w in sorted(d.items())]
