@@ -1,19 +1,19 @@
 """Toxicity by the nearest labelled examples.
 
-Labelled texts, a bounded sample, are the examples. Their letter sequences that
-mark one label far more than the other become the terms; a text is its TF-IDF
-vector over them, with frequencies counted over all documents. The nearest
-examples by cosine are found exactly in an inverted index whose postings lie in
-blocks with the greatest weight of each term: blocks are visited from the best
-bound down until no bound can better the neighbours at hand. Neighbours vote by
-their closeness, counted as often as the sample stands for labelled rows, against
-the base rate; they are the evidence.
+Labelled texts, a bounded sample, are the examples. All their letter sequences
+are terms; a text is its TF-IDF vector over them, with frequencies counted over
+all documents. A term weighs more the more its counts in the examples of both
+labels differ; none is left out. The nearest examples by cosine are found exactly
+in an inverted index whose postings lie in blocks with the greatest weight of
+each term: blocks whose bound cannot better the neighbours at hand are not read.
+Neighbours vote by their closeness, counted as often as the sample stands for
+labelled rows; the cut between the labels is set on examples that are scored
+without themselves. Neighbours are the evidence.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +24,12 @@ from pyspark.sql import functions as F
 from papertally.llm.registry import extended, query, table
 from papertally.session import written
 
-#: Bounds of what is fitted: examples of each label, and terms.
-MAX_EXAMPLES, MAX_TERMS = 4000, 1500
-#: Letters of a term, the mark of a word's beginning included.
+#: Bounds of what is fitted: examples of each label, and those of them the cut is set on.
+MAX_EXAMPLES, CALIBRATED = 4000, 500
+#: Letters of a term, the mark of a word's beginning included. Shorter words are a term.
 SIZES = (4, 5, 6, 7)
-#: A term lies in so many toxic examples at least, so many times more often than
-#: in others, and is no chance find (log-likelihood ratio).
-LEAST_EXAMPLES, LEAST_RATIO, LEAST_SIGNAL = 4, 60.0, 20.0
-#: Terms are chosen until each toxic example has so many, from so many candidates.
-COVER, MAX_CANDIDATES = 4, 20_000
+#: Weight of a term that says nothing about labels, and log-likelihood ratio that adds 1 to it.
+FLOOR, SIGNAL = 0.05, 20.0
 NEIGHBOURS, BLOCK = 24, 64
 #: Longest word whose terms are kept for its next occurrence.
 MEMO_BYTES = 128
@@ -46,26 +43,32 @@ def trained_row() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
 
 
-def word_terms(word: bytes) -> list[str]:
-    """All letter sequences of a word, each as often as it occurs, in lower case,
-    without marks at its ends. A word may be a whole text of a script without spaces."""
+def word_terms(word: bytes) -> np.ndarray:
+    """All letter sequences of a word as 64-bit hashes, each as often as it occurs,
+    in lower case, without marks at its ends. A word may be a whole text of a
+    script without spaces."""
     letters = "".join(c for c in word.decode(errors="replace").lower() if c.isalnum())
     if not letters:
-        return []
-    marked = f"<{letters}>"
-    return [marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1)]
+        return np.zeros(0, np.uint64)
+    codes = np.frombuffer(f"<{letters}>".encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    rolling, found = np.zeros(len(codes), np.uint64), []
+    for n in range(1, min(SIZES[-1], len(codes)) + 1):
+        rolling = rolling[: len(codes) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :]
+        if n in SIZES or n == len(codes) < SIZES[0]:
+            found.append((rolling ^ (rolling >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(n))
+    return np.concatenate(found)
 
 
 class _Memo(dict):
-    """From a word to the numbers of its terms; bounded in size. Words of more
+    """From a word to the hashes of its terms; bounded in size. Words of more
     than ``MEMO_BYTES`` are not kept but cut into terms each time."""
 
-    def __init__(self, terms: dict[str, int], most: int = 300_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
-        self._terms, self._most = terms, most
+        self._most = most
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        found = tuple(sorted(self._terms[t] for t in word_terms(word) if t in self._terms))
+    def __missing__(self, word: bytes) -> np.ndarray:
+        found = word_terms(word)
         if len(word) > MEMO_BYTES:
             return found
         if len(self) >= self._most:
@@ -73,13 +76,20 @@ class _Memo(dict):
         self[word] = found
         return found
 
-    def count(self, text: str | None) -> list[tuple[int, int]]:
-        """(term, how often) of a text, by term."""
-        hits: Counter[int] = Counter()
-        if text:
-            for found in filter(None, map(self.__getitem__, text.encode().lower().split())):
-                hits.update(found)
-        return sorted(hits.items())
+    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a text, in order, and how often each occurs."""
+        words = (text or "").encode().lower().split()
+        found = [self[w] for w in words] or [np.zeros(0, np.uint64)]
+        return np.unique(np.concatenate(found), return_counts=True)
+
+
+def numbered(counts: tuple[np.ndarray, np.ndarray], terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in the sorted ``terms`` of those that are in it, and their counts."""
+    if not len(terms):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(terms, counts[0]), len(terms) - 1)
+    known = terms[at] == counts[0]
+    return at[known], counts[1][known]
 
 
 def sampled(labels: DataFrame, seed: str = "tox") -> DataFrame:
@@ -98,235 +108,222 @@ def sampled(labels: DataFrame, seed: str = "tox") -> DataFrame:
     return sides[0].unionByName(sides[1])
 
 
-def _signal(n_toxic: Column, n_clean: Column, toxic: float, clean: float) -> Column:
-    """Log-likelihood ratio of a term's counts against one rate for both labels."""
-    both = toxic + clean
-    rate = (n_toxic + n_clean) / both
-    part = lambda n, e: F.when(n > 0, n * F.log(n / e)).otherwise(F.lit(0.0))
-    return 2 * (
-        part(n_toxic, toxic * rate) + part(toxic - n_toxic, toxic * (1 - rate))
-        + part(n_clean, clean * rate) + part(clean - n_clean, clean * (1 - rate))
-    )
+def signal(n_toxic: np.ndarray, n_clean: np.ndarray, toxic: float, clean: float) -> np.ndarray:
+    """Log-likelihood ratio of terms' counts against one rate for both labels."""
+    if not toxic or not clean:
+        return np.zeros(len(n_toxic))
+    rate = (n_toxic + n_clean) / (toxic + clean)
+    part = lambda n, e: n * np.log(np.where(n > 0, n, 1) / np.where(n > 0, e, 1))
+    found = part(n_toxic, toxic * rate) + part(toxic - n_toxic, toxic * (1 - rate))
+    return np.maximum(0, 2 * (found + part(n_clean, clean * rate) + part(clean - n_clean, clean * (1 - rate))))
 
 
-def candidate_terms(examples: DataFrame) -> list[str]:
-    """Terms that mark toxic examples, the strongest first. ``examples`` has
-    ``text`` and ``toxic``."""
+def document_frequencies(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """In how many rows of ``docs`` each term lies."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        memo, n = _Memo(), np.zeros(len(terms), np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                n[numbered(memo.count(text), terms)[0]] += 1
+        at = np.flatnonzero(n)
+        for i in range(0, len(at), 100_000):
+            some = at[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], names=["term", "n"])
 
-        def handed() -> Iterator[pa.RecordBatch]:
-            terms = list(seen[0].keys() | seen[1].keys())
-            columns = [pa.array(terms, pa.string()), *[pa.array([seen[k][t] for t in terms], pa.int64()) for k in (1, 0)]]
-            yield pa.RecordBatch.from_arrays(columns, names=["term", "n_toxic", "n_clean"])
-            seen[0].clear()
-            seen[1].clear()
+    found = docs.select("text").mapInArrow(counted, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    rows = found.toArrow()
+    n = np.zeros(len(terms), np.int64)
+    n[rows.column("term").to_numpy()] = rows.column("n").to_numpy()
+    return n
 
-        for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                words = set((text or "").encode().lower().split())
-                seen[1 if toxic else 0].update(set().union(*map(word_terms, words)))
-                if len(seen[0]) + len(seen[1]) > 300_000:
-                    yield from handed()
-        yield from handed()
-
-    sizes = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    toxic, clean = float(sizes.get(1, 0)), float(sizes.get(0, 0))
-    n, m = F.col("n_toxic"), F.col("n_clean")
-    chosen = (
-        examples.select("text", "toxic")
-        .mapInArrow(counted, "term string, n_toxic bigint, n_clean bigint")
-        .groupBy("term").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
-        .where((n >= LEAST_EXAMPLES) & (n / (toxic + 1) >= LEAST_RATIO * (m + 0.5) / (clean + 1)))
-        .withColumn("signal", _signal(n, m, toxic, clean)).where(F.col("signal") >= LEAST_SIGNAL)
-        .orderBy(F.col("signal").desc(), F.length("term").desc(), "term").limit(MAX_CANDIDATES)
-    )
-    return [r["term"] for r in chosen.select("term").collect()]
-
-
-def choose_terms(examples: DataFrame) -> list[str]:
-    """The terms: greedily those that mark most toxic examples which still have
-    fewer than ``COVER``. Sequences of one word mark nearly the same examples;
-    of such only the first is taken, so that a text is covered by several words."""
-    candidates = candidate_terms(examples)
-    hits = term_counts(examples.where("toxic = 1").select(F.lit(0).alias("doc_id"), "text"), candidates)
-    marked: list[set[int]] = [set() for _ in candidates]
-    n_examples = 0
-    for row in hits.select("terms").toLocalIterator():
-        for term in row["terms"]:
-            marked[term].add(n_examples)
-        n_examples += 1
-    need = np.full(n_examples, COVER)
-    places = [np.fromiter(m, np.int64, len(m)) for m in marked]
-    left, chosen = set(range(len(candidates))), []
-    gains = {c: len(m) for c, m in enumerate(marked)}
-    while left and len(chosen) < MAX_TERMS:
-        # gains only fall, so a candidate whose fresh gain still leads is the best
-        while True:
-            best = max(left, key=lambda c: (gains[c], -c))
-            fresh = int((need[places[best]] > 0).sum())
-            if fresh == gains[best]:
-                break
-            gains[best] = fresh
-        if gains[best] < LEAST_EXAMPLES:
-            break
-        chosen.append(candidates[best])
-        need[places[best]] -= 1
-        alike = {c for c in left if 2 * len(marked[c]) > len(marked[best]) and _alike(marked[c], marked[best])}
-        left -= alike | {best}
-    return sorted(chosen)
-
-
-def _alike(a: set[int], b: set[int]) -> bool:
-    both = len(a & b)
-    return both >= 0.7 * (len(a) + len(b) - both)
-
-
-def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """Per row: ``doc_id``, ``terms`` (numbers) and ``counts``."""
-    numbers = {t: i for i, t in enumerate(terms)}
-    rows = docs.select("doc_id", "text")
-    schema = extended(rows.select("doc_id").schema, terms="array<int>", counts="array<int>")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo(numbers)
-        for batch in batches:
-            found = [memo.count(t) for t in batch.column("text").to_pylist()]
-            columns = [pa.array([[x[i] for x in hits] for hits in found], pa.list_(pa.int32())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=schema.names)
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
 
-    return rows.mapInArrow(count, schema)
+def _arrays(vector) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(vector, tuple):
+        return vector
+    return np.array([t for t, _ in vector], np.int64), np.array([w for _, w in vector], float)
 
 
 class BlockMaxIndex:
     """Examples by term, in blocks with the greatest weight of each term.
 
-    ``vectors`` are (term, weight) lists of length 1; examples that share their
-    strongest terms lie next to each other, which keeps bounds apart.
+    ``vectors`` are (term, weight) lists of length 1, or a pair of arrays each;
+    examples of the same strongest term lie next to each other, which keeps
+    bounds apart.
     """
 
-    def __init__(self, vectors: list[list[tuple[int, float]]], n_terms: int):
-        order = sorted(range(len(vectors)), key=lambda i: (sorted(vectors[i], key=lambda x: (-x[1], x[0])), i))
-        self.order = np.array(order, np.int64)
-        self.n_blocks = -(-len(order) // BLOCK)
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for place, i in enumerate(order):
-            for term, weight in vectors[i]:
-                postings[term].append((place, weight))
-        self.bounds = np.zeros((n_terms, max(1, self.n_blocks)))
-        self.ids, self.weights, self.starts = [], [], []
-        for term, posting in enumerate(postings):
-            ids = np.array([p for p, _ in posting], np.int64)
-            weights = np.array([w for _, w in posting])
-            np.maximum.at(self.bounds[term], ids // BLOCK, weights)
-            self.ids.append(ids)
-            self.weights.append(weights)
-            self.starts.append(np.searchsorted(ids, np.arange(self.n_blocks + 1) * BLOCK))
-
-    def nearest(self, vector: list[tuple[int, float]], k: int) -> list[tuple[int, float]]:
+    def __init__(self, vectors: list, n_terms: int):
+        arrays = [_arrays(v) for v in vectors]
+        strongest = [(int(t[np.argmax(w)]), -float(w.max())) if len(t) else (-1, 0.0) for t, w in arrays]
+        order = sorted(range(len(arrays)), key=lambda i: (strongest[i], i))
+        self.order, self.n_blocks = np.array(order, np.int64), -(-len(order) // BLOCK)
+        none = [np.zeros(0, np.int64)]
+        terms = np.concatenate([arrays[i][0].astype(np.int32) for i in order] or none)
+        places = np.repeat(np.arange(len(order), dtype=np.int32), [len(arrays[i][0]) for i in order])
+        weights = np.concatenate([arrays[i][1].astype(np.float32) for i in order] or none)
+        by_term = np.argsort(terms, kind="stable").astype(np.int32)
+        terms, self.places, self.weights = terms[by_term], places[by_term], weights[by_term]
+        # a segment is the postings of one term in one block
+        blocks = (self.places // BLOCK).astype(np.int32)
+        new = np.flatnonzero(np.r_[True, (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1])][: len(terms)])
+        self.starts = np.append(new, len(terms)).astype(np.int32)
+        self.blocks = blocks[new]
+        self.bounds = np.maximum.reduceat(self.weights, new) if len(new) else self.weights
+        self.of_term = np.searchsorted(terms[new], np.arange(n_terms + 1)).astype(np.int32)
+
+    def nearest(self, vector, k: int) -> list[tuple[int, float]]:
         """The ``k`` examples of the greatest cosine above 0 with it; of equal
         ones the earlier. Exact: a block is left out only if its bound is lower
         than the k-th cosine found."""
-        if not vector or not self.n_blocks:
+        terms, query = _arrays(vector)
+        if not len(terms) or not self.n_blocks:
             return []
-        terms = [t for t, _ in vector]
-        query = np.array([w for _, w in vector])
-        bounds = query @ self.bounds[terms]
+        first = self.of_term[terms].astype(np.int64)
+        sizes = self.of_term[terms + 1] - first
+        segments, weights = _ranges(first, sizes), np.repeat(query, sizes)
+        blocks = self.blocks[segments]
+        bounds = np.bincount(blocks, weights * self.bounds[segments], self.n_blocks)
+        left = np.argsort(-bounds, kind="stable")
+        left = left[bounds[left] > 0]
         best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(best) == k and bounds[block] < best[-1][0] - 1e-9:
-                break
-            scores = np.zeros(BLOCK)
-            for term, weight in vector:
-                a, b = self.starts[term][block], self.starts[term][block + 1]
-                if a < b:
-                    scores[self.ids[term][a:b] - block * BLOCK] += weight * self.weights[term][a:b]
-            at = np.flatnonzero(scores)
-            found = zip(np.round(scores[at], 9).tolist(), self.order[at + block * BLOCK].tolist())
+        step = 4
+        while len(left):
+            some = np.zeros(self.n_blocks, bool)
+            some[left[:step]] = True
+            of = np.flatnonzero(some[blocks])
+            starts = self.starts[segments[of]].astype(np.int64)
+            n = self.starts[segments[of] + 1] - starts
+            at = _ranges(starts, n)
+            scores = np.bincount(self.places[at], np.repeat(weights[of], n) * self.weights[at], len(self.order))
+            hit = np.flatnonzero(scores)
+            if len(hit) > 4 * k:  # ties of the k-th stay in
+                hit = hit[scores[hit] >= np.partition(scores[hit], -k)[-k] - 1e-8]
+            found = zip(np.round(scores[hit], 9).tolist(), self.order[hit].tolist())
             best = sorted([*best, *found], key=lambda x: (-x[0], x[1]))[:k]
+            left, step = left[step:], 4 * step
+            if len(best) == k:
+                left = left[bounds[left] >= best[-1][0] - 1e-6]
         return [(i, score) for score, i in best]
 
 
 class Model:
-    """What scoring needs; of bounded size, whatever the corpus."""
-
-    def __init__(self, terms, idf, examples, prior):
-        self.terms, self.idf, self.prior = terms, idf, prior
-        #: (doc_id, toxic, stands_for, counts), one per distinct vector and label
-        self.examples = examples
-        self._index: BlockMaxIndex | None = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"_index": None}
-
-    def vector(self, counts: list[tuple[int, int]]) -> list[tuple[int, float]]:
-        raw = [(t, (1 + math.log(n)) * self.idf[t]) for t, n in counts]
-        length = math.sqrt(sum(w * w for _, w in raw))
-        return [(t, w / length) for t, w in raw]
-
-    def neighbours(self, counts: list[tuple[int, int]]) -> list[tuple[int, float]]:
-        if self._index is None:
-            self._index = BlockMaxIndex([self.vector(e[3]) for e in self.examples], len(self.terms))
-        return self._index.nearest(self.vector(counts), NEIGHBOURS) if counts else []
-
-    def score(self, counts: list[tuple[int, int]]) -> tuple[float, list[tuple[int, float]]]:
-        """The chance of label 1, and the nearest examples (doc_id, cosine)."""
-        near = self.neighbours(counts)
+    """What scoring needs; of bounded size, whatever the corpus.
+
+    ``examples`` are (doc_id, toxic, stands_for), one per distinct text and
+    label, ``counts`` their terms and counts.
+    """
+
+    def __init__(self, terms: np.ndarray, weights: np.ndarray, examples: list, counts: list, rate: float, silent: float):
+        self.terms, self.weights, self.examples, self.rate, self.silent = terms, weights, examples, rate, silent
+        #: Score of the votes at which both labels meet; it becomes ``THRESHOLD``.
+        self.cut = THRESHOLD
+        self.index = BlockMaxIndex([self.vector(c) for c in counts], len(terms))
+
+    def vector(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        raw = (1 + np.log(counts[1])) * self.weights[counts[0]]
+        return counts[0], raw / math.sqrt(float(raw @ raw) or 1.0)
+
+    def votes(self, counts: tuple[np.ndarray, np.ndarray], but: int = -1) -> tuple[float, list[tuple[int, float]]]:
+        """The share of label 1 among the nearest examples, and these. The
+        example ``but`` has no vote."""
+        near = self.index.nearest(self.vector(counts), NEIGHBOURS + (but >= 0))
+        near = [x for x in near if x[0] != but][:NEIGHBOURS]
         votes = [(cosine * self.examples[i][2], self.examples[i][1]) for i, cosine in near]
         toxic = sum(v for v, label in votes if label)
-        total = sum(v for v, _ in votes)
-        score = (toxic + PRIOR * self.prior) / (total + PRIOR)
+        return (toxic + PRIOR * self.rate) / (sum(v for v, _ in votes) + PRIOR), near
+
+    def score(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[tuple[int, float]]]:
+        """How far the votes are for label 1, ``THRESHOLD`` at the cut, and the
+        nearest examples (doc_id, cosine). A text without a known term gets the
+        rate of such texts among the examples."""
+        known = numbered(counts, self.terms)
+        if not len(known[0]):
+            return self.silent, []
+        share, near = self.votes(known)
+        low = share < self.cut
+        score = THRESHOLD * share / self.cut if low else THRESHOLD + (1 - THRESHOLD) * (share - self.cut) / (1 - self.cut)
         return min(1.0, max(0.0, score)), [(self.examples[i][0], cosine) for i, cosine in near[:3]]
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the written ``term_counts`` of all documents.
+def _cut(shares: list[tuple[float, int, float]]) -> float:
+    """Of (share, toxic, weight) the share that parts labels with the best F1,
+    in the middle of a gap."""
+    rows = sorted(shares, reverse=True)
+    all_toxic = sum(w for _, toxic, w in rows if toxic)
+    best, cut, hits, taken = 0.0, THRESHOLD, 0.0, 0.0
+    for i, (share, toxic, weight) in enumerate(rows):
+        taken += weight
+        hits += weight * toxic
+        below = rows[i + 1][0] if i + 1 < len(rows) else 0.0
+        if below < share and (f1 := 2 * hits / (taken + all_toxic)) > best:
+            best, cut = f1, (share + below) / 2
+    return min(max(cut, 1e-6), 1 - 1e-6)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model.
 
     Only the examples are collected, at most two times ``MAX_EXAMPLES`` (rows of
-    one doc_id in ``docs`` count as one example a distinct text). Without
-    labelled rows there are no terms and every score is the base rate, one half.
+    one doc_id in ``docs`` count as one example a distinct text), and the
+    frequencies of their terms. Without labelled rows there are no terms and
+    every score is one half.
     """
     # of a proven size: see MAX_EXAMPLES
     chosen = written(sampled(labels))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    texts = written(texts.dropDuplicates(["text", "toxic"]))
-    terms = choose_terms(texts)
-    counted = written(term_counts(docs, terms))
-    has = counted.where(F.size("terms") > 0)
-    n = counted.count()
-    frequency = {r["term"]: r["n"] for r in has.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
-    idf = [1 + math.log((1 + n) / (1 + frequency.get(t, 0))) for t in range(len(terms))]
-    marked = counted.join(F.broadcast(chosen), "doc_id")
-    by_vector = has.join(F.broadcast(chosen), "doc_id").groupBy("terms", "counts", "toxic").agg(
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("text", "toxic").agg(
         F.min("doc_id").alias("doc_id"), F.sum("stands_for").alias("stands_for")
     )
-    rows = by_vector.orderBy("doc_id", "toxic").collect()
-    examples = [(r["doc_id"], r["toxic"], r["stands_for"], list(zip(r["terms"], r["counts"]))) for r in rows]
-    silent = marked.where(F.size("terms") == 0).agg(
-        F.sum(F.col("stands_for") * F.col("toxic")).alias("toxic"), F.sum("stands_for").alias("all")
-    ).first()
-    prior = ((silent["toxic"] or 0) + 0.5) / ((silent["all"] or 0) + 1)
-    return Model(terms, idf, examples, prior), counted
-
-
-def score_counts(counted: DataFrame, model: Model) -> DataFrame:
-    """``doc_id``, ``score`` and ``evidence`` (nearest examples) per row of counts."""
-    schema = extended(counted.select("doc_id").schema, score="double", evidence="array<struct<doc_id:bigint,cosine:double>>")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = texts.orderBy("doc_id", "toxic", "text").toArrow()
+    memo = _Memo()
+    counts = [memo.count(t) for t in rows.column("text").to_pylist()]
+    memo.clear()
+    examples = list(zip(*[rows.column(c).to_pylist() for c in ("doc_id", "toxic", "stands_for")]))
+    silent = [e for e, c in zip(examples, counts) if not len(c[0])]
+    share = lambda of: (sum(e[1] * e[2] for e in of) + 0.5) / (sum(e[2] for e in of) + 1)
+    terms = np.zeros(0, np.uint64)
+    for i in range(0, len(counts), 500):
+        terms = np.unique(np.concatenate([terms, *[c[0] for c in counts[i : i + 500]]]))
+    counts = [tuple(x.astype(np.int32) for x in numbered(c, terms)) for c in counts]
+    hits = np.zeros((2, len(terms)))
+    for (_, toxic, _), (at, _) in zip(examples, counts):
+        hits[int(bool(toxic)), at] += 1
+    toxic = sum(bool(e[1]) for e in examples)
+    n = docs.count() if len(terms) else 0
+    frequency = document_frequencies(docs, terms) if len(terms) else np.zeros(0)
+    idf = 1 + np.log((1 + n) / (1 + frequency))
+    weights = idf * (FLOOR + signal(hits[1], hits[0], toxic, len(examples) - toxic) / SIGNAL)
+    model = Model(terms, weights, examples, counts, share(examples), share(silent))
+    sides = [[i for i, e in enumerate(examples) if bool(e[1]) == side and len(counts[i][0])] for side in (False, True)]
+    if all(sides):
+        model.cut = _cut(calibrated(docs.sparkSession, model, counts, sides))
+    return model
+
+
+def calibrated(spark: SparkSession, model: Model, counts: list, sides: list[list[int]]) -> list[tuple[float, int, float]]:
+    """(share, toxic, weight) of up to ``CALIBRATED`` examples a label, evenly
+    taken, each scored without itself."""
+    rows = []
+    for side in sides:
+        step = max(1.0, len(side) / CALIBRATED)
+        some = [side[int(i * step)] for i in range(min(len(side), CALIBRATED))]
+        rows += [(i, float(model.examples[i][2] * step), counts[i][0].tobytes(), counts[i][1].tobytes()) for i in some]
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores, evidence = [], []
-            for terms, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist()):
-                value, near = model.score(list(zip(terms, counts)))
-                scores.append(value)
-                evidence.append([{"doc_id": i, "cosine": c} for i, c in near])
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=schema.names
-            )
+            found = []
+            for i, at, n in zip(*[batch.column(c).to_pylist() for c in ("i", "at", "n")]):
+                found.append(model.votes((np.frombuffer(at, np.int32), np.frombuffer(n, np.int32)), but=i)[0])
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("weight"), pa.array(found, pa.float64())], names=["i", "weight", "share"])
 
-    return counted.select("doc_id", "terms", "counts").mapInArrow(score, schema)
+    asked = spark.createDataFrame(rows, "i int, weight double, at binary, n binary")
+    got = asked.repartition(spark.sparkContext.defaultParallelism).mapInArrow(shares, "i int, weight double, share double").collect()
+    return [(r["share"], int(bool(model.examples[r["i"]][1])), r["weight"]) for r in sorted(got)]
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -336,10 +333,22 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ``labels`` has ``doc_id`` and ``toxic``. Null and empty texts, and texts
     without a term, get the rate of such texts among the examples. Ties between
     neighbours go to the smaller doc_id. Other columns are not read. Terms,
-    counts and examples are made at once (actions).
+    frequencies and examples are made at once (actions).
     """
-    model, counted = fit(docs, labels)
-    return score_counts(counted, model).select(
+    model = fit(docs, labels)
+    rows = docs.select("doc_id", "text")
+    schema = extended(rows.select("doc_id").schema, score="double", evidence="array<struct<doc_id:bigint,cosine:double>>")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Memo()
+        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
+        for batch in batches:
+            found = [model.score(memo.count(t)) for t in batch.column("text").to_pylist()]
+            evidence = [[{"doc_id": i, "cosine": c} for i, c in near] for _, near in found]
+            columns = [pa.array([x for x, _ in found], pa.float64()), pa.array(evidence, kind)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=schema.names)
+
+    return rows.mapInArrow(score, schema).select(
         "doc_id",
         F.coalesce(~trained_row(), F.lit(False)).alias("held_out"),
         "score",
@@ -350,14 +359,13 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all columns, whose score is below the threshold."""
-    model, _ = fit(docs, labels)
-    numbers = {t: i for i, t in enumerate(model.terms)}
+    model = fit(docs, labels)
     memos: list[_Memo] = []
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         if not memos:
-            memos.append(_Memo(numbers))
+            memos.append(_Memo())
         return pa.array([model.score(memos[0].count(t))[0] for t in texts.to_pylist()], pa.float64())
 
     return docs.where(score("text") < THRESHOLD)
