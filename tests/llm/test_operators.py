@@ -311,6 +311,24 @@ def test_toxic_word_deep_in_an_unbroken_text(spark, joint):
     assert got == {1000: 0, 1001: 1}
 
 
+def test_toxic_words_are_found_however_rare(spark):
+    """Words of two toxic examples each, of them one in a clean example too: no
+    bar on counts keeps them out. Every text is searched, clean ones too."""
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choices("lmnorst", k=5)) for _ in range(8))) for i in range(300)]
+    trained = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1]
+    held = [i for i in range(300) if i not in trained]
+    bad = ["vilefoo", "grimbar", "nastybaz", "quagpix", "zudwick", "hebkavy"]
+    toxic = {i: bad[j % 6] for j, i in enumerate([*trained[:12], *held[:6]])}
+    rows = [(i, f"{t} {toxic[i]} {toxic[i]}" if i in toxic else t) for i, t in rows]
+    rows[trained[20]] = (trained[20], rows[trained[20]][1] + " vilefoo")
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, int(i in toxic)) for i, _ in rows], "doc_id bigint, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score_documents(texts, marks).collect()}
+    assert all(got[i]["predicted"] == 1 for i in held[:6])
+    assert sum(got[i]["predicted"] for i in held[6:]) <= len(held) / 20 and all(r["evidence"] for r in got.values())
+
+
 def test_block_max_is_exact():
     rng = random.Random(9)
     unit = lambda d: [(t, w / sum(x * x for x in d.values()) ** 0.5) for t, w in sorted(d.items())]
