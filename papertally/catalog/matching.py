@@ -8,10 +8,10 @@ and to parties by the number in their name (kind ``tail``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papertally.catalog.registry import Tables, query
+from papertally.catalog.registry import ORACLE, Tables, query
 from papertally.operators import candidates as C
 from papertally.operators import learning as L
 from papertally.operators import matching as M
@@ -560,7 +560,20 @@ _MAPPINGS = """
 )
 def memory_lookup(t: Tables) -> DataFrame:
     """Every third item is gone: a dead best mapping falls to the text tier."""
-    lines = t.part.join(t.supplier, F.col("s_suppkey") == F.col("p_partkey") % 100).select(
+    return _lookup(t, F.col("p_partkey") % 100)
+
+
+@query(
+    "memory_lookup_whole",
+    ORACLE["memory_lookup"].replace("s_suppkey = p_partkey % 100", "s_suppkey = p_partkey % (SELECT count(*) FROM supplier)"),
+)
+def memory_lookup_whole(t: Tables) -> DataFrame:
+    """The same with a line of every part, over all suppliers."""
+    return _lookup(t, F.col("p_partkey") % t.supplier.count())
+
+
+def _lookup(t: Tables, supplier: Column) -> DataFrame:
+    lines = t.part.join(t.supplier, F.col("s_suppkey") == supplier).select(
         F.col("s_suppkey").cast("string").alias("supplier"),
         F.lit("ERPNext").alias("source_system"),
         F.lit("Purchase Invoice").alias("target_doctype"),
@@ -591,8 +604,23 @@ def memory_lookup(t: Tables) -> DataFrame:
 def memory_upsert(t: Tables) -> DataFrame:
     """Confirmations: each line's part confirmed for a neighbouring supplier;
     those without a supplier are ignored."""
+    return _upsert(t, (F.col("l_suppkey") + F.col("l_linenumber")) % 100)
+
+
+@query(
+    "memory_upsert_whole",
+    ORACLE["memory_upsert"].replace(
+        "s_suppkey = (l_suppkey + l_linenumber) % 100",
+        "s_suppkey = (l_suppkey + l_linenumber) % (SELECT count(*) FROM supplier)",
+    ),
+)
+def memory_upsert_whole(t: Tables) -> DataFrame:
+    """The same with every line, over all suppliers."""
+    return _upsert(t, (F.col("l_suppkey") + F.col("l_linenumber")) % t.supplier.count())
+
+
+def _upsert(t: Tables, supplier: Column) -> DataFrame:
     lines = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
-    supplier = (F.col("l_suppkey") + F.col("l_linenumber")) % 100
     known = t.supplier.select(F.col("s_suppkey").alias("_s"))
     fresh = lines.withColumn("_s", supplier).join(known, "_s", "left_semi").select(
         F.when(F.col("_s") != 7, F.col("_s").cast("string")).alias("supplier"),

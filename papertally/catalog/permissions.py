@@ -6,10 +6,10 @@ own nation and, by its orders, custom ones.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papertally.catalog.registry import Tables, query
+from papertally.catalog.registry import ORACLE, Tables, query
 from papertally.operators import dashboards as D
 from papertally.operators import perms as P
 
@@ -237,8 +237,21 @@ def dashboards_of_each(t: Tables) -> DataFrame:
     """,
 )
 def dashboard_access(t: Tables) -> DataFrame:
+    return _access(t, F.col("o_orderkey") % 100)
+
+
+@query(
+    "dashboard_access_whole",
+    ORACLE["dashboard_access"].replace("s_suppkey = o_orderkey % 100", "s_suppkey = o_orderkey % (SELECT count(*) FROM supplier)"),
+)
+def dashboard_access_whole(t: Tables) -> DataFrame:
+    """The same with a request of every order, over all suppliers' boards."""
+    return _access(t, F.col("o_orderkey") % t.supplier.count())
+
+
+def _access(t: Tables, name: Column) -> DataFrame:
     user = F.when(F.col("o_custkey") % 60 == 50, "Guest").otherwise(F.concat(F.lit("u"), F.col("o_custkey") % 60))
     requests = t.orders.select(
-        F.col("o_orderkey").alias("request"), user.alias("user"), (F.col("o_orderkey") % 100).alias("name"), (F.col("o_orderstatus") == "P").alias("is_manager")
+        F.col("o_orderkey").alias("request"), user.alias("user"), name.alias("name"), (F.col("o_orderstatus") == "P").alias("is_manager")
     )
     return D.access_checks(requests, _boards(t), _listed(t))

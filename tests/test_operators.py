@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher, get_close_matches
 
+import pytest
 from pyspark.sql import functions as F
 
 from papertally.functions.boxes import BOX_TYPE
@@ -349,3 +350,14 @@ def test_backslash_in_a_searched_value(spark):
     refs = spark.createDataFrame([("d", r"A\1"), ("d", r"A\2")], "doc string, value string")
     got = contains_join(refs, target, "text", "name").select("value", "name").collect()
     assert [tuple(r) for r in got] == [(r"A\1", "k1")]
+
+
+@pytest.mark.parametrize("name", ["memory_lookup_whole", "dashboard_access_whole"])
+def test_every_row_and_supplier_takes_part(spark, name):
+    from __spark_entry__ import queries
+
+    folder = "/root/testdata/sf0.001"
+    asked, supplier = ("part", "supplier") if name.startswith("memory") else ("orders", "name")
+    got = queries()[name](spark, folder).select(supplier).collect()
+    assert len(got) == spark.read.parquet(f"{folder}/{asked}.parquet").count()
+    assert len(set(got)) == spark.read.parquet(f"{folder}/supplier.parquet").count()
