@@ -352,6 +352,23 @@ def test_backslash_in_a_searched_value(spark):
     assert [tuple(r) for r in got] == [(r"A\1", "k1")]
 
 
+def test_words_of_long_lines_keep_their_places(spark):
+    from types import SimpleNamespace
+
+    from papertally.catalog import texts
+
+    words = [f"w{i}" for i in range(1200)]
+    words[700] = "zyxwvutsrqponm"
+    docs = spark.createDataFrame([(1, "first line\n" + " ".join(words))], "doc_id bigint, text string")
+    placed = texts.document_words(SimpleNamespace(documents=docs)).where("line = 1").collect()
+    assert {r["text"]: r["bbox"]["x"] for r in placed} == {w: i / 1200 for i, w in enumerate(words)}
+    ends = sorted((r["bbox"]["x"], r["bbox"]["x"] + r["bbox"]["w"]) for r in placed)
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+    targets = texts.document_targets(SimpleNamespace(documents=docs)).where("target = 'read'")
+    best = LO.top_clusters(LO.scored_windows(texts.document_words(SimpleNamespace(documents=docs)), targets)).where("rank = 1").first()
+    assert best["text"] == words[700] and (best["bbox"]["x"], best["bbox"]["y"]) == (round(700 / 1200, 4), 0.5)
+
+
 @pytest.mark.parametrize("name", ["memory_lookup_whole", "dashboard_access_whole"])
 def test_every_row_and_supplier_takes_part(spark, name):
     from __spark_entry__ import queries
