@@ -369,6 +369,24 @@ def test_words_of_long_lines_keep_their_places(spark):
     assert best["text"] == words[700] and (best["bbox"]["x"], best["bbox"]["y"]) == (round(700 / 1200, 4), 0.5)
 
 
+def test_every_candidate_of_an_order_gives_reasons(spark, monkeypatch):
+    from papertally.catalog import matching
+    from papertally.plans import reconcile
+
+    asked = {}
+
+    def resolve(*args, **kwargs):
+        asked.update(kwargs)
+        raise InterruptedError
+
+    monkeypatch.setattr(matching, "references", lambda t: None)
+    monkeypatch.setattr(matching, "parties", lambda t: None)
+    monkeypatch.setattr(reconcile, "resolve_documents", resolve)
+    with pytest.raises(InterruptedError):
+        matching.reference_reasons(None)
+    assert not any(asked.values())
+
+
 @pytest.mark.parametrize("name", ["memory_lookup_whole", "dashboard_access_whole"])
 def test_every_row_and_supplier_takes_part(spark, name):
     from __spark_entry__ import queries
