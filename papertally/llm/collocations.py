@@ -165,7 +165,7 @@ class Block:
         """Which tokens are of documents in the sample: drawn by block and position."""
         document = np.cumsum(self.tokens == 1).astype(np.uint64)
         document -= (self.tokens == 1).astype(np.uint64)
-        return _joined(document, np.uint64(self.number)) % np.uint64(SAMPLE) == 0
+        return _joined(document, np.array([self.number], np.uint64)) % np.uint64(SAMPLE) == 0
 
 
 class BitFilter:
@@ -233,16 +233,16 @@ def _read_bits(path: str) -> np.ndarray:
     return whole.view(np.uint8)
 
 
-def _eligible(block: Block, known: BitFilter | None) -> list[tuple[np.ndarray, np.ndarray]]:
+def _eligible(block: Block, known: BitFilter | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For phrases of each number of words: the places at which they begin and
     their keys, where both parts of one word less are ``known``. Words all are."""
     words = block.hashes[block.tokens]
     places = np.flatnonzero(block.tokens > 1)
-    keys, out = words[places], []
+    keys = words[places]
     for k in range(1, WORDS + 1):
         if k > 1:
             if known is None:
-                break
+                return
             at = np.zeros(len(words) + 1, bool)
             if k == 2:
                 in_dictionary = known.has(block.hashes)
@@ -254,8 +254,7 @@ def _eligible(block: Block, known: BitFilter | None) -> list[tuple[np.ndarray, n
             whole[places] = keys
             places = np.flatnonzero(at[:-1] & at[1:])
             keys = _joined(whole[places], words[places + k - 1])
-        out.append((places, keys))
-    return out
+        yield places, keys
 
 
 def _counts(k: int, keys: np.ndarray) -> pa.RecordBatch:
@@ -298,12 +297,12 @@ def _pass_counts(new: str | None, old: str | None, first: bool):
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block in _blocks(batches):
-            before = [] if first else _eligible(block, _filter(old))
+            before = iter(()) if first else _eligible(block, _filter(old))
             for k, (places, keys) in enumerate(_eligible(block, _filter(new)), 1):
                 counted = places + k > block.carried
-                if k <= len(before):
+                if (counted_before := next(before, None)) is not None:
                     done = np.zeros(len(block.tokens), bool)
-                    done[before[k - 1][0]] = True
+                    done[counted_before[0]] = True
                     counted &= ~done[places]
                 if counted.any():
                     yield _counts(k, keys[counted])
