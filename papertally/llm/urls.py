@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papertally.llm.registry import query, table
+from papertally.session import written
 
 #: Verdict where no rule fits.
 DEFAULT = "allow"
+#: So many hosts and beginnings of paths, those with most rows, are broadcast.
+HOT_PLACES = 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -74,7 +77,7 @@ def _winners(places: DataFrame, rules: DataFrame, reach: tuple[int, int, list[in
     the rule that wins, with its verdict."""
     labels, _, ends = reach
     if not labels:
-        return places.limit(0).withColumn("best", F.lit(None).cast("struct<rule:string,verdict:string>"))
+        return places.select("host", "begin").limit(0).withColumn("best", F.lit(None).cast("struct<rule:string,verdict:string>"))
     listed = rules.select(
         F.concat("host", "path").alias("rule"), "verdict", F.length("host").alias("host_length"),
         _digest(F.col("host"), F.col("path")).alias("rule_digest"),
@@ -101,7 +104,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> D
     has empty host and path, which only a rule with neither fits. Long URLs are
     judged whole; no more of a host or path is expanded than rules reach. Repeated
     rows stay repeated, an empty table gives no rows, and without rules every URL
-    gets ``default``. One small action: the reach of the rules.
+    gets ``default``. Three small actions: the reach of the rules, and two tables
+    of the distinct hosts with beginnings of paths.
     """
     known = rules.select(
         F.translate("host", _UPPER, _LOWER).alias("host"), F.col("path").alias("path"), F.col("verdict").alias("verdict")
@@ -111,9 +115,17 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> D
     rows = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("begin", F.substring("path", 1, reach[1]))
     # many URLs begin alike as far as rules reach: each beginning is looked up once
-    best = _winners(rows.select("host", "begin").distinct(), known, reach)
-    return rows.join(best, ["host", "begin"], "left").select(
-        "page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
+    places = written(rows.groupBy("host", "begin").agg(F.count(F.lit(1)).alias("n")))
+    found = written(places.join(_winners(places, known, reach), ["host", "begin"], "left"))
+    # the places with most rows are known to every task; a host that none has deals their rows out evenly
+    most = found.orderBy(F.desc("n"), "host", "begin").limit(HOT_PLACES)
+    hot = most.select("host", "begin", F.col("best").alias("hot"), F.lit(True).alias("is_hot"))
+    dealt = F.when(F.col("is_hot"), F.concat(F.lit("/"), F.xxhash64("page_id", "url").cast("string"))).otherwise(F.col("host"))
+    rows = rows.join(F.broadcast(hot), ["host", "begin"], "left").withColumn("dealt", dealt)
+    others = found.where("best IS NOT NULL").select(F.col("host").alias("dealt"), "begin", "best")
+    best = F.coalesce("hot", "best")
+    return rows.join(others, ["dealt", "begin"], "left").select(
+        "page_id", "url", "host", "path", best["rule"].alias("rule"), F.coalesce(best["verdict"], F.lit(default)).alias("verdict")
     )
 
 
