@@ -56,7 +56,7 @@ def test_call_log_is_append_only(spark, tmp_path):
     logs.append_calls(calls, out)
     back = spark.read.parquet(out)
     first = back.first()
-    assert back.count() == 2 and len(first.response_payload) == 140000 and len(first.error_message) == 500
+    assert back.count() == 2 and len(first.response_payload) == 200000 and len(first.error_message) == 900
     assert (first.prompt_tokens, first.completion_tokens, first.cost_usd, str(first.day)) == (5, 0, 0.0, "2026-01-02")
 
 
