@@ -237,6 +237,31 @@ def candidates_whole(t: Tables) -> DataFrame:
     return C.fetch_candidates(references(t), parties(t), settings.queries).select("doc", "name", "since")
 
 
+@query(
+    "candidates_contains",
+    """
+    WITH refs AS (SELECT o_orderkey AS doc, '%' || right(CAST(o_orderkey AS VARCHAR), 3) || '%' AS tail, CAST(o_custkey AS VARCHAR) AS account FROM orders)
+    SELECT doc, name, min(query_ord) AS query_ord FROM (
+      SELECT doc, c_name AS name, 0 AS query_ord FROM refs JOIN customer ON CAST(c_custkey AS VARCHAR) = account
+      UNION ALL
+      SELECT doc, c_name, 1 FROM refs JOIN (SELECT tail AS t, c_name FROM (SELECT DISTINCT tail FROM refs) JOIN customer
+                                            ON c_name || '/' || c_mktsegment LIKE tail AND c_nationkey = 7) ON t = tail) GROUP BY doc, name
+    """,
+)
+def candidates_contains(t: Tables) -> DataFrame:
+    """A strong key, and a text that holds the last digits of the document's number."""
+    one = lambda kind, value: t.orders.select(
+        F.col("o_orderkey").alias("doc"), F.lit(kind).alias("kind"), value.cast("string").alias("value"), F.lit(0).alias("pos")
+    )
+    refs = one("account", F.col("o_custkey")).unionByName(one("tail", F.right(F.col("o_orderkey").cast("string"), F.lit(3))))
+    text = F.concat("c_name", F.lit("/"), "c_mktsegment")
+    target = t.customer.select(
+        F.col("c_name").alias("name"), F.col("c_custkey").cast("string").alias("key"), F.col("c_nationkey").alias("nation"), text.alias("text")
+    )
+    queries = [{"keys": [{"field": "key", "from": "account"}]}, {"keys": [{"field": "text", "from": "tail", "match": "contains"}], "filters": {"nation": 7}}]
+    return C.fetch_candidates(refs, target, queries).select("doc", "name", "query_ord")
+
+
 @query(
     "reference_resolutions",
     "WITH" + PARTIES + "," + RESOLVED + "SELECT doc, kind, value, n_exact, n_suffix, status, target FROM resolved",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from papertally.catalog.registry import Tables, query
 from papertally.functions.numbers import confidence_band
+from papertally.operators import document_filters as DF
 from papertally.operators import filters as FL
 from papertally.operators import reports as R
 from papertally.operators.quality import schema_errors
@@ -153,13 +154,53 @@ def filter_spec(t: Tables) -> DataFrame:
     return FL.table_scan(t.customer, all_of, any_of, ["c_name", "c_acctbal"], doc=doc, key="c_custkey", guard=True)
 
 
-@query("unbounded_guard", "SELECT c_custkey, c_name FROM customer WHERE false")
+@query(
+    "unbounded_guard",
+    """
+    WITH docs AS (SELECT o_orderkey AS doc, CASE WHEN o_orderstatus = 'O' THEN o_custkey END AS account,
+                         CASE o_orderpriority WHEN '1-URGENT' THEN 'BUILDING' WHEN '2-HIGH' THEN 'MACHINERY' END AS segment,
+                         CASE WHEN o_totalprice > 150000 THEN 0 END AS least FROM orders),
+    tails AS (SELECT DISTINCT o_orderkey AS doc, lpad(CAST(l_partkey AS VARCHAR), 9, '0') AS tail
+              FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND o_orderpriority IN ('2-HIGH', '3-MEDIUM')),
+    asked AS (SELECT doc, account, segment, least, coalesce(n, 0) AS n_tails
+              FROM docs LEFT JOIN (SELECT doc, count(*) AS n FROM tails GROUP BY doc) USING (doc)),
+    keyed AS (SELECT doc, account AS custkey FROM docs WHERE account IS NOT NULL
+              UNION SELECT doc, c_custkey FROM tails JOIN customer ON c_name LIKE '%#' || tail),
+    rows AS (SELECT doc, c_custkey FROM keyed JOIN docs USING (doc) JOIN customer ON c_custkey = custkey
+             WHERE c_nationkey <> 3 AND (segment IS NULL OR c_mktsegment = segment) AND (least IS NULL OR c_acctbal > least))
+    SELECT doc, CAST((account IS NOT NULL)::INT + (segment IS NOT NULL)::INT + (least IS NOT NULL)::INT + n_tails AS BIGINT) AS n_conditions,
+           account IS NULL AND n_tails = 0 AS guarded, c_custkey FROM asked LEFT JOIN rows USING (doc)
+    """,
+)
 def unbounded_guard(t: Tables) -> DataFrame:
-    """A query whose keys all dropped returns nothing, not the whole table."""
-    doc = FL.DocumentValues({"keys": []})
-    return FL.table_scan(
-        t.customer, {"c_nationkey": 1}, [["c_custkey", "in", "{keys}"]], ["c_name"], doc=doc, key="c_custkey", guard=True
+    """Every order asks for customers: by account, or by the numbers of its parts,
+    and in a segment and with a balance where it tells them. Orders that tell
+    neither account nor parts fetch nothing, whatever else they ask for."""
+    doc = F.col("o_orderkey").alias("doc")
+    one = lambda key, value: t.orders.select(
+        doc, F.lit(key).alias("key"), F.lit(0).alias("idx"), value.cast("string").alias("value"), F.lit(False).alias("listed")
+    )
+    segment = F.when(F.col("o_orderpriority") == "1-URGENT", "BUILDING").when(F.col("o_orderpriority") == "2-HIGH", "MACHINERY")
+    told = (F.col("o_orderstatus") == "F") & F.col("o_orderpriority").isin("2-HIGH", "3-MEDIUM")
+    parts = t.lineitem.join(t.orders.where(told), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        doc, F.lit("parts").alias("key"), F.col("l_linenumber").alias("idx"),
+        F.concat(F.lit("#"), F.lpad(F.col("l_partkey").cast("string"), 9, "0")).alias("value"), F.lit(True).alias("listed"),
+    )
+    fields = (
+        one("account", F.when(F.col("o_orderstatus") == "O", F.col("o_custkey")))
+        .unionByName(one("segment", segment))
+        .unionByName(one("least", F.when(F.col("o_totalprice") > 150000, 0)))
+        .unionByName(parts)
+    )
+    fetched = DF.fetch_by_document(
+        t.orders.select(doc),
+        DF.Values(fields),
+        t.customer,
+        "c_custkey",
+        [["c_nationkey", "!=", 3], ["c_mktsegment", "=", "{segment}"], ["c_acctbal", ">", "{least}"]],
+        [["c_custkey", "in", "{account}"], ["c_name", "like", "%{parts}"]],
     )
+    return fetched.documents.join(fetched.rows.withColumnRenamed("key", "c_custkey"), "doc", "left")
 
 
 @query(

@@ -20,6 +20,7 @@ from papertally.functions.dates import within_text_bounds
 from papertally.functions.positions import keep_first, top_rows
 from papertally.functions.text import blank_to_null, trailing_digits
 from papertally.operators.filters import DocumentValues, predicate, resolve
+from papertally.session import written
 
 
 def reference_values(items: DataFrame) -> DataFrame:
@@ -63,55 +64,68 @@ def in_list(target: DataFrame, refs: DataFrame, field: str, negate: bool = False
 _GRAM = 3
 
 
-def _grams(text: Column, size: int) -> Column:
-    places = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
-    cut = F.transform(places, lambda i: F.substring(text, i, F.lit(size)))
-    return F.array_distinct(F.filter(cut, lambda g: F.length(g) == size))
+def _grams(text: Column) -> Column:
+    """The distinct pieces of up to ``_GRAM`` letters of a text, in one pass over
+    its letters."""
+    letters = F.split(text, "")
+    pieces, longest = [letters], letters
+    for size in range(2, _GRAM + 1):
+        # the lists end unevenly; a piece that runs over the end is null
+        longest = F.zip_with(longest, F.slice(letters, F.lit(size), F.greatest(F.size(letters), F.lit(1))), lambda a, b: F.concat(a, b))
+        pieces.append(longest)
+    return F.array_distinct(F.filter(F.flatten(F.array(*pieces)), lambda g: g.isNotNull() & (g != "")))
+
+
+def _core(pattern: Column) -> Column:
+    """The longest stretch of a LIKE pattern without wildcards (the first of equals)."""
+    stretches = F.array_sort(F.split(pattern, "[%_]"), lambda a, b: F.length(b) - F.length(a))
+    return F.get(stretches, F.lit(0))
+
+
+def like(text: Column, pattern: Column) -> Column:
+    """LIKE in which a backslash is a letter."""
+    return F.like(text, F.replace(pattern, F.lit("\\"), F.lit("\\\\")))
+
+
+def pattern_hits(patterns: DataFrame, target: DataFrame, field: str, key: str = "name") -> DataFrame:
+    """(pattern, key): the records whose field is LIKE each distinct ``pattern``.
+
+    A text that fits a pattern holds every piece of the pattern's longest stretch
+    of letters. An index of pieces, which has keys but no texts, is written once;
+    each pattern looks up the one of its pieces that fewest records hold, and the
+    texts meet what is left. A pattern without a letter fits nothing here. Two
+    tables are written (actions): the index and the chosen pieces.
+    """
+    core = patterns.select("pattern").distinct().withColumn("core", _core(F.col("pattern"))).where(F.length("core") > 0)
+    whole = F.filter(_grams(F.col("core")), lambda g: F.length(g) == F.least(F.length("core"), F.lit(_GRAM)))
+    pieces = core.select("pattern", F.explode(whole).alias("piece"))
+    hay = target.select(F.col(key).alias("_key"), F.explode(_grams(F.col(field).cast("string"))).alias("piece"))
+    # only pieces some pattern asks for are counted and kept
+    index = written(hay.join(pieces.select("piece").distinct(), "piece", "left_semi"))
+    held = index.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    # a pattern with a piece that no record has fits none, so an inner join of its rarest will do
+    rarest = pieces.join(held, "piece", "left").groupBy("pattern").agg(
+        F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece")
+    )
+    pairs = written(rarest).join(index, "piece").select("pattern", "_key")
+    texts = target.select(F.col(key).alias("_own"), F.col(field).cast("string").alias("_text"))
+    met = pairs.join(texts, F.col("_key") == F.col("_own")).where(like(F.col("_text"), F.col("pattern")))
+    return met.select("pattern", F.col("_key").alias(key))
 
 
 def contains_join(refs: DataFrame, target: DataFrame, field: str, key: str = "name") -> DataFrame:
-    """Records whose field holds a reference value (``LIKE '%value%'``).
+    """Records whose field holds a reference value (``LIKE '%value%'``), by
+    :func:`pattern_hits`. ``key`` is unique in ``target``.
 
-    A pattern that contains a text contains each of its pieces, so both sides
-    meet on one piece of up to three letters instead of in a nested loop. Per
-    value the piece held by the fewest records is used, which keeps common
-    pieces out of the join; the real pattern then decides.
     ``%`` and ``_`` inside a value keep their meaning; a value made only of
     them selects nothing.
     """
-    values = refs.select("value").distinct()
-    literal = F.array_sort(
-        F.split("value", "[%_]"), lambda a, b: F.length(b) - F.length(a)
-    )  # longest part free of wildcards
-    core = values.withColumn("_core", F.get(literal, F.lit(0))).where(F.length("_core") > 0)
-    pieces = core.select(
-        "value",
-        F.explode(
-            F.when(F.length("_core") >= _GRAM, _grams(F.col("_core"), _GRAM)).otherwise(F.array("_core"))
-        ).alias("_gram"),
-    )
-    hay = target.select(F.col(key).alias("_key"), F.col(field).cast("string").alias("_hay"))
-    sizes = [_grams(F.col("_hay"), s) for s in range(1, _GRAM + 1)]
-    index = hay.select("_key", "_hay", F.explode(functools.reduce(F.array_union, sizes)).alias("_gram"))
-    # only pieces some value asks for are worth counting and shuffling
-    index = index.join(pieces.select("_gram").distinct(), "_gram", "left_semi")
-    spread = index.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = (
-        pieces.join(spread, "_gram", "left")
-        .groupBy("value")
-        .agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
-    )
-    hits = (
-        rarest.join(index, "_gram")
-        .where(
-            F.when(F.col("value").rlike("[%_]"), F.expr(r"_hay LIKE concat('%', replace(value, '\\', '\\\\'), '%')"))
-            .otherwise(F.contains("_hay", "value"))
-        )
-        .select("value", "_key")
-        .distinct()
-    )
-    joined = refs.join(hits, "value")
-    return joined.join(target, joined["_key"] == target[key]).drop("_key")
+    pattern = F.concat(F.lit("%"), F.col("value"), F.lit("%"))
+    asked = refs.withColumn("_pattern", pattern)
+    hits = pattern_hits(asked.select(F.col("_pattern").alias("pattern")), target, field, key)
+    found = hits.select(F.col("pattern").alias("_pattern"), F.col(key).alias("_hit"))
+    joined = asked.join(found, "_pattern").drop("_pattern")
+    return joined.join(target, joined["_hit"] == target[key]).drop("_hit")
 
 
 def eligible(record_date: Column, context_from: Column, context_to: Column) -> Column:

@@ -16,7 +16,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_PLACEHOLDER = re.compile(r"\{([\w.]+)\}")
+PLACEHOLDER = re.compile(r"\{([\w.]+)\}")
 Condition = tuple[str, str, Any]
 
 _COMPARE = {
@@ -64,7 +64,7 @@ class DocumentValues:
     def fill(self, value: Any) -> Any:
         if not isinstance(value, str):
             return value
-        return _PLACEHOLDER.sub(lambda hit: self.text(hit.group(1)), value)
+        return PLACEHOLDER.sub(lambda hit: self.text(hit.group(1)), value)
 
 
 def resolve(spec: Mapping | Sequence | None, doc: DocumentValues) -> list[Condition]:
@@ -77,7 +77,7 @@ def resolve(spec: Mapping | Sequence | None, doc: DocumentValues) -> list[Condit
 
 def _resolve_one(field: str, op: str, value: Any, doc: DocumentValues) -> list[Condition]:
     if isinstance(value, str):
-        keys = [k for k in _PLACEHOLDER.findall(value) if not k.startswith("context.")]
+        keys = [k for k in PLACEHOLDER.findall(value) if not k.startswith("context.")]
         if op in ("in", "not in") and keys and value == "{" + keys[0] + "}":
             found = doc.values(keys[0])
             return [(field, op, found)] if found else []
