@@ -149,8 +149,8 @@ def fetch_by_document(
     one of theirs. The guard: a document whose declared ``or_filters`` all
     dropped fetches nothing, nor does one that is left without a condition of
     its own, or only with such as need a scan of the whole table (``!=``, ``<``,
-    alternatives of which one is the same for all documents,
-    ``not in`` and their like): ``guarded`` tells. Values are compared as text;
+    ``not in`` and their like, or alternatives of which one is fixed):
+    ``guarded`` tells. Values are compared as text;
     an ordering compares numbers where both are such. A null field of a record
     fits no condition. ``key`` is unique in ``target``.
     """

@@ -114,7 +114,7 @@ def test_patterns_in_long_texts(spark):
 
 def test_a_contains_key_among_the_keys_of_a_fetch(spark):
     refs = spark.createDataFrame([(1, "bill", "77", 0), (2, "bill", "9", 0), (2, "street", "Road", 1)], "doc int, kind string, value string, pos int")
-    table = spark.createDataFrame([("SI-77-a", "77", "x"), ("b", "8", "Main Road"), ("c", "9", None)], "name string, bill string, address string")
+    table = spark.createDataFrame([("SI-77-a", "78", "x"), ("b", "8", "Main Road"), ("c", "9", None)], "name string, bill string, address string")
     queries = [{"keys": [{"field": "bill", "from": "bill"}, {"field": "address", "from": "street", "match": "contains"}]},
                {"keys": [{"field": "name", "from": "bill", "match": "contains"}]}]
     rows = C.fetch_candidates(refs, table, queries)
