@@ -208,6 +208,38 @@ def fetch_candidates(
     return cap_per_document(union_first(fetched), document_cap)
 
 
+def find_matches(refs: DataFrame, target: DataFrame, queries: Sequence[Mapping[str, Any]]) -> DataFrame:
+    """(doc, kind, value, pos, name, key_ord, query_ord, fetch_pos): every record
+    a key of a query finds, with the reference that led to it; ``key_ord`` counts
+    the keys of all queries. Queries are those of :func:`fetch_candidates`, whole.
+
+    Of the records only name, key and order take part, so that what later steps
+    read again and again is narrow; :func:`with_fields` adds the rest.
+    """
+    join_of = {"exact": exact_join, "suffix": suffix_join, "contains": contains_join}
+    found, key_ord = [], 0
+    for query_ord, query in enumerate(queries):
+        condition = predicate(resolve(query.get("filters"), DocumentValues()), [])
+        rows = target if condition is None else target.where(condition)
+        order = F.expr(query.get("order", "name")).cast("string").alias("fetch_pos")
+        for spec in query["keys"]:
+            side = refs.where(F.col("kind") == spec["from"]).select("doc", "kind", "value", "pos")
+            near = rows.select("name", F.col(spec["field"]).cast("string").alias("_field"), order)
+            hits = join_of[spec.get("match", "exact")](side, near, "_field")
+            found.append(hits.drop("_field").withColumns({"key_ord": F.lit(key_ord), "query_ord": F.lit(query_ord)}))
+            key_ord += 1
+    return functools.reduce(lambda a, b: a.unionByName(b), found)
+
+
+def with_fields(matches: DataFrame, target: DataFrame) -> DataFrame:
+    """The candidates of :func:`fetch_candidates` from its matches: each record of
+    a document once, where it came first, with its fields. ``name`` is unique in
+    ``target``."""
+    first = matches.groupBy("doc", "name").agg(F.min(F.struct("query_ord", "fetch_pos")).alias("_first"))
+    kept = first.select("doc", "name", "_first.query_ord", "_first.fetch_pos")
+    return kept.join(target, "name").select("doc", *target.columns, "query_ord", "fetch_pos")
+
+
 def contains_every(refs: DataFrame, target: DataFrame, field: str, key: str = "name") -> DataFrame:
     """Records whose field holds all the values of a document.
 

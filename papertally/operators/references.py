@@ -119,6 +119,49 @@ def reference_hits(refs: DataFrame, cands: DataFrame, rules: Sequence[Rule]) ->
     return left.join(keyed_candidates(cands, rules), ["doc", "kind", "mode", "key"], "left").drop("key")
 
 
+def covered_rules(rules: Sequence[Rule], queries: Sequence[Mapping]) -> dict[int, int]:
+    """Rules, by place, that say what a key of a whole, unfiltered query says, with
+    that key's number: all records they can match are among what it finds."""
+    keys: dict[tuple, int] = {}
+    number = 0
+    for query in queries:
+        for spec in query["keys"]:
+            if not query.get("filters"):
+                keys.setdefault((spec["field"], spec["from"], spec.get("match", "exact")), number)
+            number += 1
+    said = {i: keys.get((r.target_field, r.source, r.mode)) for i, r in enumerate(rules)}
+    return {i: number for i, number in said.items() if number is not None}
+
+
+def hits_of_matches(refs: DataFrame, matches: DataFrame, cands: DataFrame, rules: Sequence[Rule], queries: Sequence[Mapping]) -> DataFrame:
+    """The table of :func:`reference_hits`, of which rows without a name may stand
+    beside rows with one. What the fetch has already met
+    (:func:`papertally.operators.candidates.find_matches`) is not joined again;
+    only rules that no key of a query covers are."""
+    covered = covered_rules(rules, queries)
+    sources = list(dict.fromkeys(r.source for r in rules))
+    names = ["doc", "kind", "value", "pos", "mode", "name", "rule_ord"]
+    bare = refs.where(F.col("kind").isin(sources)).select(
+        "doc", "kind", "value", "pos", F.lit(None).cast("string").alias("mode"),
+        F.lit(None).cast(matches.schema["name"].dataType).alias("name"), F.lit(None).cast("int").alias("rule_ord"),
+    )
+    out = bare
+    if covered:
+        by_key = F.array(*[
+            F.struct(F.lit(key).alias("key"), F.lit(rules[i].mode).alias("mode"), F.lit(i).alias("rule_ord"))
+            for i, key in covered.items()
+        ])
+        fit = F.filter(by_key, lambda x: x["key"] == F.col("key_ord"))
+        met = matches.select("doc", "kind", "value", "pos", "name", F.inline(fit)).drop("key")
+        out = out.unionByName(met.select(*names))
+    rest = [(i, r) for i, r in enumerate(rules) if i not in covered]
+    if rest:
+        places = F.array(*[F.lit(i) for i, _ in rest])
+        more = reference_hits(refs, cands, [r for _, r in rest]).where(F.col("name").isNotNull())
+        out = out.unionByName(more.withColumn("rule_ord", F.get(places, F.col("rule_ord"))).select(*names))
+    return out
+
+
 def resolve_references(hits: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """(doc, kind, value, pos, kind_ord, n_exact, n_suffix, target, strength,
     via, status): one row per reference value, from :func:`reference_hits`.

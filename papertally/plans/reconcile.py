@@ -84,9 +84,18 @@ def check_items(
 
 
 def check_conflict(refs: DataFrame, target: DataFrame, settings: MatchSettings) -> DataFrame:
-    """Fetch candidates and test the references of each document."""
-    hits = written(R.reference_hits(refs, C.fetch_candidates(refs, target, settings.queries), settings.rules))
-    return R.consistency(_resolutions(hits, settings))
+    """Fetch candidates and test the references of each document (actions: the
+    references, what they find, and the resolutions are written once)."""
+    own = written(refs)
+    _, hits = _found(own, target, settings)
+    return R.consistency(written(_resolutions(hits, settings)))
+
+
+def _found(own: DataFrame, target: DataFrame, settings: MatchSettings) -> tuple[DataFrame, DataFrame]:
+    """Candidates and hits of written references, from one meeting with the records."""
+    met = written(C.find_matches(own, target, settings.queries))
+    cands = C.with_fields(met, target)
+    return cands, R.hits_of_matches(own, met, cands, settings.rules, settings.queries)
 
 
 def _resolutions(hits: DataFrame, settings: MatchSettings) -> DataFrame:
@@ -104,13 +113,19 @@ def resolve_documents(
 ) -> Resolution:
     """Candidates, agreement of references, and what is applied on proof.
 
-    ``context``: (doc, context_from, context_to). The candidates and their
-    hits, which every later step reads, are written once (two actions).
+    ``context``: (doc, context_from, context_to). The references, their meetings
+    with the records, the candidates, their hits and the resolutions, which
+    later steps read, are written once (actions).
     """
     sources = list(dict.fromkeys(r.source for r in settings.rules))
+    refs = written(refs)
     own = refs.where(F.col("kind").isin(sources))
-    cands = written(C.fetch_candidates(refs, target, settings.queries, query_cap, document_cap))
-    hits = written(R.reference_hits(own, cands, settings.rules))
+    if query_cap is None and document_cap is None:
+        cands, hits = _found(refs, target, settings)
+        cands, hits = written(cands), written(hits)
+    else:
+        cands = written(C.fetch_candidates(refs, target, settings.queries, query_cap, document_cap))
+        hits = written(R.reference_hits(own, cands, settings.rules))
     resolutions = written(_resolutions(hits, settings))
     verdicts = R.consistency(resolutions)
     scored = M.scored_candidates(
