@@ -17,6 +17,7 @@ from papertally.operators.quality import FieldSpec
 from papertally.plans import plugins as PL
 
 REPLY_SCHEMA = [FieldSpec("k"), FieldSpec("type"), FieldSpec("tags", kind="array"), FieldSpec("box")]
+from papertally.session import spread
 
 
 def printed_replies(t: Tables) -> DataFrame:
@@ -150,7 +151,8 @@ def order_replies(t: Tables) -> DataFrame:
     ).otherwise(
         F.concat(F.lit('"tables": {"other": '), F.coalesce("o", empty), F.lit(', "items": '), F.coalesce("f", empty), F.lit("}"))
     )
-    joined = t.orders.join(sides, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    # texts are made and parsed where their orders are: on all cores
+    joined = spread(t.orders).join(sides, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return joined.select(F.col("o_orderkey").alias("doc"), F.concat(F.lit("{"), fields, F.lit(", "), tables, F.lit("}")).alias("text"))
 
 
