@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papertally.config import config_frame, literal_array, literal_map
@@ -363,10 +363,13 @@ def _kind_list(kinds: Column) -> Column:
 
 
 def verdict_summary(verdicts: DataFrame) -> DataFrame:
-    """(doc, key, n_approved, n_pending): statuses per key."""
+    """(doc, key, n_approved, n_pending, statuses): statuses per key, counted and
+    listed in the order of the items."""
+    placed = F.struct(F.coalesce("idx", F.lit(-1)).alias("idx"), "status")
     return verdicts.groupBy("doc", "key").agg(
         F.count_if(F.col("status") == "Approved").alias("n_approved"),
         F.count_if(F.col("status") == "Pending").alias("n_pending"),
+        F.transform(F.array_sort(F.collect_list(placed)), lambda x: x["status"]).alias("statuses"),
     )
 
 
@@ -394,6 +397,13 @@ def document_status(
     return out.select("doc", F.when(open_, "Needs Review").otherwise("Completed").alias("status"))
 
 
+def rejected_boxes(outcomes: DataFrame) -> DataFrame:
+    """(doc, key, idx, bbox): boxes whose crop a check (doc, key, idx, bbox,
+    contains) did not confirm, be it by a no or without an answer."""
+    kept = outcomes.where(F.col("bbox").isNotNull() & ~F.coalesce("contains", F.lit(False)))
+    return kept.select("doc", "key", "idx", "bbox").distinct()
+
+
 def patch_merge(
     items: DataFrame,
     repairs: DataFrame,
@@ -406,9 +416,11 @@ def patch_merge(
     Only asked (doc, key, idx) pairs, or (doc, key, null) for a whole key, may
     change; the others are returned as dropped. Per item the later repair wins
     field by field. An item that was missing is created when a value comes; a
-    null value keeps the old one; a new box that covers too much of the page or
-    was rejected before (``rejected``: doc, key, idx, bbox) goes back to the
-    old one; the cross-check mark of a repaired item is cleared.
+    null value keeps the old one. Repairs of a missing item count from the first
+    that brings a value. A new box that covers too much of the page or was
+    rejected before (``rejected``: doc, key, idx, bbox; see
+    :func:`rejected_boxes`) leaves the box as the repairs before it made it; the
+    cross-check mark of a repaired item is cleared. ``pos`` is unique in a document.
     """
     lists = _keys(schema, lambda s: s.kind == "array")
     usable = usable_index(repairs, schema)
@@ -427,41 +439,37 @@ def patch_merge(
     sizes = items.where(F.col("key").isin(lists)).groupBy("doc", "key").agg(F.count(F.lit(1)).alias("_len"))
     inside = F.coalesce((F.col("_i") >= 0) & (F.col("_i") < F.col("_len")), F.lit(False))
     place = F.when(~F.col("key").isin(lists) | inside, F.col("_i")).otherwise(F.lit(0))
-    latest = (
+    present = items.select("doc", "key", F.coalesce("idx", F.lit(-1)).alias("_i")).distinct().withColumn("_have", F.lit(True))
+    item = ["doc", "key", "_i"]
+    begun = F.min(F.when(filled(F.col("value")), F.col("pos"))).over(Window.partitionBy(*item))
+    counted = (
         tagged.where(permitted)
         .join(sizes, ["doc", "key"], "left")
         .withColumn("_i", place)
-        .groupBy("doc", "key", "_i")
+        .join(present, item, "left")
+        .withColumn("_begun", begun)
+        .where(F.col("_have") | (F.col("pos") >= F.col("_begun")))
+    )
+    boxes = counted.where(area(F.col("bbox")) <= MAX_BOX_AREA).select(*item, "pos", "bbox")
+    if rejected is not None:
+        bad = rejected.select(
+            F.col("doc").alias("_rd"), F.col("key").alias("_rk"), F.coalesce("idx", F.lit(-1)).alias("_ri"), F.col("bbox").alias("_rb")
+        )
+        same = (F.col("doc") == F.col("_rd")) & (F.col("key") == F.col("_rk")) & (F.col("_i") == F.col("_ri"))
+        boxes = boxes.join(bad, same & (iou(F.col("bbox"), F.col("_rb")) > REJECTED_IOU), "left_anti")
+    fit = boxes.groupBy(*item).agg(F.max_by("bbox", "pos").alias("_box"))
+    latest = (
+        counted.groupBy(*item)
         .agg(
             F.max_by(F.when(given, F.struct("value", "raw_text")), F.when(given, F.col("pos"))).alias("_new"),
             F.max_by("confidence", F.when(F.col("confidence").isNotNull(), F.col("pos"))).alias("_conf"),
-            F.max_by("bbox", F.when(F.col("bbox").isNotNull(), F.col("pos"))).alias("_box"),
         )
+        .join(fit, item, "left")
     )
 
     old = items.withColumn("_i", F.coalesce("idx", F.lit(-1)))
     joined = old.withColumn("_old", F.lit(True)).join(latest.withColumn("_fix", F.lit(True)), ["doc", "key", "_i"], "full")
     joined = joined.where(F.col("_old") | filled(F.col("_new.value")))
-    new_box = F.col("_box").isNotNull() & ~F.col("_box").eqNullSafe(F.col("bbox"))
-    unfit = area(F.col("_box")) > MAX_BOX_AREA
-    if rejected is not None:
-        bad = (
-            latest.where(F.col("_box").isNotNull())
-            .select("doc", "key", "_i", "_box")
-            .join(
-                rejected.select(
-                    F.col("doc").alias("_rd"), F.col("key").alias("_rk"),
-                    F.coalesce("idx", F.lit(-1)).alias("_ri"), F.col("bbox").alias("_rb"),
-                ),
-                (F.col("doc") == F.col("_rd")) & (F.col("key") == F.col("_rk")) & (F.col("_i") == F.col("_ri"))
-                & (iou(F.col("_box"), F.col("_rb")) > REJECTED_IOU),
-                "left_semi",
-            )
-            .select("doc", "key", "_i", F.lit(True).alias("_rejected"))
-        )
-        joined = joined.join(bad, ["doc", "key", "_i"], "left")
-        unfit = unfit | F.coalesce("_rejected", F.lit(False))
-    box_now = F.when(new_box & ~F.coalesce(unfit, F.lit(False)), F.col("_box")).otherwise(F.col("bbox"))
     created = F.col("_old").isNull()
     index = F.when(F.col("key").isin(lists), F.when(created, F.lit(0)).otherwise(F.col("_i"))).cast("int")
     text = F.when(
@@ -474,7 +482,7 @@ def patch_merge(
         F.coalesce("_new.value", "value").alias("value"),
         text.alias("raw_text"),
         F.coalesce("_conf", "confidence").alias("confidence"),
-        box_now.alias("bbox"),
+        F.coalesce("_box", "bbox").alias("bbox"),
         F.coalesce("_fix", F.lit(False)).alias("repaired"),
         *(
             [F.when(F.col("_fix").isNull(), F.col("cross_check")).alias("cross_check")]
