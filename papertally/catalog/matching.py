@@ -351,6 +351,21 @@ def scored_candidates(t: Tables) -> DataFrame:
     return run.scored.select("doc", "name", "confidence", "matched_value", "reason", "rank_text")
 
 
+@query(
+    "ranked_candidates",
+    "WITH" + PARTIES + "," + RESOLVED + _SCORED + """
+    , first AS (SELECT doc, name, min(CASE kind WHEN 'account' THEN 0 ELSE 1 END) AS query_ord FROM hits GROUP BY 1, 2)
+    SELECT s.doc, s.name, confidence,
+           row_number() OVER (PARTITION BY s.doc ORDER BY confidence DESC, coalesce(p.since, '') DESC, query_ord, s.name) AS rank
+    FROM scored s JOIN parties p ON p.name = s.name JOIN first f ON f.doc = s.doc AND f.name = s.name
+    """,
+)
+def ranked_candidates(t: Tables) -> DataFrame:
+    settings = match_settings(SETTINGS)
+    run = P.resolve_documents(references(t), parties(t), settings)
+    return M.ranked_candidates(run.scored, settings.rank_desc).select("doc", "name", "confidence", "rank")
+
+
 @query(
     "scored_with_context_rows",
     """

@@ -380,6 +380,33 @@ def stale_runs(t: Tables) -> DataFrame:
     return R.mark_stale_runs(runs, now).select("event_id", "status", "error_message", "ended_at")
 
 
+def _bundle(t: Tables) -> dict[str, DataFrame]:
+    """Lines and pages of every order, two of its fields, one with a schema."""
+    doc = F.col("l_orderkey").alias("doc")
+    pages = t.lineitem.select(
+        doc, F.concat("l_linenumber", F.lit(".0")).alias("page_no"), F.concat(F.lit("p"), "l_partkey").alias("image"),
+        F.when(F.col("l_returnflag") != "A", F.concat(F.lit("1,"), F.lpad(F.col("l_suppkey").cast("string"), 3, "0"))).alias("width"),
+        F.lit("x").alias("height"),
+    )
+    fields = F.inline(
+        F.array(
+            F.struct(F.lit("status").alias("fieldname"), F.col("o_orderstatus").alias("value"), F.lit("0.5").alias("confidence")),
+            F.struct(F.lit("priority").alias("fieldname"), F.col("o_orderpriority").alias("value"), F.lit(None).cast("string").alias("confidence")),
+        )
+    )
+    rows = t.orders.select(F.col("o_orderkey").alias("doc"), fields)
+    # the schema of one region's fields
+    header = t.region.where("r_regionkey = 0").select(
+        F.lit("status").alias("fieldname"), F.lit("O,F,P").alias("choices"), F.lit(None).cast("string").alias("link_doctype"), F.lit(True).alias("required")
+    )
+    lines = t.lineitem.select(
+        doc, F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).otherwise("").alias("table"), F.col("l_linenumber").alias("row_no"),
+        F.col("l_partkey").alias("part"), F.col("l_quantity").cast("string").alias("qty"), F.lit("n/a").alias("rate"),
+    )
+    defaults = t.orders.select(F.col("o_orderkey").alias("doc"), F.col("o_orderpriority").alias("line_table"))
+    return R.extraction_bundle(pages, rows, header, lines, defaults)
+
+
 @query(
     "bundle_tables",
     """
@@ -391,17 +418,44 @@ def stale_runs(t: Tables) -> DataFrame:
     """,
 )
 def bundle_tables(t: Tables) -> DataFrame:
-    lines = t.lineitem.select(
-        F.col("l_orderkey").alias("doc"),
-        F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).otherwise("").alias("table"),
-        F.col("l_linenumber").alias("row_no"),
-    )
-    defaults = t.orders.select(F.col("o_orderkey").alias("doc"), F.col("o_orderpriority").alias("line_table"))
-    rows = lines.select("doc", F.lit("f").alias("fieldname"))
-    header = rows.select(
-        "fieldname", F.lit("").alias("choices"), F.lit("").alias("link_doctype"), F.lit(True).alias("required")
-    )
-    return R.extraction_bundle(lines, rows, header, lines, defaults)["tables"]
+    return _bundle(t)["tables"]
+
+
+@query(
+    "bundle_pages",
+    """
+    SELECT l_orderkey AS doc, CAST(l_linenumber AS BIGINT) AS page_no, 'p' || l_partkey AS image,
+           CASE WHEN l_returnflag <> 'A' THEN 1000 + l_suppkey % 1000 ELSE 0 END AS width, 0::BIGINT AS height,
+           row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'p' || l_partkey) AS place
+    FROM lineitem
+    """,
+)
+def bundle_pages(t: Tables) -> DataFrame:
+    return _bundle(t)["pages"]
+
+
+@query(
+    "bundle_fields",
+    """
+    SELECT o_orderkey AS doc, 'status' AS fieldname, o_orderstatus AS value, 0.5::DOUBLE AS confidence, 'O,F,P' AS choices,
+           NULL::VARCHAR AS link_doctype, true AS required FROM orders
+    UNION ALL SELECT o_orderkey, 'priority', o_orderpriority, 0::DOUBLE, NULL, NULL, false FROM orders
+    """,
+)
+def bundle_fields(t: Tables) -> DataFrame:
+    return _bundle(t)["fields"]
+
+
+@query(
+    "bundle_lines",
+    """
+    SELECT l_orderkey AS doc, coalesce(CASE WHEN l_returnflag <> 'N' THEN l_returnflag END, o_orderpriority) AS "table",
+           CAST(l_linenumber AS BIGINT) AS row_no, l_partkey AS part, CAST(l_quantity AS DOUBLE) AS qty, 0::DOUBLE AS rate
+    FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey
+    """,
+)
+def bundle_lines(t: Tables) -> DataFrame:
+    return _bundle(t)["lines"]
 
 
 @query(

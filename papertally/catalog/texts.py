@@ -294,3 +294,81 @@ def tightened_boxes(t: Tables) -> DataFrame:
     claimed = targets.select("page", "target", box(F.lit(0.0), F.lit(0.05), F.lit(1.0), F.lit(0.05)).alias("bbox"))
     snapped = LO.tighten_boxes(claimed, clusters)
     return snapped.select("page", "target", F.col("bbox.x").alias("x"), F.col("bbox.y").alias("y"), "snapped")
+
+
+# Pages whose words have 32 letters drawn by a digest: different words are far
+# from alike, and one replaced letter makes a ratio of 31/32.
+_PRINTED = """
+    WITH words AS (
+      SELECT l_orderkey AS page, l_linestatus AS line, l_partkey AS p, l_linenumber AS n, md5('' || l_partkey) AS text,
+             CAST((l_linenumber - 1) / 8 AS DOUBLE) AS x, CASE l_linestatus WHEN 'F' THEN 0.04::DOUBLE ELSE 0.5::DOUBLE END AS y FROM lineitem),
+    boxed AS (
+      SELECT page, line, text, x, y, row_number() OVER (PARTITION BY page, line ORDER BY x, text) AS start FROM words),
+    wanted AS (SELECT l_orderkey AS page, md5('' || min(l_partkey)) AS word FROM lineitem GROUP BY 1),
+    targets AS (SELECT page, 'read' AS target, word, 1.0::DOUBLE AS score FROM wanted
+                UNION ALL SELECT page, 'misread', word, 0.9688::DOUBLE FROM wanted),
+    spots AS (SELECT t.page, t.target, t.score, b.text, b.x, b.y, min(b.line) AS line, min(b.start) AS start
+              FROM targets t JOIN boxed b ON b.page = t.page AND b.text = t.word GROUP BY ALL),
+    clusters AS (SELECT page, target, row_number() OVER (PARTITION BY page, target ORDER BY line, start) AS rank, score, text, x, y FROM spots),
+    sure AS (SELECT page, target, score, text, x, y FROM clusters QUALIFY count(*) OVER (PARTITION BY page, target) = 1)
+    """
+
+
+def printed_words(t: Tables) -> DataFrame:
+    """A word for each line of an order, in two text lines of its page."""
+    place = box(
+        (F.col("l_linenumber") - 1) / 8, F.when(F.col("l_linestatus") == "F", 0.04).otherwise(0.5), F.lit(0.1), F.lit(0.05)
+    )
+    return t.lineitem.select(
+        F.col("l_orderkey").alias("page"), F.col("l_linestatus").alias("line"), F.md5(F.col("l_partkey").cast("string")).alias("text"), place.alias("bbox")
+    )
+
+
+def printed_targets(t: Tables) -> DataFrame:
+    """A word of each page, the same misread in a letter, and one that is not there."""
+    word = F.md5(F.min("l_partkey").cast("string"))
+    found = t.lineitem.groupBy(F.col("l_orderkey").alias("page")).agg(word.alias("w"))
+    misread = F.concat(F.substring("w", 1, 11), F.lit("g"), F.expr("substring(w, 13)"))
+    named = [("read", F.col("w")), ("misread", misread), ("absent", F.reverse(F.md5("w")))]
+    each = F.array(*[F.struct(F.lit(n).alias("target"), form.alias("form")) for n, form in named])
+    return found.select("page", F.inline(each)).select("page", "target", F.array("form").alias("forms"))
+
+
+def _printed(t: Tables) -> DataFrame:
+    return LO.top_clusters(LO.scored_windows(printed_words(t), printed_targets(t)))
+
+
+@query("locate_printed", _PRINTED + "SELECT page, target, rank, score, text, x, y FROM clusters WHERE rank <= 8")
+def locate_printed(t: Tables) -> DataFrame:
+    return _printed(t).select("page", "target", "rank", "score", "text", F.col("bbox.x").alias("x"), F.col("bbox.y").alias("y"))
+
+
+@query("certain_printed", _PRINTED + "SELECT page, target, score, text, x, y FROM sure")
+def certain_printed(t: Tables) -> DataFrame:
+    sure = LO.certain_location(_printed(t))
+    return sure.select("page", "target", "score", "text", F.col("bbox.x").alias("x"), F.col("bbox.y").alias("y"))
+
+
+@query(
+    "tightened_printed",
+    _PRINTED + """
+    , kept AS (SELECT page, target, x, y FROM (SELECT c.* FROM clusters c LEFT JOIN orders ON o_orderkey = page
+                      WHERE NOT (o_orderpriority IS NOT DISTINCT FROM '5-LOW' AND y < 0.4))
+               QUALIFY count(*) OVER (PARTITION BY page, target) = 1),
+    claims AS (SELECT page, unnest(['read', 'misread', 'absent']) AS target FROM wanted)
+    SELECT page, target, CASE WHEN k.y < 0.4 THEN k.x ELSE 0::DOUBLE END AS x, CASE WHEN k.y < 0.4 THEN k.y ELSE 0.08::DOUBLE END AS y,
+           coalesce(k.y < 0.4, false) AS snapped
+    FROM claims LEFT JOIN kept k USING (page, target)
+    """,
+)
+def tightened_printed(t: Tables) -> DataFrame:
+    """Claims across the page, a little below its first text line. In orders of
+    low priority places of that line were rejected before."""
+    words = printed_words(t)
+    clusters = _printed(t)
+    low = t.orders.where(F.col("o_orderpriority") == "5-LOW").select(F.col("o_orderkey").alias("page"))
+    first = words.where(F.col("line") == "F").select("page", "bbox").join(low, "page")
+    rejected = first.select("page", F.explode(F.array(F.lit("read"), F.lit("misread"))).alias("target"), "bbox")
+    claimed = printed_targets(t).select("page", "target", box(F.lit(0.0), F.lit(0.08), F.lit(1.0), F.lit(0.05)).alias("bbox"))
+    snapped = LO.tighten_boxes(claimed, clusters, rejected)
+    return snapped.select("page", "target", F.col("bbox.x").alias("x"), F.col("bbox.y").alias("y"), "snapped")

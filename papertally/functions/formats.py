@@ -18,8 +18,10 @@ def _result(value: Column, ok: Column) -> Column:
 
 
 def amount_text(number: Column) -> Column:
-    """Text of an amount with one or two decimals (``1554.0``, ``12.25``)."""
-    return F.regexp_replace(number.cast("decimal(38,2)").cast("string"), "0$", "")
+    """Text of an amount with one or two decimals (``1554.0``, ``12.25``); from
+    1e36 on, where decimals end, with an exponent (``1.0E36``)."""
+    plain = F.regexp_replace(number.try_cast("decimal(38,2)").cast("string"), "0$", "")
+    return F.when(F.abs(number) < 1e36, plain).otherwise(number.cast("string"))
 
 
 def normalize(value: Column, raw_text: Column, fmt: str | None) -> Column:
@@ -37,7 +39,7 @@ def normalize(value: Column, raw_text: Column, fmt: str | None) -> Column:
         number = try_double(F.regexp_replace(text, r"[^0-9.\-]", ""))
 
         def rounded(n: Column) -> Column:
-            good = F.coalesce(is_finite(n) & (F.abs(n) < 1e36), F.lit(False))
+            good = F.coalesce(is_finite(n), F.lit(False))
             return _result(F.when(good, amount_text(F.round(n, 2))).otherwise(text), good)
 
         shaped = let(number, rounded)

@@ -84,7 +84,7 @@ def scored_candidates(
     limit: int = CANDIDATE_LIMIT,
 ) -> DataFrame:
     """(doc, name, confidence, reason, matched_value, matched_field, rank_text,
-    fetch_pos): candidates with the evidence that supports them.
+    query_ord, fetch_pos): candidates with the evidence that supports them.
 
     Rows with evidence are all kept; rows without are cut to ``context_rows``
     and to what ``limit`` leaves.
@@ -93,7 +93,8 @@ def scored_candidates(
     found = evidence(hits, rules, base)
     how = "left" if context_rows > 0 else "inner"
     rank_text = F.coalesce(F.col(rank_field).cast("string"), F.lit("")) if rank_field else F.lit("")
-    listed = cands.select("doc", "name", "fetch_pos", rank_text.alias("rank_text"))
+    query_ord = F.col("query_ord") if "query_ord" in cands.columns else F.lit(0)
+    listed = cands.select("doc", "name", query_ord.alias("query_ord"), "fetch_pos", rank_text.alias("rank_text"))
     said = (
         F.when(
             F.col("mode") == "exact",
@@ -113,6 +114,7 @@ def scored_candidates(
         "matched_value",
         F.col("via").alias("matched_field"),
         "rank_text",
+        "query_ord",
         "fetch_pos",
     )
     strong = scored.where(F.col("matched_value").isNotNull())
@@ -132,7 +134,14 @@ def scored_candidates(
 def ranking(rank_desc: bool = True) -> list[Column]:
     """Order of candidates: confidence, then the rank text, then fetch order."""
     rank = F.col("rank_text").desc() if rank_desc else F.col("rank_text").asc()
-    return [F.col("confidence").desc(), rank, F.col("fetch_pos").asc(), F.col("name").asc()]
+    return [F.col("confidence").desc(), rank, F.col("query_ord").asc(), F.col("fetch_pos").asc(), F.col("name").asc()]
+
+
+def ranked_candidates(scored: DataFrame, rank_desc: bool = True) -> DataFrame:
+    """Scored candidates with their ``rank`` in the document, from 1: those with
+    evidence, then the others, each in the order of :func:`ranking`."""
+    shown = F.col("matched_value").isNull().cast("int")
+    return top_rows(scored, ["doc"], [shown, *ranking(rank_desc)], None, "rank")
 
 
 def validate_answers(

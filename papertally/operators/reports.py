@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papertally.functions.numbers import call_cost, cint, flt
@@ -44,15 +44,18 @@ def page_count_report(scans: DataFrame, details: DataFrame, targets: DataFrame,
 
     ``scans``: (name, doctype, docname, scanner_layout, owner, creation,
     modified); ``details``: (scanner_document, title, is_deleted); ``targets``:
-    (name, docstatus, <date field>). Pages are counted per (scan, title) before
-    any other column is attached, so the large table is reduced first.
+    (name, docstatus, <date field>). The range decides first: only pages of its
+    scans are counted, per (scan, title), before any other column is attached.
     """
+    chosen = targets.where(in_range).select(F.col("name").alias("docname"), "docstatus")
+    wanted = scans.join(chosen, "docname", "left_semi").select(F.col("name").alias("scanner_document"))
     pages = (
         details.where(F.col("is_deleted") != 1)
+        .select("scanner_document", "title")
+        .join(wanted, "scanner_document", "left_semi")
         .groupBy("scanner_document", "title")
         .agg(F.count(F.lit(1)).alias("page_count"))
     )
-    chosen = targets.where(in_range).select(F.col("name").alias("docname"), "docstatus")
     return (
         scans.join(chosen, "docname")
         .join(pages, F.col("name") == F.col("scanner_document"))
@@ -170,21 +173,30 @@ def extraction_bundle(
 ) -> dict[str, DataFrame]:
     """The parts of an extraction as a reviewer sees it, one DataFrame each.
 
-    ``pages`` (doc, page_no, image), fields joined with their schema, lines
-    with the document's default table (``default_table``: doc, line_table)
-    filled in, and the declared tables numbered by their first line.
+    ``pages`` (doc, page_no, width, height, ...) with numbers read leniently and
+    ``place``, their order in the document; ``rows`` (doc, fieldname, confidence,
+    source_page, ...) joined with their schema ``header`` (fieldname, choices,
+    link_doctype, required), fields unknown to it being optional; ``lines`` (doc,
+    table, row_no, ...) with the document's ``default_table`` (doc, line_table)
+    filled in; and the declared tables in the order of their first line. Columns
+    beyond these stay as they are.
     """
+    lenient = lambda df, of, names: df.withColumns({n: of(F.col(n)) for n in names if n in df.columns})
+    paged = lenient(pages, cint, ["page_no", "width", "height"])
+    by_number = Window.partitionBy("doc").orderBy("page_no", *[c for c in ("image",) if c in pages.columns])
     own = header.select("fieldname", "choices", "link_doctype", "required")
     fields = rows.join(own, "fieldname", "left").withColumn("required", F.coalesce("required", F.lit(False)))
+    fields = lenient(lenient(fields, flt, ["confidence"]), cint, ["source_page"])
     table = F.coalesce(F.nullif(F.col("table"), F.lit("")), F.col("line_table"))
     named = lines.join(default_table, "doc", "left").withColumn("table", table).drop("line_table")
-    declared = (
-        named.where(F.coalesce("table", F.lit("")) != "")
-        .groupBy("doc", "table")
-        .agg(F.min(F.struct(cint(F.col("row_no")).alias("row_no"))).alias("_f"))
-        .select("doc", "table", F.col("_f.row_no").alias("first_row"))
-    )
-    return {"pages": pages, "fields": fields, "lines": named, "tables": declared}
+    named = lenient(lenient(named, flt, ["qty", "rate", "amount", "match_confidence"]), cint, ["row_no", "source_page"])
+    declared = named.where(F.coalesce("table", F.lit("")) != "").groupBy("doc", "table").agg(F.min("row_no").alias("first_row"))
+    return {
+        "pages": paged.withColumn("place", F.row_number().over(by_number)),
+        "fields": fields,
+        "lines": named,
+        "tables": declared,
+    }
 
 
 def call_log_rows(calls: DataFrame) -> DataFrame:

@@ -154,3 +154,9 @@ def test_ratio_and_its_bounds(spark):
 def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0]), ([0.0], [1.0]), ([], [1.0]), ([3.0, 4.0], [3.0, 4.0])], "a array<float>, b array<float>")
     assert [r[0] for r in df.select(F.round(cosine(F.col("a"), F.col("b")), 6)).collect()] == [1.0, 0.0, 0.0, 1.0]
+
+
+def test_amounts_beyond_decimals(spark):
+    rows = [("1e9",), ("9" * 40,), ("1" + "0" * 36,), ("9" * 310,), ("12.345",)]
+    df = spark.createDataFrame(rows, "v string").select(FM.normalize(F.col("v"), F.lit(None).cast("string"), "amount").alias("r"))
+    assert [(r.r.value, r.r.ok) for r in df.collect()][1:] == [("1.0E40", True), ("1.0E36", True), ("9" * 310, False), ("12.35", True)]
