@@ -36,9 +36,7 @@ def _scans(t: Tables) -> DataFrame:
     return t.conversations.groupBy(F.col("conv_id").alias("doc")).agg(F.max("turn").cast("int").alias("n_pages")).withColumn("layout", F.lit("L"))
 
 
-@query(
-    "page_rows_gapfill",
-    """
+_PAGE_ROWS = """
     WITH scans AS (SELECT conv_id AS doc, max(turn) AS n FROM conversations GROUP BY 1),
     every AS (SELECT doc, CAST(unnest(range(1, n + 1)) AS INTEGER) AS page FROM scans WHERE n > 0),
     given AS (SELECT conv_id AS doc, CASE turn WHEN 4 THEN 1 ELSE turn END AS page, min(turn) AS pos, arg_min(role, turn) AS role
@@ -47,15 +45,17 @@ def _scans(t: Tables) -> DataFrame:
            CASE WHEN g.pos % 2 = 0 THEN 'Back' ELSE 'Front' END AS page_type,
            CASE WHEN g.pos IS NULL THEN 0.0::DOUBLE WHEN g.pos = 1 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS confidence
     FROM every e LEFT JOIN given g ON g.doc = e.doc AND g.page = e.page
-    """,
-)
+    """
+
+
+@query("page_rows_gapfill", _PAGE_ROWS)
 def page_rows_gapfill(t: Tables) -> DataFrame:
     return G.page_rows(_answers(t, "upper(role)"), _scans(t), _labels(t))
 
 
-@query("page_rows_fuzzy")
+@query("page_rows_fuzzy", _PAGE_ROWS)
 def page_rows_fuzzy(t: Tables) -> DataFrame:
-    """Misread labels go through the similarity ratio, which SQL lacks."""
+    """Labels with a letter too many: the ratio, 2n/(2n + 1), snaps them back."""
     return G.page_rows(_answers(t, "concat(initcap(role), ':')"), _scans(t), _labels(t))
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from papertally.functions.numbers import try_double
 from papertally.functions.positions import keep_first, number_in_group
-from papertally.functions.ratio import length_bound, letter_bound, matching_blocks_ratio
+from papertally.functions.ratio import length_bound, letter_bound, letter_set_bound, matching_blocks_ratio
 from papertally.functions.text import blank_to_null
+from papertally.session import written
 
 # Label snapping, default layout, retention of preview files.
 LABEL_CUTOFF = 0.8
@@ -21,10 +22,12 @@ PREVIEW_MINUTES = 15
 def snap_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (layout, section, ...) with ``section`` snapped to an allowed label.
 
-    Equal ignoring case first, by an equi-join. Only distinct leftovers go
-    through the ratio: the closest label counts if it reaches 0.8, the larger
-    text among equals. ``labels``: (layout, label); later duplicates that differ
-    in case win, as in a lookup table filled in order (``pos``).
+    Equal ignoring case first, by an equi-join. Distinct leftovers meet the
+    layout's labels of a length that can reach 0.8, and go through the ratio if
+    their letters can, too: the closest label counts, the larger text among
+    equals. What was found is written once (an action), so that each pair is
+    compared once. ``labels``: (layout, label); later duplicates that differ in
+    case win, as in a lookup table filled in order (``pos``).
     """
     text = F.trim(F.coalesce("section", F.lit("")))
     cleaned = rows.withColumn("_s", text).withColumn("_low", F.lower("_s"))
@@ -35,14 +38,18 @@ def snap_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
         .select("layout", "_s")
         .distinct()
     )
-    close = asked.join(labels.select("layout", "label").distinct(), "layout").where(
-        (length_bound(F.col("label"), F.col("_s")) >= LABEL_CUTOFF)
-        & (letter_bound(F.col("label"), F.col("_s")) >= LABEL_CUTOFF)
-    )
+    # 2 * shorter / (both) reaches the cutoff for these lengths only
+    reach = (2 - LABEL_CUTOFF) / LABEL_CUTOFF
+    size = F.length("_s")
+    lengths = F.sequence(F.floor(size / reach).cast("int"), F.ceil(size * reach).cast("int"))
+    sized = labels.select("layout", "label", F.length("label").alias("_len")).distinct()
+    close = asked.withColumn("_len", F.explode(lengths)).join(sized, ["layout", "_len"])
+    for bound in (length_bound, letter_set_bound, letter_bound):
+        close = close.where(bound(F.col("label"), F.col("_s")) >= LABEL_CUTOFF)
     scored = close.withColumn("_ratio", matching_blocks_ratio(F.col("label"), F.col("_s"))).where(
         F.col("_ratio") >= LABEL_CUTOFF
     )
-    best = scored.groupBy("layout", "_s").agg(F.max(F.struct("_ratio", "label")).alias("_best"))
+    best = written(scored.groupBy("layout", "_s").agg(F.max(F.struct("_ratio", "label")).alias("_best")))
     return (
         known.join(best, ["layout", "_s"], "left")
         .withColumn("section", F.coalesce("_exact", "_best.label", F.lit(UNKNOWN)))
