@@ -110,12 +110,14 @@ def test_locating_equals_brute_force(spark):
         assert got == brute_force_clusters(words, form)
 
 
-def test_cluster_fold_is_exact_beyond_its_limit(spark):
+def test_clusters_of_many_boxes_and_of_one_without_area(spark):
     rows = [(1, "t", "1", i, 1, "w", (0.1 + 0.0001 * i, 0.1, 0.2, 0.1), 0.9 - i * 0.001) for i in range(30)]
     rows += [(1, "t", "2", 100 + i, 1, "w", (0.1, 0.3 + 0.15 * i, 0.1, 0.1), 0.8) for i in range(3)]
+    rows += [(1, "t", "3", 1, 1, "w", (0.9, 0.9, 0.0, 0.0), 0.75), (2, "t", "1", 1, 1, "w", None, 0.9)]
     scored = spark.createDataFrame(rows, f"page int, target string, line string, start int, width int, text string, bbox {BOX_TYPE}, score double")
-    whole = sorted(map(str, LO.top_clusters(scored).collect()))
-    assert whole == sorted(map(str, LO.top_clusters(scored, fold_limit=5).collect())) and len(whole) == 4
+    found = LO.top_clusters(scored).orderBy("rank").collect()
+    assert [(r.page, r.rank, round(r.bbox.y, 2)) for r in found] == [(1, 1, 0.1), (1, 2, 0.3), (1, 3, 0.45), (1, 4, 0.6), (1, 5, 0.9)]
+    assert LO.top_clusters(scored.limit(0)).count() == 0
 
 
 def test_tightening(spark):
