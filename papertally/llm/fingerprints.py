@@ -155,11 +155,12 @@ def without_copies(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
 def keep_rows(docs: DataFrame, kept: DataFrame, known: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose ``row_key`` is a ``row`` of ``kept``, each once.
     ``known`` has the ``row`` of every row of ``docs``."""
-    rows = docs.withColumn("_row", row_key()).join(kept.select(F.col("row").alias("_row")), "_row", "left_semi")
+    own = next(n for n in (f"row_{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    rows = docs.withColumn(own, row_key()).join(kept.select(F.col("row").alias(own)), own, "left_semi")
     # a whole row that is repeated is still there as often; most tables have none
     if not known.groupBy("row").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
-        rows = rows.dropDuplicates(["_row"])
-    return rows.drop("_row")
+        rows = rows.dropDuplicates([own])
+    return rows.select(*[rows[f"`{c}`"] for c in docs.columns])
 
 
 @query(

@@ -137,10 +137,12 @@ def mix(
     own. Every document has its leaf; a document without words is taken in the
     epochs that are taken whole. Rows of one doc_id in one leaf share their
     place, and if the budget ends there all of them are taken. Columns of
-    ``docs`` with the names of the new ones are replaced. An empty table gives
+    ``docs`` with the names of the new ones are replaced, all others stay. An empty table gives
     an empty mixture. Counts and the cut keys are written at once (actions).
     """
-    own = [c for c in docs.columns if c not in ("mix_epoch", "mix_tokens", "mix_taken")]
+    names = [c for c in docs.columns if c not in ("mix_epoch", "mix_tokens", "mix_taken")]
+    # under names of our own no column of the caller's meets one of the steps'
+    own = {c: f"own_{i}" for i, c in enumerate(names)}
     leaf = _node(levels, len(levels))
     narrow = written(docs.select("doc_id", *levels, leaf.alias("leaf"), token_count().alias("tokens")))
     totals = narrow.groupBy(*levels).agg(F.sum("tokens").alias("tokens"))
@@ -168,7 +170,8 @@ def mix(
     cut = walked.groupBy("leaf").agg(F.max(F.struct("_key", "_start")).alias("_cut"))
     plan = written(plan.join(cut, "leaf", "left").select("leaf", "_whole", "_rest", "_cut"))
 
-    rows = docs.select(*own).withColumn("_leaf", leaf).withColumn("mix_tokens", token_count())
+    kept = [docs[f"`{c}`"].alias(n) for c, n in own.items()]
+    rows = docs.select(*kept, "doc_id", leaf.alias("_leaf"), token_count().alias("mix_tokens"))
     planned = rows.join(plan, F.col("_leaf") == F.col("leaf"))
     last = _order_key(seed, F.col("_whole"))
     partial = F.col("_cut").isNotNull() & (last <= F.col("_cut._key"))
@@ -179,7 +182,7 @@ def mix(
     taken = F.when(
         (F.col("mix_epoch") == F.col("_whole")) & F.col("_end").isNotNull(), F.least("mix_tokens", "_end")
     ).otherwise(F.col("mix_tokens"))
-    return counted.select(*own, "mix_epoch", "mix_tokens", taken.alias("mix_taken"))
+    return counted.select(*[F.col(n).alias(c) for c, n in own.items()], "mix_epoch", "mix_tokens", taken.alias("mix_taken"))
 
 
 def source_domain() -> Column:

@@ -36,11 +36,16 @@ def interleave(
     ``rows`` have ``doc_id`` and the ``stratum``, of which null is one of its
     own; a null doc_id has its own place. Rows of one doc_id are ordered by the
     ``ties`` columns; rows alike in these may change places. All columns stay,
-    those named like the new ones are replaced, so pass narrow rows where texts
-    aren't needed. Three writes and a count (actions).
+    whatever their names; those named like the new ones are replaced, so pass
+    narrow rows where texts aren't needed. Three writes and a count (actions).
     """
-    own = [c for c in rows.columns if c not in ("shard", "slot")]
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    names = [c for c in rows.columns if c not in ("shard", "slot")]
+    # under names of our own no column of the caller's meets one of the steps'
+    own = [f"own_{i}" for i in range(len(names))]
+    called = dict(zip(names, own))
+    stratum, ties, doc_id = called[stratum], [called[t] for t in ties], F.col(called["doc_id"])
+    rows = rows.select(*[rows[f"`{c}`"].alias(n) for c, n in called.items()])
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
     keyed = written(rows.select(*own, key.alias("__shard_key")))
     total = keyed.count()
     digits = _digits(total)
@@ -57,7 +62,7 @@ def interleave(
     shard = F.floor(F.expr(f"((_at - 1) * {shards}) div {max(total, 1)}"))
     first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
     return lined.withColumn("shard", shard.cast("int")).select(
-        *own, "shard", (at - first).cast("bigint").alias("slot")
+        *[F.col(n).alias(c) for c, n in called.items()], "shard", (at - first).cast("bigint").alias("slot")
     )
 
 
