@@ -34,7 +34,7 @@ from papertally.llm.registry import query, table
 from papertally.session import shared_path
 
 #: Tokens of a block, but for a single longer text; entries of a table partition.
-BLOCK_TOKENS, PARTITION_ENTRIES = 1_000_000, 1 << 21
+BLOCK_TOKENS, PARTITION_ENTRIES = 700_000, 1 << 21
 #: Counts up to this are discounted by Good-Turing; larger ones by this amount,
 #: so that every context leaves something to the words it has not seen.
 CUTOFF, RELIABLE = 5, 0.1
@@ -51,7 +51,7 @@ def learned_row() -> Column:
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -121,7 +121,7 @@ class Block:
                 keys = _joined(before, words)
             distinct, place = np.unique(keys, return_inverse=True)
             self.keys.append(distinct)
-            self.place.append(place)
+            self.place.append(place.astype(np.int32))
             self.counts.append(np.bincount(place[self.learned], minlength=len(distinct)))
 
 
