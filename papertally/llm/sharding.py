@@ -77,13 +77,24 @@ def text_crc32() -> Column:
     return F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
 
 
+SHARDS = 16
+SQL = f"""
+    WITH d AS (SELECT doc_id, source, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, text,
+                      md5('shard:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
+    p AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY key) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS place FROM d),
+    l AS (SELECT *, row_number() OVER (ORDER BY place, source, key) - 1 AS at, count(*) OVER () AS total FROM p),
+    s AS (SELECT *, (at * {SHARDS}) // total AS shard FROM l)
+    SELECT doc_id, source, size, 'rows' AS law, shard::INT AS shard, (at - (shard * total + {SHARDS - 1}) // {SHARDS})::BIGINT AS slot,
+           NULL::INTEGER AS grown_shard FROM s"""
+
+
 @query("op7_sharding")
 def sharding(spark: SparkSession, folder: str) -> DataFrame:
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint") + 1
     rows = table(spark, folder, "documents").select(
         "doc_id", "source", size.alias("size"), text_crc32().alias("text_crc32")
     )
-    return interleave(rows, 16, ties=("text_crc32", "size")).select(
+    return interleave(rows, SHARDS, ties=("text_crc32", "size")).select(
         "doc_id", "source", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
