@@ -82,9 +82,9 @@ SQL = f"""
     WITH d AS (SELECT doc_id, source, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, text,
                       md5('shard:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
     p AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY key) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS place FROM d),
-    l AS (SELECT *, row_number() OVER (ORDER BY place, source, key) - 1 AS at, count(*) OVER () AS total FROM p),
-    s AS (SELECT *, (at * {SHARDS}) // total AS shard FROM l)
-    SELECT doc_id, source, size, 'rows' AS law, shard::INT AS shard, (at - (shard * total + {SHARDS - 1}) // {SHARDS})::BIGINT AS slot,
+    l AS (SELECT *, row_number() OVER (ORDER BY place, source, key) - 1 AS spot, count(*) OVER () AS total FROM p),
+    s AS (SELECT *, (spot * {SHARDS}) // total AS shard FROM l)
+    SELECT doc_id, source, size, 'rows' AS law, shard::INT AS shard, (spot - (shard * total + {SHARDS - 1}) // {SHARDS})::BIGINT AS slot,
            NULL::INTEGER AS grown_shard FROM s"""
 
 
