@@ -426,7 +426,8 @@ def bundle_tables(t: Tables) -> DataFrame:
     """
     SELECT l_orderkey AS doc, CAST(l_linenumber AS BIGINT) AS page_no, 'p' || l_partkey AS image,
            CASE WHEN l_returnflag <> 'A' THEN 1000 + l_suppkey % 1000 ELSE 0 END AS width, 0::BIGINT AS height,
-           row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'p' || l_partkey) AS place
+           row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'p' || l_partkey,
+                              CASE WHEN l_returnflag <> 'A' THEN 1000 + l_suppkey % 1000 ELSE 0 END) AS place
     FROM lineitem
     """,
 )

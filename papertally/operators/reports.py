@@ -174,7 +174,8 @@ def extraction_bundle(
     """The parts of an extraction as a reviewer sees it, one DataFrame each.
 
     ``pages`` (doc, page_no, width, height, ...) with numbers read leniently and
-    ``place``, their order in the document; ``rows`` (doc, fieldname, confidence,
+    ``place``, their order in the document (pages of one number by their
+    other columns); ``rows`` (doc, fieldname, confidence,
     source_page, ...) joined with their schema ``header`` (fieldname, choices,
     link_doctype, required), fields unknown to it being optional; ``lines`` (doc,
     table, row_no, ...) with the document's ``default_table`` (doc, line_table)
@@ -183,7 +184,8 @@ def extraction_bundle(
     """
     lenient = lambda df, of, names: df.withColumns({n: of(F.col(n)) for n in names if n in df.columns})
     paged = lenient(pages, cint, ["page_no", "width", "height"])
-    by_number = Window.partitionBy("doc").orderBy("page_no", *[c for c in ("image",) if c in pages.columns])
+    rest = [F.col(f"`{c}`") for c in pages.columns if c not in ("doc", "page_no")]
+    by_number = Window.partitionBy("doc").orderBy("page_no", *rest)
     own = header.select("fieldname", "choices", "link_doctype", "required")
     fields = rows.join(own, "fieldname", "left").withColumn("required", F.coalesce("required", F.lit(False)))
     fields = lenient(lenient(fields, flt, ["confidence"]), cint, ["source_page"])
