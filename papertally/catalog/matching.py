@@ -558,7 +558,7 @@ def mappings(t: Tables) -> DataFrame:
     return known.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.concat_ws("-", "l_suppkey", "l_partkey").alias("name"),
         F.col("l_suppkey").cast("string").alias("supplier"),
-        F.lit("ERPNext").alias("source_system"),
+        F.lit("Ledger").alias("source_system"),
         F.lit("Purchase Invoice").alias("target_doctype"),
         F.col("l_partkey").alias("item_code"),
         F.col("p_name").alias("printed_text"),
@@ -613,7 +613,7 @@ def memory_lookup_whole(t: Tables) -> DataFrame:
 def _lookup(t: Tables, supplier: Column) -> DataFrame:
     lines = t.part.join(t.supplier, F.col("s_suppkey") == supplier).select(
         F.col("s_suppkey").cast("string").alias("supplier"),
-        F.lit("ERPNext").alias("source_system"),
+        F.lit("Ledger").alias("source_system"),
         F.lit("Purchase Invoice").alias("target_doctype"),
         F.concat(F.lit("  "), F.upper("p_name"), F.lit(" ")).alias("text"),
         F.col("p_size").cast("string").alias("code"),
@@ -662,7 +662,7 @@ def _upsert(t: Tables, supplier: Column) -> DataFrame:
     known = t.supplier.select(F.col("s_suppkey").alias("_s"))
     fresh = lines.withColumn("_s", supplier).join(known, "_s", "left_semi").select(
         F.when(F.col("_s") != 7, F.col("_s").cast("string")).alias("supplier"),
-        F.lit("ERPNext").alias("source_system"),
+        F.lit("Ledger").alias("source_system"),
         F.lit("Purchase Invoice").alias("target_doctype"),
         F.col("l_partkey").alias("item_code"),
         F.upper("p_name").alias("printed_text"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from papertally.functions.replies import parse_reply
 from papertally.operators import extraction as X
 
-DEFAULT_SYSTEM = "ERPNext"
+DEFAULT_SYSTEM = "Ledger"
 _REGISTRY: dict[tuple[str, str], type[ExtractionPlugin]] = {}
 
 
