@@ -14,82 +14,149 @@ without themselves. Neighbours are the evidence.
 from __future__ import annotations
 
 import math
+import re
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papertally.llm.registry import extended, query, table
-from papertally.session import written
+from papertally.session import shared_path, written
 
 #: Bounds of what is fitted: examples of each label, and those of them the cut is set on.
 MAX_EXAMPLES, CALIBRATED = 4000, 500
-#: Letters of a term, the mark of a word's beginning included. Shorter words are a term.
-SIZES = (4, 5, 6, 7)
+#: Letters of a term, the marks of a word's ends included. Shorter words are a term.
+#: Of 5, 6, 7, and 5 with 7, which part the labels alike when training examples are
+#: scored without themselves, the shortest: parts of rare words match as well.
+SIZE = 5
 #: Weight of a term that says nothing about labels, and log-likelihood ratio that adds 1 to it.
 FLOOR, SIGNAL = 0.05, 20.0
 NEIGHBOURS, BLOCK = 24, 64
-#: Longest word whose terms are kept for its next occurrence.
-MEMO_BYTES = 128
+#: The most frequent terms, up to so many, are kept as a matrix: those that more than
+#: one example in ``DENSE_SHARE`` has. Their postings lie in all blocks and bound nothing.
+DENSE_TERMS, DENSE_SHARE = 1024, 16
+#: Longest word whose terms are kept for its next occurrence, and words kept of each generation.
+MEMO_BYTES, MEMO_WORDS = 128, 200_000
+#: Texts handled at a time: so many, or as many as hold these letters; one text at least.
+BATCH_ROWS, BATCH_LETTERS = 128, 1 << 20
 #: How much closeness the base rate counts for.
 PRIOR = 0.35
 THRESHOLD = 0.7
 
+_MARKS = re.compile(r"[\W_]+")
+
 
 def trained_row() -> Column:
     """Is a row one to learn from?"""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
 
 
-def word_terms(word: bytes) -> np.ndarray:
-    """All letter sequences of a word as 64-bit hashes, each as often as it occurs,
-    in lower case, without marks at its ends. A word may be a whole text of a
-    script without spaces."""
-    letters = "".join(c for c in word.decode(errors="replace").lower() if c.isalnum())
-    if not letters:
-        return np.zeros(0, np.uint64)
-    codes = np.frombuffer(f"<{letters}>".encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
-    rolling, found = np.zeros(len(codes), np.uint64), []
-    for n in range(1, min(SIZES[-1], len(codes)) + 1):
-        rolling = rolling[: len(codes) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :]
-        if n in SIZES or n == len(codes) < SIZES[0]:
-            found.append((rolling ^ (rolling >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(n))
-    return np.concatenate(found)
-
-
-class _Memo(dict):
-    """From a word to the hashes of its terms; bounded in size. Words of more
-    than ``MEMO_BYTES`` are not kept but cut into terms each time."""
-
-    def __init__(self, most: int = 200_000):
-        super().__init__()
-        self._most = most
-
-    def __missing__(self, word: bytes) -> np.ndarray:
-        found = word_terms(word)
-        if len(word) > MEMO_BYTES:
-            return found
-        if len(self) >= self._most:
-            self.clear()
-        self[word] = found
-        return found
-
-    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The terms of a text, in order, and how often each occurs."""
-        words = (text or "").encode().lower().split()
-        found = [self[w] for w in words] or [np.zeros(0, np.uint64)]
-        return np.unique(np.concatenate(found), return_counts=True)
+def word_terms(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All sequences of ``SIZE`` letters of each word as 64-bit hashes, each as
+    often as it occurs, and where each word's begin, with the end of the last.
 
+    Words are taken in lower case, without marks, between ``<`` and ``>``. All
+    are hashed in one buffer. A word may be a whole text of a script without
+    spaces; one of marks alone has no terms.
+    """
+    found, sizes = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    start = 0
+    while start < len(words):
+        shown, letters = [], 0
+        while start < len(words) and letters <= BATCH_LETTERS:
+            plain = _MARKS.sub("", words[start].decode(errors="replace").lower())
+            shown.append(f"<{plain}>" if plain else "")
+            letters += len(shown[-1])
+            start += 1
+        n = np.fromiter(map(len, shown), np.int64, len(shown))
+        ends = np.cumsum(n)
+        codes = np.frombuffer("".join(shown).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(1)
+        # letters past a word's end count as nothing, so that short words hash alike anywhere
+        left = np.repeat(ends, n) - np.arange(len(codes))
+        codes = np.append(codes, np.zeros(SIZE - 1, np.uint64))
+        rolling = np.zeros(len(left), np.uint64)
+        for k in range(SIZE):
+            rolling = rolling * np.uint64(0x9E3779B97F4A7C15) + np.where(left > k, codes[k : k + len(left)], np.uint64(0))
+        # a word's own terms: whole sequences, or the short word itself
+        starts = (ends - n)[n > 0]
+        whole = left >= SIZE
+        whole[starts] = True
+        hashed = (rolling ^ (rolling >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        found.append(hashed[whole])
+        sizes.append(np.where(n > 0, np.maximum(1, n - SIZE + 1), 0))
+    return np.concatenate(found), np.cumsum(np.concatenate(sizes))
+
+
+class Counter:
+    """The terms of texts and how often each occurs.
+
+    With sorted ``terms``, their places in it, and terms that aren't in it are
+    left out; without, hashes. Words are remembered in two generations of
+    ``MEMO_WORDS``: when the younger is full it becomes the older one, which is
+    forgotten. Words of more than ``MEMO_BYTES`` are cut into terms each time.
+    """
 
-def numbered(counts: tuple[np.ndarray, np.ndarray], terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places in the sorted ``terms`` of those that are in it, and their counts."""
-    if not len(terms):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(terms, counts[0]), len(terms) - 1)
-    known = terms[at] == counts[0]
-    return at[known], counts[1][known]
+    def __init__(self, terms: np.ndarray | None = None):
+        self._terms = terms
+        self._kind = np.uint64 if terms is None else np.int32
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
+
+    def _learnt(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """What each of the words stands for."""
+        known = {}
+        for word in words:
+            found = self._young.get(word)
+            if found is None and (found := self._old.get(word)) is not None:
+                self._young[word] = found
+            if found is not None:
+                known[word] = found
+        new = [w for w in words if w not in known]
+        if new:
+            hashes, ends = word_terms(new)
+            bounds = ends
+            if self._terms is not None:
+                if len(self._terms):
+                    at = np.minimum(np.searchsorted(self._terms, hashes), len(self._terms) - 1)
+                    kept = self._terms[at] == hashes
+                else:
+                    at, kept = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+                bounds = np.append(0, np.cumsum(kept))[ends]
+                hashes = at[kept]
+            data, width = hashes.astype(self._kind).tobytes(), np.dtype(self._kind).itemsize
+            cuts = (bounds * width).tolist()
+            for i, word in enumerate(new):
+                known[word] = found = data[cuts[i] : cuts[i + 1]]
+                if len(word) <= MEMO_BYTES:
+                    self._young[word] = found
+        if len(self._young) >= MEMO_WORDS:
+            self._old, self._young = self._young, {}
+        return known
+
+    def count(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text its terms, in order, and their counts."""
+        split = [(t or "").encode(errors="replace").lower().split() for t in texts]
+        known = self._learnt(set().union(*split))
+        joined = (np.frombuffer(b"".join(map(known.__getitem__, words)), self._kind) for words in split)
+        return [np.unique(found, return_counts=True) for found in joined]
+
+
+def slices(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of a batch in bounded pieces, in order."""
+    some: list[str | None] = []
+    letters = 0
+    for text in texts:
+        some.append(text.as_py())
+        letters += len(some[-1] or "")
+        if len(some) >= BATCH_ROWS or letters >= BATCH_LETTERS:
+            yield some
+            some, letters = [], 0
+    if some:
+        yield some
 
 
 def sampled(labels: DataFrame, seed: str = "tox") -> DataFrame:
@@ -118,14 +185,56 @@ def signal(n_toxic: np.ndarray, n_clean: np.ndarray, toxic: float, clean: float)
     return np.maximum(0, 2 * (found + part(n_clean, clean * rate) + part(clean - n_clean, clean * (1 - rate))))
 
 
+class Stored:
+    """Arrays in a file of the shared folder, read once by each worker, so that
+    tasks carry its name alone."""
+
+    _read: dict[str, dict[str, np.ndarray]] = {}
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def _file(self) -> tuple[fs.FileSystem, str]:
+        store, root = fs.FileSystem.from_uri(self.path) if ":/" in self.path else (fs.LocalFileSystem(), self.path)
+        return store, f"{root}/arrays.npz"
+
+    @classmethod
+    def of(cls, spark: SparkSession, **arrays: np.ndarray) -> Stored:
+        stored = cls(shared_path(spark))
+        store, name = stored._file()
+        store.create_dir(name.rsplit("/", 1)[0])
+        # as a stream: no second copy of all arrays is held
+        with store.open_output_stream(name) as out, zipfile.ZipFile(out, "w") as packed:
+            for key, value in arrays.items():
+                with packed.open(key, "w", force_zip64=True) as part:
+                    np.lib.format.write_array(part, np.ascontiguousarray(value))
+        return stored
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        if self.path not in self._read:
+            self._read.clear()  # one model at a time
+            store, name = self._file()
+            with store.open_input_file(name) as source, zipfile.ZipFile(source) as packed:
+                found = {}
+                for key in packed.namelist():
+                    with packed.open(key) as part:
+                        found[key] = np.lib.format.read_array(part)
+            self._read[self.path] = found
+        return self._read[self.path]
+
+
 def document_frequencies(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
     """In how many rows of ``docs`` each term lies."""
 
+    store = Stored.of(docs.sparkSession, terms=terms)
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, n = _Memo(), np.zeros(len(terms), np.int64)
+        known = store.arrays()["terms"]
+        counter, n = Counter(known), np.zeros(len(known), np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                n[numbered(memo.count(text), terms)[0]] += 1
+            for some in slices(batch.column("text")):
+                for at, _ in counter.count(some):
+                    n[at] += 1
         at = np.flatnonzero(n)
         for i in range(0, len(at), 100_000):
             some = at[i : i + 100_000]
@@ -155,33 +264,69 @@ class BlockMaxIndex:
 
     ``vectors`` are (term, weight) lists of length 1, or a pair of arrays each;
     examples of the same strongest term lie next to each other, which keeps
-    bounds apart.
+    bounds apart. The most frequent terms (``DENSE_TERMS``) stand in every block:
+    their part of the cosine is computed for all examples at once, as a product
+    of matrices, and enters the bound of a block as its greatest true value.
     """
 
-    def __init__(self, vectors: list, n_terms: int):
+    #: Arrays that make up an index.
+    PARTS = ("order", "places", "weights", "starts", "blocks", "bounds", "of_term", "column", "dense")
+
+    def __init__(self, **parts: np.ndarray):
+        self.__dict__.update(parts)
+        self.n_blocks = -(-len(self.order) // BLOCK)
+
+    @classmethod
+    def of(cls, vectors: list, n_terms: int) -> BlockMaxIndex:
         arrays = [_arrays(v) for v in vectors]
         strongest = [(int(t[np.argmax(w)]), -float(w.max())) if len(t) else (-1, 0.0) for t, w in arrays]
-        order = sorted(range(len(arrays)), key=lambda i: (strongest[i], i))
-        self.order, self.n_blocks = np.array(order, np.int64), -(-len(order) // BLOCK)
-        none = [np.zeros(0, np.int64)]
-        terms = np.concatenate([arrays[i][0].astype(np.int32) for i in order] or none)
-        places = np.repeat(np.arange(len(order), dtype=np.int32), [len(arrays[i][0]) for i in order])
-        weights = np.concatenate([arrays[i][1].astype(np.float32) for i in order] or none)
+        order = np.array(sorted(range(len(arrays)), key=lambda i: (strongest[i], i)), np.int64)
+        had = np.zeros(n_terms, np.int64)
+        for terms, _ in arrays:
+            had[terms] += 1
+        frequent = np.argsort(-had, kind="stable")[:DENSE_TERMS]
+        frequent = frequent[had[frequent] * DENSE_SHARE > len(order)]
+        column = np.full(n_terms, -1, np.int32)
+        column[frequent] = np.arange(len(frequent), dtype=np.int32)
+        dense = np.zeros((-(-len(order) // BLOCK) * BLOCK, len(frequent)))
+        total = int(had[column < 0].sum())
+        terms, places, weights = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total, np.float32)
+        end = 0
+        for place, i in enumerate(order.tolist()):
+            t, w = arrays[i]
+            in_matrix = column[t] >= 0
+            dense[place, column[t[in_matrix]]] = w[in_matrix]
+            start, end = end, end + int((~in_matrix).sum())
+            terms[start:end], places[start:end], weights[start:end] = t[~in_matrix], place, w[~in_matrix]
         by_term = np.argsort(terms, kind="stable").astype(np.int32)
-        terms, self.places, self.weights = terms[by_term], places[by_term], weights[by_term]
+        terms, places, weights = terms[by_term], places[by_term], weights[by_term]
         # a segment is the postings of one term in one block
-        blocks = (self.places // BLOCK).astype(np.int32)
+        blocks = (places // BLOCK).astype(np.int32)
         new = np.flatnonzero(np.r_[True, (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1])][: len(terms)])
-        self.starts = np.append(new, len(terms)).astype(np.int32)
-        self.blocks = blocks[new]
-        self.bounds = np.maximum.reduceat(self.weights, new) if len(new) else self.weights
-        self.of_term = np.searchsorted(terms[new], np.arange(n_terms + 1)).astype(np.int32)
-
-    def nearest(self, vector, k: int) -> list[tuple[int, float]]:
-        """The ``k`` examples of the greatest cosine above 0 with it; of equal
-        ones the earlier. Exact: a block is left out only if its bound is lower
-        than the k-th cosine found."""
-        terms, query = _arrays(vector)
+        return cls(
+            order=order,
+            places=places,
+            weights=weights,
+            starts=np.append(new, len(terms)).astype(np.int32),
+            blocks=blocks[new],
+            bounds=np.maximum.reduceat(weights, new) if len(new) else weights,
+            of_term=np.searchsorted(terms[new], np.arange(n_terms + 1)).astype(np.int32),
+            column=column,
+            dense=dense,
+        )
+
+    def nearest(self, vectors: list, k: int) -> list[list[tuple[int, float]]]:
+        """For each vector the ``k`` examples of the greatest cosine above 0 with
+        it; of equal ones the earlier. Exact: a block is left out only if its
+        bound is lower than the k-th cosine found."""
+        arrays = [_arrays(v) for v in vectors]
+        asked = np.zeros((len(arrays), self.dense.shape[1]))
+        for row, (terms, weights) in zip(asked, arrays):
+            at = self.column[terms]
+            row[at[at >= 0]] = weights[at >= 0]
+        return [self._nearest(*vector, row, k) for vector, row in zip(arrays, asked @ self.dense.T)]
+
+    def _nearest(self, terms: np.ndarray, query: np.ndarray, base: np.ndarray, k: int) -> list[tuple[int, float]]:
         if not len(terms) or not self.n_blocks:
             return []
         first = self.of_term[terms].astype(np.int64)
@@ -189,6 +334,7 @@ class BlockMaxIndex:
         segments, weights = _ranges(first, sizes), np.repeat(query, sizes)
         blocks = self.blocks[segments]
         bounds = np.bincount(blocks, weights * self.bounds[segments], self.n_blocks)
+        bounds = bounds + base.reshape(self.n_blocks, BLOCK).max(axis=1)
         left = np.argsort(-bounds, kind="stable")
         left = left[bounds[left] > 0]
         best: list[tuple[float, int]] = []
@@ -200,8 +346,9 @@ class BlockMaxIndex:
             starts = self.starts[segments[of]].astype(np.int64)
             n = self.starts[segments[of] + 1] - starts
             at = _ranges(starts, n)
-            scores = np.bincount(self.places[at], np.repeat(weights[of], n) * self.weights[at], len(self.order))
-            hit = np.flatnonzero(scores)
+            scores = np.bincount(self.places[at], np.repeat(weights[of], n) * self.weights[at], len(base))
+            scores = np.where(np.repeat(some, BLOCK), scores + base, 0.0)
+            hit = np.flatnonzero(scores > 0)
             if len(hit) > 4 * k:  # ties of the k-th stay in
                 hit = hit[scores[hit] >= np.partition(scores[hit], -k)[-k] - 1e-8]
             found = zip(np.round(scores[hit], 9).tolist(), self.order[hit].tolist())
@@ -215,40 +362,61 @@ class BlockMaxIndex:
 class Model:
     """What scoring needs; of bounded size, whatever the corpus.
 
-    ``examples`` are (doc_id, toxic, stands_for), one per distinct text and
-    label, ``counts`` their terms and counts.
+    ``examples`` are ``ids``, ``toxic`` and ``stands_for``, one per distinct text
+    and label. ``rates`` are the rate of label 1 among all examples and among
+    those without a term, and the share of the votes at which both labels meet;
+    it becomes ``THRESHOLD``.
     """
 
-    def __init__(self, terms: np.ndarray, weights: np.ndarray, examples: list, counts: list, rate: float, silent: float):
-        self.terms, self.weights, self.examples, self.rate, self.silent = terms, weights, examples, rate, silent
-        #: Score of the votes at which both labels meet; it becomes ``THRESHOLD``.
-        self.cut = THRESHOLD
-        self.index = BlockMaxIndex([self.vector(c) for c in counts], len(terms))
-
-    def vector(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        raw = (1 + np.log(counts[1])) * self.weights[counts[0]]
-        return counts[0], raw / math.sqrt(float(raw @ raw) or 1.0)
-
-    def votes(self, counts: tuple[np.ndarray, np.ndarray], but: int = -1) -> tuple[float, list[tuple[int, float]]]:
-        """The share of label 1 among the nearest examples, and these. The
-        example ``but`` has no vote."""
-        near = self.index.nearest(self.vector(counts), NEIGHBOURS + (but >= 0))
-        near = [x for x in near if x[0] != but][:NEIGHBOURS]
-        votes = [(cosine * self.examples[i][2], self.examples[i][1]) for i, cosine in near]
-        toxic = sum(v for v, label in votes if label)
-        return (toxic + PRIOR * self.rate) / (sum(v for v, _ in votes) + PRIOR), near
-
-    def score(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[tuple[int, float]]]:
-        """How far the votes are for label 1, ``THRESHOLD`` at the cut, and the
-        nearest examples (doc_id, cosine). A text without a known term gets the
-        rate of such texts among the examples."""
-        known = numbered(counts, self.terms)
-        if not len(known[0]):
-            return self.silent, []
-        share, near = self.votes(known)
-        low = share < self.cut
-        score = THRESHOLD * share / self.cut if low else THRESHOLD + (1 - THRESHOLD) * (share - self.cut) / (1 - self.cut)
-        return min(1.0, max(0.0, score)), [(self.examples[i][0], cosine) for i, cosine in near[:3]]
+    PARTS = ("terms", "term_weights", "ids", "toxic", "stands_for")
+
+    def __init__(self, index: BlockMaxIndex, rates: tuple[float, float, float], **parts: np.ndarray):
+        self.index, self.parts = index, parts
+        self.rate, self.silent, self.cut = rates
+        self.terms, self.term_weights = parts["terms"], parts["term_weights"]
+        self.ids, self.toxic, self.stands_for = (parts[p].tolist() for p in ("ids", "toxic", "stands_for"))
+
+    def stored(self, spark: SparkSession) -> Stored:
+        """The model without its rates as a file."""
+        return Stored.of(spark, **{k: getattr(self.index, k) for k in BlockMaxIndex.PARTS}, **self.parts)
+
+    @classmethod
+    def read(cls, stored: Stored, rates: tuple[float, float, float]) -> Model:
+        arrays = stored.arrays()
+        index = BlockMaxIndex(**{k: arrays[k] for k in BlockMaxIndex.PARTS})
+        return cls(index, rates, **{k: arrays[k] for k in cls.PARTS})
+
+    def votes(self, counts: list, but: list[int] | None = None) -> list[tuple[float, list[tuple[int, float]]]]:
+        """For each text the share of label 1 among the nearest examples, and
+        these. The example ``but`` of a text has no vote."""
+        vectors = [vector(c, self.term_weights) for c in counts]
+        found = []
+        for near, own in zip(self.index.nearest(vectors, NEIGHBOURS + (but is not None)), but or [-1] * len(counts)):
+            near = [x for x in near if x[0] != own][:NEIGHBOURS]
+            votes = [(cosine * self.stands_for[i], self.toxic[i]) for i, cosine in near]
+            toxic = sum(v for v, label in votes if label)
+            found.append(((toxic + PRIOR * self.rate) / (sum(v for v, _ in votes) + PRIOR), near))
+        return found
+
+    def score(self, counts: list) -> list[tuple[float, list[tuple[int | None, float]]]]:
+        """For each text how far the votes are for label 1, ``THRESHOLD`` at the
+        cut, and the nearest examples (doc_id, cosine). A text without a known
+        term gets the rate of such texts among the examples."""
+        found = []
+        for (at, _), (share, near) in zip(counts, self.votes(counts)):
+            if not len(at):
+                found.append((self.silent, []))
+                continue
+            low = share < self.cut
+            score = THRESHOLD * share / self.cut if low else THRESHOLD + (1 - THRESHOLD) * (share - self.cut) / (1 - self.cut)
+            found.append((min(1.0, max(0.0, score)), [(self.ids[i], cosine) for i, cosine in near[:3]]))
+        return found
+
+
+def vector(counts: tuple[np.ndarray, np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The TF-IDF vector of length 1 of a text's terms and their counts."""
+    raw = (1 + np.log(counts[1])) * weights[counts[0]]
+    return counts[0], raw / math.sqrt(float(raw @ raw) or 1.0)
 
 
 def _cut(shares: list[tuple[float, int, float]]) -> float:
@@ -266,8 +434,8 @@ def _cut(shares: list[tuple[float, int, float]]) -> float:
     return min(max(cut, 1e-6), 1 - 1e-6)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model.
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Stored, tuple[float, float, float]]:
+    """The model's file and rates.
 
     Only the examples are collected, at most two times ``MAX_EXAMPLES`` (rows of
     one doc_id in ``docs`` count as one example a distinct text), and the
@@ -275,55 +443,68 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     every score is one half.
     """
     # of a proven size: see MAX_EXAMPLES
-    chosen = written(sampled(labels))
+    spark, chosen = docs.sparkSession, written(sampled(labels))
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("text", "toxic").agg(
         F.min("doc_id").alias("doc_id"), F.sum("stands_for").alias("stands_for")
     )
     rows = texts.orderBy("doc_id", "toxic", "text").toArrow()
-    memo = _Memo()
-    counts = [memo.count(t) for t in rows.column("text").to_pylist()]
-    memo.clear()
-    examples = list(zip(*[rows.column(c).to_pylist() for c in ("doc_id", "toxic", "stands_for")]))
-    silent = [e for e, c in zip(examples, counts) if not len(c[0])]
-    share = lambda of: (sum(e[1] * e[2] for e in of) + 0.5) / (sum(e[2] for e in of) + 1)
+    counter, counts = Counter(), []
+    for chunk in rows.column("text").chunks:
+        for some in slices(chunk):
+            # 32-bit counts: many examples are held at once
+            counts += [(hashes, n.astype(np.int32)) for hashes, n in counter.count(some)]
+    del counter
+    ids = rows.column("doc_id").to_numpy()
+    toxic = rows.column("toxic").to_numpy().astype(bool)
+    stands_for = rows.column("stands_for").to_numpy()
+    del rows
     terms = np.zeros(0, np.uint64)
     for i in range(0, len(counts), 500):
         terms = np.unique(np.concatenate([terms, *[c[0] for c in counts[i : i + 500]]]))
-    counts = [tuple(x.astype(np.int32) for x in numbered(c, terms)) for c in counts]
     hits = np.zeros((2, len(terms)))
-    for (_, toxic, _), (at, _) in zip(examples, counts):
-        hits[int(bool(toxic)), at] += 1
-    toxic = sum(bool(e[1]) for e in examples)
-    n = docs.count() if len(terms) else 0
-    frequency = document_frequencies(docs, terms) if len(terms) else np.zeros(0)
+    for i, (hashes, n) in enumerate(counts):
+        counts[i] = np.searchsorted(terms, hashes).astype(np.int32), n
+        hits[int(toxic[i]), counts[i][0]] += 1
+    frequency, n = np.zeros(0, np.int64), 0
+    if len(terms):
+        frequency, n = document_frequencies(docs, terms), docs.count()
     idf = 1 + np.log((1 + n) / (1 + frequency))
-    weights = idf * (FLOOR + signal(hits[1], hits[0], toxic, len(examples) - toxic) / SIGNAL)
-    model = Model(terms, weights, examples, counts, share(examples), share(silent))
-    sides = [[i for i, e in enumerate(examples) if bool(e[1]) == side and len(counts[i][0])] for side in (False, True)]
+    weights = idf * (FLOOR + signal(hits[1], hits[0], toxic.sum(), (~toxic).sum()) / SIGNAL)
+    has_terms = np.array([len(c[0]) > 0 for c in counts], bool)
+    share = lambda of: float((stands_for[of & toxic].sum() + 0.5) / (stands_for[of].sum() + 1))
+    rates = (share(np.ones(len(toxic), bool)), share(~has_terms), THRESHOLD)
+    index = BlockMaxIndex.of([vector(c, weights) for c in counts], len(terms))
+    parts = {"terms": terms, "term_weights": weights, "ids": ids, "toxic": toxic, "stands_for": stands_for}
+    stored = Model(index, rates, **parts).stored(spark)
+    del index
+    sides = [np.flatnonzero(has_terms & (toxic == side)).tolist() for side in (False, True)]
     if all(sides):
-        model.cut = _cut(calibrated(docs.sparkSession, model, counts, sides))
-    return model
+        shares = calibrated(spark, stored, rates, counts, sides, stands_for)
+        rates = (*rates[:2], _cut([(x, int(toxic[i]), weight) for i, weight, x in shares]))
+    return stored, rates
 
 
-def calibrated(spark: SparkSession, model: Model, counts: list, sides: list[list[int]]) -> list[tuple[float, int, float]]:
-    """(share, toxic, weight) of up to ``CALIBRATED`` examples a label, evenly
+def calibrated(
+    spark: SparkSession, stored: Stored, rates: tuple, counts: list, sides: list[list[int]], stands_for: np.ndarray
+) -> list[tuple[int, float, float]]:
+    """(example, weight, share) of up to ``CALIBRATED`` examples a label, evenly
     taken, each scored without itself."""
     rows = []
     for side in sides:
         step = max(1.0, len(side) / CALIBRATED)
         some = [side[int(i * step)] for i in range(min(len(side), CALIBRATED))]
-        rows += [(i, float(model.examples[i][2] * step), counts[i][0].tobytes(), counts[i][1].tobytes()) for i in some]
+        rows += [(i, float(stands_for[i] * step), counts[i][0].tobytes(), counts[i][1].tobytes()) for i in some]
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model.read(stored, rates)
         for batch in batches:
-            found = []
-            for i, at, n in zip(*[batch.column(c).to_pylist() for c in ("i", "at", "n")]):
-                found.append(model.votes((np.frombuffer(at, np.int32), np.frombuffer(n, np.int32)), but=i)[0])
+            at, n = ([np.frombuffer(x, np.int32) for x in batch.column(c).to_pylist()] for c in ("at", "n"))
+            found = [share for share, _ in model.votes(list(zip(at, n)), but=batch.column("i").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("weight"), pa.array(found, pa.float64())], names=["i", "weight", "share"])
 
     asked = spark.createDataFrame(rows, "i int, weight double, at binary, n binary")
     got = asked.repartition(spark.sparkContext.defaultParallelism).mapInArrow(shares, "i int, weight double, share double").collect()
-    return [(r["share"], int(bool(model.examples[r["i"]][1])), r["weight"]) for r in sorted(got)]
+    return sorted((r["i"], r["weight"], r["share"]) for r in got)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -332,18 +513,20 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     ``labels`` has ``doc_id`` and ``toxic``. Null and empty texts, and texts
     without a term, get the rate of such texts among the examples. Ties between
-    neighbours go to the smaller doc_id. Other columns are not read. Terms,
-    frequencies and examples are made at once (actions).
+    neighbours go to the smaller doc_id. Texts of any length are read whole.
+    Other columns are not read. Terms, frequencies and examples are made at once
+    (actions).
     """
-    model = fit(docs, labels)
+    stored, rates = fit(docs, labels)
     rows = docs.select("doc_id", "text")
     schema = extended(rows.select("doc_id").schema, score="double", evidence="array<struct<doc_id:bigint,cosine:double>>")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo()
+        model = Model.read(stored, rates)
+        counter = Counter(model.terms)
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
         for batch in batches:
-            found = [model.score(memo.count(t)) for t in batch.column("text").to_pylist()]
+            found = [x for some in slices(batch.column("text")) for x in model.score(counter.count(some))]
             evidence = [[{"doc_id": i, "cosine": c} for i, c in near] for _, near in found]
             columns = [pa.array([x for x, _ in found], pa.float64()), pa.array(evidence, kind)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=schema.names)
@@ -359,14 +542,16 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all columns, whose score is below the threshold."""
-    model = fit(docs, labels)
-    memos: list[_Memo] = []
+    stored, rates = fit(docs, labels)
+    kept: list[tuple[Model, Counter]] = []
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        if not memos:
-            memos.append(_Memo())
-        return pa.array([model.score(memos[0].count(t))[0] for t in texts.to_pylist()], pa.float64())
+        if not kept:
+            model = Model.read(stored, rates)
+            kept.append((model, Counter(model.terms)))
+        model, counter = kept[0]
+        return pa.array([x for some in slices(texts) for x, _ in model.score(counter.count(some))], pa.float64())
 
     return docs.where(score("text") < THRESHOLD)
 

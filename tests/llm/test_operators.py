@@ -333,8 +333,8 @@ def test_block_max_is_exact():
     rng = random.Random(9)
     unit = lambda d: [(t, w / sum(x * x for x in d.values()) ** 0.5) for t, w in sorted(d.items())]
     vectors = [unit({rng.randrange(12): rng.random() for _ in range(rng.randint(1, 5))}) for _ in range(500)]
-    index = toxicity.BlockMaxIndex(vectors, 12)
+    index = toxicity.BlockMaxIndex.of(vectors, 12)
     for query in vectors[:40]:
         scores = [(round(sum(w * dict(v).get(t, 0) for t, w in query), 9), i) for i, v in enumerate(vectors)]
         best = [s for s, _ in sorted((x for x in scores if x[0] > 0), key=lambda x: (-x[0], x[1]))[:10]]
-        assert np.allclose([s for _, s in index.nearest(query, 10)], best)
+        assert np.allclose([s for _, s in index.nearest([query], 10)[0]], best)
