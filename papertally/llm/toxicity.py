@@ -36,9 +36,11 @@ SIZE = 5
 #: Weight of a term that says nothing about labels, and log-likelihood ratio that adds 1 to it.
 FLOOR, SIGNAL = 0.05, 20.0
 NEIGHBOURS, BLOCK = 24, 64
+#: Blocks of the greatest bounds, read before any is left out.
+FIRST_BLOCKS = 16
 #: The most frequent terms, up to so many, are kept as a matrix: those that more than
 #: one example in ``DENSE_SHARE`` has. Their postings lie in all blocks and bound nothing.
-DENSE_TERMS, DENSE_SHARE = 1024, 16
+DENSE_TERMS, DENSE_SHARE = 2048, 32
 #: Longest word whose terms are kept for its next occurrence, and words kept of each generation.
 MEMO_BYTES, MEMO_WORDS = 128, 200_000
 #: Texts handled at a time: so many, or as many as hold these letters; one text at least.
@@ -288,7 +290,7 @@ class BlockMaxIndex:
         frequent = frequent[had[frequent] * DENSE_SHARE > len(order)]
         column = np.full(n_terms, -1, np.int32)
         column[frequent] = np.arange(len(frequent), dtype=np.int32)
-        dense = np.zeros((-(-len(order) // BLOCK) * BLOCK, len(frequent)))
+        dense = np.zeros((-(-len(order) // BLOCK) * BLOCK, len(frequent)), np.float32)
         total = int(had[column < 0].sum())
         terms, places, weights = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total, np.float32)
         end = 0
@@ -317,10 +319,10 @@ class BlockMaxIndex:
 
     def nearest(self, vectors: list, k: int) -> list[list[tuple[int, float]]]:
         """For each vector the ``k`` examples of the greatest cosine above 0 with
-        it; of equal ones the earlier. Exact: a block is left out only if its
-        bound is lower than the k-th cosine found."""
+        it; of equal ones the earlier. Cosines have six digits. Exact: a block is
+        left out only if its bound is lower than the k-th cosine found."""
         arrays = [_arrays(v) for v in vectors]
-        asked = np.zeros((len(arrays), self.dense.shape[1]))
+        asked = np.zeros((len(arrays), self.dense.shape[1]), np.float32)
         for row, (terms, weights) in zip(asked, arrays):
             at = self.column[terms]
             row[at[at >= 0]] = weights[at >= 0]
@@ -338,24 +340,29 @@ class BlockMaxIndex:
         left = np.argsort(-bounds, kind="stable")
         left = left[bounds[left] > 0]
         best: list[tuple[float, int]] = []
-        step = 4
-        while len(left):
-            some = np.zeros(self.n_blocks, bool)
-            some[left[:step]] = True
-            of = np.flatnonzero(some[blocks])
+        # the best blocks give the k-th cosine that the others have to reach
+        some = left[:FIRST_BLOCKS]
+        while len(some):
+            taken = np.zeros(self.n_blocks, bool)
+            taken[some] = True
+            of = np.flatnonzero(taken[blocks])
             starts = self.starts[segments[of]].astype(np.int64)
             n = self.starts[segments[of] + 1] - starts
             at = _ranges(starts, n)
             scores = np.bincount(self.places[at], np.repeat(weights[of], n) * self.weights[at], len(base))
-            scores = np.where(np.repeat(some, BLOCK), scores + base, 0.0)
-            hit = np.flatnonzero(scores > 0)
-            if len(hit) > 4 * k:  # ties of the k-th stay in
-                hit = hit[scores[hit] >= np.partition(scores[hit], -k)[-k] - 1e-8]
-            found = zip(np.round(scores[hit], 9).tolist(), self.order[hit].tolist())
+            rows = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            scores = scores[rows] + base[rows]
+            least = 0.0
+            if len(scores) > k:  # ties of the k-th stay in
+                least = max(least, np.partition(scores, -k)[-k] - 1e-5)
+            hit = np.flatnonzero(scores > least)
+            # places past the last example are empty and score 0
+            found = zip(np.round(scores[hit], 6).tolist(), self.order[rows[hit]].tolist())
             best = sorted([*best, *found], key=lambda x: (-x[0], x[1]))[:k]
-            left, step = left[step:], 4 * step
+            left = left[len(some) :]
             if len(best) == k:
-                left = left[bounds[left] >= best[-1][0] - 1e-6]
+                left = left[bounds[left] >= best[-1][0] - 1e-5]
+            some = left
         return [(i, score) for score, i in best]
 
 
