@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from papertally.functions.boxes import BOX_TYPE
 from papertally.functions.ratio import within_edits
+from papertally.operators import candidates as C
 from papertally.operators import locate as LO
 
 
@@ -32,3 +33,21 @@ def test_edit_bound_never_drops_a_pair_that_reaches_the_floor(spark):
     kept = {tuple(r) for r in table.where(within_edits(F.col("a"), F.col("b"), LO.MATCH_FLOOR)).collect()}
     assert len(alike) > 50 and set(alike) <= kept < set(pairs)
 
+
+def test_long_numbers_are_looked_up_by_long_pieces(spark, monkeypatch):
+    sizes, real = [], C.written
+
+    def counted(df):
+        table = real(df)
+        if "_key" in table.columns:
+            sizes.append(table.count())
+        return table
+
+    monkeypatch.setattr(C, "written", counted)
+    target = spark.range(1000).select(F.col("id").alias("name"), F.concat(F.lit("Customer#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("text"))
+    asked = spark.createDataFrame([("%#000000123",), ("%#000000456",), ("%9%9%",)], "pattern string")
+    hits = {(r.pattern, r.name) for r in C.pattern_hits(asked.limit(2), target, "text").collect()}
+    assert hits == {("%#000000123", 123), ("%#000000456", 456)}
+    assert sum(sizes) < 1000
+    twice = {r.name for r in C.pattern_hits(asked.where("pattern = '%9%9%'"), target, "text").collect()}
+    assert twice == {n for n in range(1000) if f"{n:09d}".count("9") >= 2}
