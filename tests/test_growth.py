@@ -11,6 +11,8 @@ from papertally.functions.boxes import BOX_TYPE
 from papertally.functions.ratio import within_edits
 from papertally.operators import candidates as C
 from papertally.operators import locate as LO
+from papertally.operators import matching as M
+from papertally.operators import references as R
 
 
 def test_places_are_found_without_written_tables(spark, monkeypatch):
@@ -51,3 +53,27 @@ def test_long_numbers_are_looked_up_by_long_pieces(spark, monkeypatch):
     assert sum(sizes) < 1000
     twice = {r.name for r in C.pattern_hits(asked.where("pattern = '%9%9%'"), target, "text").collect()}
     assert twice == {n for n in range(1000) if f"{n:09d}".count("9") >= 2}
+
+
+def test_documents_with_the_same_lists_are_scored_once(spark, monkeypatch):
+    rules = R.rules_of([{"target_field": "key", "from": "account"}])
+    lists = [(c, f"n{c}{i}", str(i % 3), str(i), f"n{c}{i}") for c in "ab" for i in range(8)] + [("a", "na1", "1", "1", "na1"), ("a", None, "1", "9", "x")]
+    docs = [(d, "ab"[d % 2]) for d in range(40)] + [(3, "b"), (4, "b"), (None, "a"), (None, "b"), (50, None), (51, "none")]
+    refs = [(d, "account", str(d % 2), 0) for d in range(40)] + [(5, "account", "2", 1), (6, "other", "1", 0), (7, "account", None, 0), (None, "account", "1", 0)]
+    docs = spark.createDataFrame(docs, "doc int, list string")
+    lists = spark.createDataFrame(lists, "list string, name string, key string, balance string, fetch_pos string")
+    refs = spark.createDataFrame(refs, "doc int, kind string, value string, pos int")
+    options = {"rank_field": "balance", "context_rows": 3, "limit": 5}
+    cands = docs.join(lists, "list").drop("list")
+    want = M.scored_candidates(cands, R.reference_hits(refs, cands, rules), rules, **options)
+    seen, real = [], M.scored_candidates
+
+    def counted(cands, *args, **kwargs):
+        seen.append(cands.count())
+        return real(cands, *args, **kwargs)
+
+    monkeypatch.setattr(M, "scored_candidates", counted)
+    got = M.scored_by_lists(docs, lists, refs, rules, **options)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert seen[0] < cands.count() / 2
