@@ -77,3 +77,44 @@ def test_documents_with_the_same_lists_are_scored_once(spark, monkeypatch):
     assert got.columns == want.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert seen[0] < cands.count() / 2
+
+
+def _contains_case(spark):
+    rng = random.Random(11)
+    names = [f"C{i:03d}" for i in range(120)]
+    target = spark.createDataFrame([(n, n[1:], f"{n}/{i % 7}") for i, n in enumerate(names)], "name string, key string, text string")
+    refs = [(d, "account", f"{rng.randrange(150):03d}", 0) for d in range(60)]
+    refs += [(d, "tail", str(rng.randrange(30)), 0) for d in range(60) for _ in range(rng.randint(0, 3))]
+    refs += [(7, "tail", "_", 0), (8, "tail", None, 0), (None, "tail", "11", 0), (None, "account", "011", 0), (9, "tail", "0", 0), (9, "account", "001", 0)]
+    frame = spark.createDataFrame([*refs, *refs[:20]], "doc int, kind string, value string, pos int")
+    queries = [{"keys": [{"field": "key", "from": "account"}]}, {"keys": [{"field": "text", "from": "tail", "match": "contains"}, {"field": "key", "from": "account"}]}]
+    want = {}
+    for d, kind, value, _ in refs:
+        for i, n in enumerate(names):
+            if kind == "account" and value == n[1:]:
+                want[d, n] = 0
+            elif kind == "tail" and value not in (None, "_") and value in f"{n}/{i % 7}":
+                want[d, n] = min(want.get((d, n), 1), 1)
+    return frame, target, queries, want
+
+
+def test_documents_of_the_same_values_fetch_a_list_once(spark, monkeypatch):
+    refs, target, queries, want = _contains_case(spark)
+
+    def refuse(*args):
+        raise AssertionError("rows of documents are put in order one by one")
+
+    monkeypatch.setattr(C, "union_first", refuse)
+    got = C.fetch_candidates(refs, target, queries)
+    assert got.columns == ["doc", *target.columns, "fetch_pos", "query_ord"]
+    rows = got.select("doc", "name", "query_ord").collect()
+    assert {(r.doc, r.name): r.query_ord for r in rows} == want and len(rows) == len(want)
+
+
+def test_documents_beyond_the_limits_of_lists_are_whole(spark, monkeypatch):
+    refs, target, queries, want = _contains_case(spark)
+    for few, shared in ((2, 0), (0, 0), (64, 0)):
+        monkeypatch.setattr(C, "LIST_LIMIT", few)
+        monkeypatch.setattr(C, "SKIP_LIMIT", shared)
+        rows = C.fetch_candidates(refs, target, queries).select("doc", "name", "query_ord").collect()
+        assert {(r.doc, r.name): r.query_ord for r in rows} == want and len(rows) == len(want)
