@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from papertally.config import let
 
 _FENCE = r"(?s)\A```(?:json)?\s*(.*?)\s*```\z"
+# what ``\s`` stands for
+_BLANKS = " \t\n\x0b\f\r"
 
 
 def parse_reply(reply: Column) -> Column:
@@ -17,9 +19,9 @@ def parse_reply(reply: Column) -> Column:
     then the part from the first ``{`` to the last ``}``, then the same with
     brackets; commas before a closing mark are dropped only in the last two.
     """
-    text = F.regexp_replace(reply, r"\A\s+|\s+\z", "")
+    text = F.btrim(reply, F.lit(_BLANKS))
     # a text that is no fence does not match and stays as it is
-    body = F.regexp_replace(text, _FENCE, "$1")
+    body = F.when(text.startswith("```"), F.regexp_replace(text, _FENCE, "$1")).otherwise(text)
 
     def block(body: Column, pattern: str) -> Column:
         return F.try_parse_json(F.regexp_replace(F.regexp_extract(body, pattern, 0), r",\s*([}\]])", "$1"))

@@ -12,6 +12,7 @@ from papertally.functions.numbers import cint, coerce_value, flt, try_double
 from papertally.functions.positions import keep_first, keep_last, top_rows
 from papertally.functions.text import blank_to_null
 from papertally.operators.quality import FieldSpec
+from papertally.session import written
 
 # Field types that can be extracted, and those that hold links.
 EXTRACTABLE_TYPES = [
@@ -33,6 +34,11 @@ def _text(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 
 
+def _is_object(v: Column) -> Column:
+    """Is a VARIANT an object? Its entries are not looked at, unlike for a whole schema."""
+    return F.try_variant_get(v, "$", "struct<>").isNotNull()
+
+
 def _shortened(rows: DataFrame, lengths: Mapping[str, int] | None) -> DataFrame:
     """Texts cut to the lengths given for their columns; without any they stay whole."""
     cuts = {c: F.substring(c, 1, n) for c, n in (lengths or {}).items() if c in rows.columns}
@@ -78,7 +84,7 @@ def shape_items(replies: DataFrame, schema: Sequence[FieldSpec]) -> DataFrame:
         "doc",
         "key",
         "idx",
-        F.schema_of_variant("item").startswith("OBJECT").alias("_object"),
+        _is_object(F.col("item")).alias("_object"),
         _text(F.col("item"), "$").alias("_bare"),
         _text(F.col("item"), "$.value").alias("_value"),
         _text(F.col("item"), "$.raw_text").alias("_raw"),
@@ -206,7 +212,7 @@ def reply_fields(replies: DataFrame, demanded: Column | None = None) -> DataFram
     none = F.expr("CAST(array() AS array<struct<pos:int,fieldname:string,item:variant>>)")
     given = F.filter(
         F.coalesce(from_list, from_map, none),
-        lambda e: (F.coalesce(e["fieldname"], F.lit("")) != "") & F.schema_of_variant(e["item"]).startswith("OBJECT"),
+        lambda e: (F.coalesce(e["fieldname"], F.lit("")) != "") & _is_object(e["item"]),
     )
     if demanded is not None:
         given = F.concat(given, demanded)
@@ -263,14 +269,14 @@ def line_rows(replies: DataFrame, tables: Sequence[str], lengths: Mapping[str, i
     table. Entries that are no objects are skipped and not counted. ``raw_json``
     is the whole entry; with ``lengths`` (such as ``FIELD_LENGTHS``) other texts are cut.
     """
-    has_tables = F.schema_of_variant(F.try_variant_get("reply", "$.tables", "variant")).startswith("OBJECT")
+    has_tables = F.try_variant_get("reply", "$.tables", "struct<>").isNotNull()
     parts = []
     for i, table in enumerate(tables):
         own = F.try_variant_get("reply", f"$.tables.{table}", "array<variant>")
         if i == 0:
             legacy = F.try_variant_get("reply", "$.lines", "array<variant>")
-            own = F.when(F.coalesce(has_tables, F.lit(False)), own).otherwise(legacy)
-        objects = F.filter(own, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+            own = F.when(has_tables, own).otherwise(legacy)
+        objects = F.filter(own, _is_object)
         parts.append(
             F.coalesce(
                 F.transform(objects, _of_table(table)),
@@ -348,50 +354,57 @@ def build_child_rows(
     (table, link_field). Cells of unknown or link columns and empty ones are
     left out; the link column takes the matched record unless the line is free
     text; without one, ``item_name`` falls back on the description.
+
+    The cells of a line are made in one pass. Where a table has an ``item_name``
+    they are written once (an action): descriptions are then read beside entries.
     """
     own = blank_to_null(F.col("table"))
     table = own if default_table is None else F.coalesce(own, default_table)
+    named = columns.groupBy("table").agg(F.coalesce(F.bool_or(F.col("column") == "item_name"), F.lit(False)).alias("_named"))
+    linked = links.groupBy("table").agg(F.collect_list(F.struct("link_field")).alias("_links"))
     live = (
         lines.where(F.coalesce("resolution_status", F.lit("")) != "Rejected")
         .withColumn("table", table)
-        .where(F.col("table").isNotNull())
-        .join(columns.select("table").distinct(), "table", "left_semi")
+        .join(named, "table")
+        .join(linked, "table", "left")
     )
-    data = F.map_entries(F.from_json("raw_json", "map<string,string>"))
-    cells = live.select("doc", "table", "row_no", F.inline(data).alias("column", "text")).where(
-        ~F.col("column").isin(LINE_NOTES) & (F.coalesce("text", F.lit("")) != "")
-    )
-    typed = (
-        cells.join(
-            columns.where(F.col("fieldtype").isin(EXTRACTABLE_TYPES) & ~F.col("fieldtype").isin(LINK_TYPES)), ["table", "column"]
-        )
-        .select("doc", "table", "row_no", "column", coerce_value(F.col("fieldtype"), F.col("text")).alias("value"))
-        .where(F.col("value").isNotNull())
+
+    def cell(part: str, column: Column, text: Column) -> Column:
+        return F.struct(F.lit(part).alias("part"), column.alias("column"), text.alias("text"))
+
+    entries = F.transform(F.map_entries(F.from_json("raw_json", "map<string,string>")), lambda e: cell("entry", e["key"], e["value"]))
+    # a line of a table without a link is left to its description
+    no_link = F.array(F.struct(F.lit(None).cast("string").alias("link_field")))
+    matched = F.when(F.coalesce("resolution_status", F.lit("")) != "Free Text", blank_to_null(F.col("matched_item")))
+    described = F.when(F.col("_named"), cell("fallback", F.lit("item_name"), F.col("description")))
+    rest = F.transform(
+        F.coalesce("_links", no_link),
+        lambda x: F.when(matched.isNotNull() & x["link_field"].isNotNull(), cell("link", x["link_field"], matched)).otherwise(described),
     )
-    linked = live.join(links, "table", "left").withColumn(
-        "_match",
-        F.when(
-            (F.coalesce("resolution_status", F.lit("")) != "Free Text") & F.col("link_field").isNotNull(),
-            blank_to_null(F.col("matched_item")),
-        ),
+    none = F.array().cast("array<struct<part:string,column:string,text:string>>")
+    given = live.select("doc", "table", "row_no", F.inline(F.concat(F.coalesce(entries, none), rest))).where(
+        (F.coalesce("text", F.lit("")) != "") & ((F.col("part") != "entry") | ~F.col("column").isin(LINE_NOTES))
     )
-    link_cells = linked.where(F.col("_match").isNotNull()).select(
-        "doc", "table", "row_no", F.col("link_field").alias("column"), F.col("_match").alias("value")
+    # only entries are typed; the others meet no column
+    typed = columns.where(F.col("fieldtype").isin(EXTRACTABLE_TYPES) & ~F.col("fieldtype").isin(LINK_TYPES)).select(
+        F.col("table").alias("_table"), F.col("column").alias("_column"), "fieldtype"
     )
-    named_tables = columns.where(F.col("column") == "item_name").select("table").distinct()
-    fallback = (
-        linked.where(F.col("_match").isNull() & (F.coalesce("description", F.lit("")) != ""))
-        .join(named_tables, "table", "left_semi")
-        .select(
-            "doc", "table", "row_no", F.lit("item_name").alias("column"), F.col("description").alias("value")
-        )
-        .join(
-            typed.where(F.col("column") == "item_name").select("doc", "table", "row_no"),
-            ["doc", "table", "row_no"],
-            "left_anti",
-        )
+    entry = F.col("part") == "entry"
+    same = (F.col("table") == F.col("_table")) & (F.when(entry, F.col("column")) == F.col("_column"))
+    value = F.when(entry, coerce_value(F.col("fieldtype"), F.col("text"))).otherwise(F.col("text"))
+    cells = (
+        given.join(typed, same, "left")
+        .where(~entry | F.col("_column").isNotNull())
+        .select("doc", "table", "row_no", "column", value.alias("value"), "part")
+        .where(F.col("value").isNotNull())
     )
-    return typed.unionByName(link_cells).unionByName(fallback)
+    out = ["doc", "table", "row_no", "column", "value"]
+    if columns.where(F.col("column") == "item_name").isEmpty():
+        return cells.select(*out)
+    cells = written(cells)
+    said = cells.where((F.col("part") == "entry") & (F.col("column") == "item_name")).select("doc", "table", "row_no")
+    fallback = cells.where(F.col("part") == "fallback").join(said, ["doc", "table", "row_no"], "left_anti")
+    return cells.where(F.col("part") != "fallback").select(*out).unionByName(fallback.select(*out))
 
 
 def apply_line_events(lines: DataFrame, events: DataFrame) -> DataFrame:

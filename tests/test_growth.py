@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from papertally.functions.boxes import BOX_TYPE
 from papertally.functions.ratio import within_edits
+from papertally.functions.replies import parse_reply
 from papertally.operators import candidates as C
+from papertally.operators import extraction as X
 from papertally.operators import locate as LO
 from papertally.operators import matching as M
 from papertally.operators import references as R
@@ -118,3 +120,55 @@ def test_documents_beyond_the_limits_of_lists_are_whole(spark, monkeypatch):
         monkeypatch.setattr(C, "SKIP_LIMIT", shared)
         rows = C.fetch_candidates(refs, target, queries).select("doc", "name", "query_ord").collect()
         assert {(r.doc, r.name): r.query_ord for r in rows} == want and len(rows) == len(want)
+
+
+LINE = "doc long, `table` string, row_no int, description string, raw_json string, resolution_status string, matched_item string"
+
+
+def test_cells_of_child_rows_are_made_once(spark):
+    """Lines may share their place or have none: an ``item_name`` given in one of
+    them keeps the description of the other away, unless the document is null."""
+    rows = [
+        (1, "items", 1, "d1", '{"qty": "2", "page": 3, "item_name": "own", "colour": "red"}', "Confirmed", None),
+        (1, "items", 1, "d2", '{"qty": "4"}', None, None),
+        (1, "items", 2, "d3", '{"qty": "", "item_name": " "}', "Confirmed", "I2"),
+        (1, "items", 3, "d4", None, "Free Text", "I3"),
+        (1, "items", 4, "d5", '{"qty": "5"}', "Rejected", "I4"),
+        (1, "other", 5, "d6", '{"qty": "6"}', "Confirmed", "I5"),
+        (2, "items", 6, "", "{}", "Confirmed", None),
+        (None, "items", 7, "d7", '{"item_name": "n"}', "Confirmed", None),
+        (1, "elsewhere", 8, "d8", '{"qty": "7"}', "Confirmed", "I8"),
+        (1, "", 9, "d9", '{"qty": "7"}', "Confirmed", "I9"),
+    ]
+    columns = [("items", "qty", "Float"), ("items", "item_name", "Data"), ("items", "item_code", "Link"), ("other", "qty", "Int")]
+    cells = X.build_child_rows(
+        spark.createDataFrame(rows, LINE),
+        spark.createDataFrame(columns, "`table` string, `column` string, fieldtype string"),
+        spark.createDataFrame([("items", "item_code")], "`table` string, link_field string"),
+    )
+    assert "from_json" not in cells._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, cells.collect()), key=str) == sorted(
+        [
+            (1, "items", 1, "qty", "2.0"),
+            (1, "items", 1, "item_name", "own"),
+            (1, "items", 1, "qty", "4.0"),
+            (1, "items", 2, "item_code", "I2"),
+            (1, "items", 3, "item_name", "d4"),
+            (1, "other", 5, "qty", "6"),
+            (None, "items", 7, "item_name", "n"),
+            (None, "items", 7, "item_name", "d7"),
+        ],
+        key=str,
+    )
+
+
+def test_objects_are_told_without_their_schema(spark):
+    texts = ['{"fields": [{"fieldname": "a", "value": 1}, 7, null, {}], "lines": [{"qty": 1}, [], "x", {}]}', '{"tables": {"items": [{"qty": 2}]}}']
+    texts += ['{"tables": [], "lines": [{"qty": 3}]}', '{"tables": null, "fields": {"a": {"value": 2}, "b": 3}}', "[]", None]
+    replies = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
+    parsed = replies.select("doc", parse_reply(F.concat(F.lit(" \t\n\x0b"), "text", F.lit("\r\n"))).alias("reply"))
+    fields, lines = X.reply_fields(parsed), X.line_rows(parsed, ["items"])
+    for df in (fields, lines):
+        assert "schema_of_variant" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.doc, r.fieldname, r.pos) for r in fields.collect()) == [(0, "a", 0), (3, "a", 0)]
+    assert sorted((r.doc, r.row_no, r.qty) for r in lines.collect()) == [(0, 1, 1.0), (0, 2, 0.0), (1, 1, 2.0), (2, 1, 3.0)]
