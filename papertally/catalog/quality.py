@@ -6,6 +6,8 @@ several ways.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,17 +60,18 @@ def receipt_items(t: Tables) -> DataFrame:
         "eway_bill": (F.when(key % 4 != 0, eway), eway, F.lit(None)),
         "series": (series, series, F.lit(None)),
     }
-    items = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("key"), v.alias("value"), r.alias("raw_text"), b.cast(B.BOX_TYPE).alias("bbox")
+    none = F.lit(None).cast("int").alias("idx")
+    orders = spread(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
+    # one pass per field: all in one make a method too long for the JVM to compile
+    fields = functools.reduce(
+        lambda a, b: a.unionByName(b),
+        [
+            orders.select(
+                key.alias("doc"), none, F.lit(k).alias("key"), v.alias("value"), r.alias("raw_text"), b.cast(B.BOX_TYPE).alias("bbox")
             )
             for k, (v, r, b) in own.items()
-        ]
+        ],
     )
-    none = F.lit(None).cast("int").alias("idx")
-    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
-    fields = spread(orders).select(key.alias("doc"), none, F.inline(items))
     bills = t.lineitem.groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("idx")).agg(F.min("l_partkey").alias("p"))
     text = F.concat(F.lit("B-"), F.col("p").cast("string"))
     boxed = F.when(F.col("p") % 3 != 0, B.canonical_box(F.lit(0.1), F.col("idx") / 10, F.lit(0.2), F.lit(0.05)))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from papertally.config import literal_map
+from papertally.config import let, literal_map
 
 _NUMERIC = r"\A([0-9]{1,2})[\s\-/.]+([0-9]{1,2})[\s\-/.]+([0-9]{2,4})\z"
 _NAMED = r"\A([0-9]{1,2})[\s\-/.]*([A-Za-z]{3,9})[\s\-/.,]*([0-9]{2,4})\z"
@@ -21,8 +23,9 @@ MONTHS = {
 def _calendar_date(year: Column, month: Column, day: Column) -> Column:
     """ISO text of a date that exists; a two-digit year is in this century."""
     full = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(F.lpad(year, 4, "0"))
-    iso = F.concat_ws("-", full, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    return F.when(full != "0000", F.try_to_date(iso, "yyyy-MM-dd").cast("string"))
+    # null if a part is null; a text of this form that is no date costs no exception
+    iso = F.concat(full, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
+    return F.when(full != "0000", iso.try_cast("date").cast("string"))
 
 
 def indian_date(c: Column) -> Column:
@@ -30,14 +33,18 @@ def indian_date(c: Column) -> Column:
     that is ISO already; null if it is none of these or does not exist."""
     text = F.trim(c)
 
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(text, pattern, group)
+    def parts(pattern: str, body: Callable[[Column, Column, Column], Column]) -> Column:
+        # the groups in one replacement; none of them holds a blank
+        found = F.split(F.regexp_replace(text, pattern, "$1 $2 $3"), " ")
+        return let(found, lambda p: body(*[F.get(p, F.lit(i)) for i in range(3)]))
+
+    def named(day: Column, name: Column, year: Column) -> Column:
+        return _calendar_date(year, F.element_at(literal_map(MONTHS), F.lower(F.substring(name, 1, 3))), day)
 
-    month = F.element_at(literal_map(MONTHS), F.lower(F.substring(part(_NAMED, 2), 1, 3)))
     return (
-        F.when(text.rlike(_NUMERIC), _calendar_date(part(_NUMERIC, 3), part(_NUMERIC, 2), part(_NUMERIC, 1)))
-        .when(text.rlike(_NAMED), _calendar_date(part(_NAMED, 3), month, part(_NAMED, 1)))
-        .when(text.rlike(_ISO), _calendar_date(part(_ISO, 1), part(_ISO, 2), part(_ISO, 3)))
+        F.when(text.rlike(_NUMERIC), parts(_NUMERIC, lambda day, month, year: _calendar_date(year, month, day)))
+        .when(text.rlike(_NAMED), parts(_NAMED, named))
+        .when(text.rlike(_ISO), parts(_ISO, _calendar_date))
     )
 
 

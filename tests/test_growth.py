@@ -7,6 +7,8 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
+from papertally.catalog.quality import receipt_items
+from papertally.catalog.registry import Tables
 from papertally.functions.boxes import BOX_TYPE
 from papertally.functions.ratio import within_edits
 from papertally.functions.replies import parse_reply
@@ -14,6 +16,7 @@ from papertally.operators import candidates as C
 from papertally.operators import extraction as X
 from papertally.operators import locate as LO
 from papertally.operators import matching as M
+from papertally.operators import quality as Q
 from papertally.operators import references as R
 
 
@@ -172,3 +175,45 @@ def test_objects_are_told_without_their_schema(spark):
         assert "schema_of_variant" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.doc, r.fieldname, r.pos) for r in fields.collect()) == [(0, "a", 0), (3, "a", 0)]
     assert sorted((r.doc, r.row_no, r.qty) for r in lines.collect()) == [(0, 1, 1.0), (0, 2, 0.0), (1, 1, 2.0), (2, 1, 3.0)]
+
+
+def _longest_methods(df) -> list[int]:
+    debug = getattr(getattr(df.sparkSession._jvm.org.apache.spark.sql.execution, "debug"), "package$")
+    parts = getattr(debug, "MODULE$").codegenStringSeq(df._jdf.queryExecution().executedPlan())
+    return [parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())]
+
+
+def test_items_are_made_by_methods_the_jvm_compiles(spark, tmp_path):
+    # the JVM leaves methods of more than 8,000 bytes uncompiled
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.sql(
+        "SELECT 1L AS o_orderkey, 2L AS o_custkey, 'O' AS o_orderstatus, 3.5D AS o_totalprice, "
+        "TIMESTAMP'1996-01-02 00:00:00' AS o_orderdate, '5-LOW' AS o_orderpriority"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT 1L AS l_orderkey, 1 AS l_linenumber, 7L AS l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    items = receipt_items(Tables(spark, str(tmp_path)))
+    assert {(r.doc, r.key, r.value) for r in items.collect()} >= {(1, "lr_number", " TND1 "), (1, "bill_numbers", "B-7")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert 0 < max(_longest_methods(items.select("*"))) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_a_box_looks_for_partners_in_few_places(spark):
+    rng = random.Random(5)
+    boxes = [(rng.random() * 0.8, 4 ** -(1 + 3 * rng.random())) for _ in range(2000)]
+    table = spark.createDataFrame(boxes, "edge double, side double")
+    places = table.select(F.explode(Q._places(F.col("edge"), F.col("side"))).alias("p")).where("p IS NOT NULL").count()
+    # two axes: this is to be squared
+    assert len(boxes) <= places < 2 * len(boxes)
+
+
+def test_missing_keys_of_a_long_schema(spark):
+    keys = [f"k{i}" for i in range(130)]
+    items = spark.createDataFrame([(1, k) for k in keys if k not in ("k0", "k61", "k62", "k129")] + [(2, "other"), (None, "k5")], "doc int, key string")
+    docs = spark.createDataFrame([(1,), (2,), (None,)], "doc int")
+    got = {(r.doc, r.key) for r in Q._lacking(docs, items, keys).collect()}
+    assert {k for d, k in got if d == 1} == {"k0", "k61", "k62", "k129"}
+    assert {k for d, k in got if d == 2} == set(keys) == {k for d, k in got if d is None}
+    assert "ObjectHashAggregate" not in Q._lacking(docs, items, keys)._jdf.queryExecution().toString()
