@@ -14,8 +14,9 @@ candidates. In small groups all pairs are named, in large ones those with one
 centre. The likeliest candidates are verified first, and most families of
 candidates become one component. What could still join components is verified in
 blocks: each document outside its family's largest component against the whole
-family, a block of shingles by a block of shingles in a task, so that a family
-costs rows by the block and not by the pair and a task's memory is bounded.
+family, a block of shingles by a block of shingles in a task, so that a task's
+memory is bounded. A block is written once and read by each task that needs it, so
+that disk grows with the sets and not with the pairs of blocks.
 Copies (equal sets) are one set throughout. Hashes have 64 bits.
 """
 
@@ -28,20 +29,26 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papertally.llm.components import components
 from papertally.llm.fingerprints import keep_rows, row_key
 from papertally.llm.registry import extended, query, table
-from papertally.session import written
+from papertally.session import shared_path, written
 
 #: A shingle in more prefixes is frequent; a key of more sets is a large group.
 FREQUENT, LARGE = 12, 4
 #: Shingles of a family that meet in one task: so many (32 MB) against so many. A
 #: family of fewer than WHOLE is not parted by size first.
 BLOCK, WHOLE = 1 << 22, 1 << 18
+#: Rows of two short columns that travel to every task, at most (150 MB).
+BROADCAST_ROWS = 1_000_000
+#: Tasks that pairs of blocks are dealt to, at most.
+TASKS = 10_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -197,6 +204,9 @@ def _pairs_within(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def whole_sets(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
     """The sets of ``wanted`` (``set_id`` and the ``row`` of one document that has
     it), read again from the texts: ``set_id``, ``hashes``."""
+    wanted = written(wanted)
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     rows = docs.select("text", row_key().alias("row")).join(wanted, "row").select("set_id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,50 +231,122 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return tested.where(100 * F.col("_both") >= percent * (F.size("_a") + F.size("_b") - F.col("_both"))).select("a", "b")
 
 
-def _block_links(percent: int):
-    """For a block of sets ``outside`` and a block of all (``inside``; a set may be
-    both): links between different labels, each of which joins labels that those
-    before it have not joined, so that a block gives fewer links than it has labels."""
-
-    def check(group: pa.Table) -> pa.Table:
-        is_out = group.column("outside").to_numpy()
-        ids, labels = group.column("set_id").to_numpy(), group.column("label").to_numpy()
-        lists = group.column("hashes").combine_chunks()
-        ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        of = lambda i: values[ends[i] : ends[i + 1]]
-        all_ = np.flatnonzero(group.column("inside").to_numpy())
-        found: list[tuple[int, int]] = []
-        joined: dict[int, int] = {}
-
-        def root(label: int) -> int:
-            while (above := joined.get(label, label)) != label:
-                joined[label] = joined.get(above, above)
-                label = above
-            return label
-
-        if len(all_):
-            sizes = np.array([len(of(i)) for i in all_])
-            hashes, owner = np.concatenate([of(i) for i in all_]), np.repeat(np.arange(len(all_)), sizes)
-            order = np.argsort(hashes, kind="stable")
-            hashes, owner = hashes[order], owner[order]
-            for i in np.flatnonzero(is_out):
-                mine = of(i)
-                a, b = np.searchsorted(hashes, mine), np.searchsorted(hashes, mine, "right")
-                lengths = b - a
-                at = np.repeat(a - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-                both = np.bincount(owner[at], minlength=len(all_))
-                linked = 100 * both >= percent * (len(mine) + sizes - both)
-                linked &= labels[all_] != labels[i]
-                reached = all_[np.flatnonzero(linked)]
-                _, first = np.unique(labels[reached], return_index=True)
-                for j in reached[first]:
-                    a_label, b_label = root(int(labels[i])), root(int(labels[j]))
-                    if a_label != b_label:
-                        joined[a_label] = b_label
-                        found.append((int(ids[i]), int(ids[j])))
-        return pa.table({
-            "a": pa.array([min(f) for f in found], pa.int64()), "b": pa.array([max(f) for f in found], pa.int64())
-        })
+class _Sets:
+    """Sets of a table (``set_id``, ``label``, ``hashes``) as flat arrays."""
+
+    def __init__(self, rows: pa.Table):
+        self.ids, self.labels = rows.column("set_id").to_numpy(), rows.column("label").to_numpy()
+        lists = rows.column("hashes").combine_chunks()
+        self.ends, self.values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        self.sizes = np.diff(self.ends)
+
+    def of(self, i: int) -> np.ndarray:
+        return self.values[self.ends[i] : self.ends[i + 1]]
+
+    def gathered(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of some sets in one array, and the place in ``which`` of each one's set."""
+        sizes = self.sizes[which]
+        owner = np.repeat(np.arange(len(which)), sizes)
+        return self.values[np.repeat(self.ends[which] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())], owner
+
+
+def _links_of(left: _Sets, out: np.ndarray, right: _Sets, all_: np.ndarray, percent: int, joined: dict[int, int]):
+    """Links of the sets ``out`` of one block to the sets ``all_`` of another (or of
+    the same), between labels that ``joined`` has not joined yet.
+
+    Of a set most shingles must lie in some other set that it meets, or it has no
+    link. What is left looks up as many of its rarest shingles as a partner can't
+    lack all of, and is compared with the sets that hold one of them."""
+    if not len(out) or not len(all_):
+        return
+
+    def root(label: int) -> int:
+        while (above := joined.get(label, label)) != label:
+            joined[label] = joined.get(above, above)
+            label = above
+        return label
+
+    hashes, owner = right.gathered(all_)
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    starts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+    distinct, counts = hashes[starts], np.diff(np.append(starts, len(hashes)))
+    needles, of = left.gathered(out)
+    order = np.argsort(needles, kind="stable")  # in order they are found much faster
+    at = np.empty(len(needles), np.int64)
+    at[order] = np.minimum(np.searchsorted(distinct, needles[order]), len(distinct) - 1)
+    often = np.where(distinct[at] == needles, counts[at], 0)
+    itself = np.zeros(len(left.ids), bool)
+    if left is right:
+        itself[all_] = True
+    met = np.bincount(of[often > itself[out][of]], minlength=len(out))
+    ends = np.concatenate(([0], np.cumsum(left.sizes[out])))
+    for k in np.flatnonzero(100 * met >= percent * left.sizes[out]):
+        i, mine, found, held = out[k], left.of(out[k]), at[ends[k] : ends[k + 1]], often[ends[k] : ends[k + 1]]
+        rare = np.argsort(held, kind="stable")[: lacking(len(mine), percent) + 1]
+        near = np.unique(_postings(owner, starts[found[rare]], held[rare]))
+        apart = right.labels[all_[near]] != left.labels[i]
+        near = near[apart & (100 * right.sizes[all_[near]] >= percent * len(mine)) & (100 * len(mine) >= percent * right.sizes[all_[near]])]
+        if not len(near):
+            continue
+        sizes = right.sizes[all_[near]]
+        if held.sum() < sizes.sum():
+            both = np.bincount(_postings(owner, starts[found], held), minlength=len(all_))[near]
+        else:
+            theirs, place = right.gathered(all_[near])
+            same = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+            both = np.bincount(place[same], minlength=len(near))
+        reached = all_[near[100 * both >= percent * (len(mine) + sizes - both)]]
+        _, first = np.unique(right.labels[reached], return_index=True)
+        for j in reached[first]:
+            a_label, b_label = root(int(left.labels[i])), root(int(right.labels[j]))
+            if a_label != b_label:
+                joined[a_label] = b_label
+                yield int(left.ids[i]), int(right.ids[j])
+
+
+def _postings(owner: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The owners in the runs that begin at ``starts``."""
+    return owner[np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
+
+
+def _block_links(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
+    """Links between different labels of two blocks (one with itself, if they are
+    the same), each of which joins labels that those before it have not joined, so
+    that blocks give fewer links than they have labels. Of two labels one is not
+    the most frequent one, so the sets of all the others are looked up."""
+    one = _Sets(left)
+    two = one if left is right else _Sets(right)
+    blocks = [one] if left is right else [one, two]
+    labels, at = np.unique(np.concatenate([x.labels for x in blocks]), return_inverse=True)
+    joined: dict[int, int] = {}
+    found: list[tuple[int, int]] = []
+    if len(labels) > 1:
+        main = labels[np.bincount(at, np.concatenate([x.sizes for x in blocks])).argmax()]
+        found += _links_of(one, np.flatnonzero(one.labels != main), two, np.arange(len(two.ids)), percent, joined)
+        if two is not one:
+            found += _links_of(two, np.flatnonzero(two.labels != main), one, np.flatnonzero(one.labels == main), percent, joined)
+    return pa.table({
+        "a": pa.array([min(f) for f in found], pa.int64()), "b": pa.array([max(f) for f in found], pa.int64())
+    })
+
+
+def _part_links(root: str, percent: int):
+    """Links of pairs of parts (``family``, ``one``, ``two``, ``p``, ``q``: two size
+    classes and a part of each), whose sets are read from the files at ``root``."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = fs.FileSystem.from_uri(root) if ":/" in root else (fs.LocalFileSystem(), root)
+
+        def part(family: int, size: int, number: int) -> pa.Table:
+            return pq.read_table(f"{base}/family={family}/size={size}/part={number}", filesystem=files, columns=["set_id", "label", "hashes"])
+
+        for batch in batches:
+            for pair in batch.to_pylist():
+                left = part(pair["family"], pair["one"], pair["p"])
+                itself = (pair["one"], pair["p"]) == (pair["two"], pair["q"])
+                right = left if itself else part(pair["family"], pair["two"], pair["q"])
+                yield from _block_links(left, right, percent).to_batches()
 
     return check
 
@@ -272,45 +354,38 @@ def _block_links(percent: int):
 def links_across(candidates: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All that still joins components: links between sets of one family with
     different labels. Candidates connect a family; what is linked already counts
-    as one, so the graph of families is small."""
+    as one, so the graph of families is small.
+
+    The sets of a large family are written once, in parts, and pairs of parts are
+    read in tasks: no set is copied for each part it meets."""
     named = _labelled(_labelled(candidates.select("a", "b"), "a", labels, "la"), "b", labels, "lb")
     apart = named.where("la <> lb").select(*_ordered_pair("la", "lb")).distinct()
     family = components(apart).select(F.col("node").alias("label"), F.col("label").alias("family"))
     size_class_of = F.floor(F.log(F.size("hashes").cast("double")) / (math.log(100 / percent) * 1.0001))
-    sized = sets.select("set_id", F.size("hashes").cast("bigint").alias("_size"), size_class_of.alias("_class"))
+    sized = sets.select("set_id", F.size("hashes").cast("bigint").alias("_size"), size_class_of.alias("size"))
     of_family = written(_labelled(sized, "set_id", labels, "label").join(family, "label"))
     # A small family meets whole. In larger ones similar sets are in the same
     # size class or in neighbouring ones, so each meets its own class and the next.
     fits = of_family.groupBy("family").agg((F.sum("_size") < WHOLE).alias("_fits"))
-    size_keys = F.when(F.col("_fits"), F.array(F.lit(-1).cast("bigint"))).otherwise(F.array("_class", F.col("_class") + 1))
-    member = of_family.join(fits, "family").select(
-        "family", "set_id", "label", "_size", F.explode(size_keys).alias("size_key")
-    )
-    counts = member.groupBy("family", "size_key", "label").agg(F.sum("_size").alias("_n"))
-    split = counts.groupBy("family", "size_key").agg(
-        F.count(F.lit(1)).alias("_labels"), F.max(F.struct("_n", "label")).alias("_main"), F.sum("_n").alias("_all")
-    ).where("_labels > 1")
-    blocks = split.select(
-        "family", "size_key", F.col("_main.label").alias("_main"),
-        F.ceil((F.col("_all") - F.col("_main._n")) / BLOCK).alias("_x"),
-        F.ceil(F.col("_all") / BLOCK).alias("_y"),
-    )
-    dealt = member.join(blocks, ["family", "size_key"]).select(
-        "family", "size_key", "set_id", "label", (F.col("label") != F.col("_main")).alias("outside"), "_x", "_y",
-        F.expr("pmod(xxhash64(set_id), _x)").alias("_at_x"), F.expr("pmod(xxhash64(set_id), _y)").alias("_at_y"),
-    )
-    # a set comes once to a block, even if it is both one outside and one of all
-    named = ["family", "size_key", "set_id", "label", "outside", "inside", "x", "y"]
-    outside = dealt.where("outside").withColumn("x", F.col("_at_x")).withColumn(
-        "y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_y") - 1))
-    ).withColumn("inside", F.col("y") == F.col("_at_y")).select(named)
-    every = dealt.withColumn("y", F.col("_at_y")).withColumn(
-        "x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_x") - 1))
-    ).where("NOT (outside AND x = _at_x)").select(
-        "family", "size_key", "set_id", "label", F.lit(False).alias("outside"), F.lit(True).alias("inside"), "x", "y"
-    )
-    met = outside.unionByName(every).join(sets, "set_id")
-    return met.groupBy("family", "size_key", "x", "y").applyInArrow(_block_links(percent), "a bigint, b bigint").distinct()
+    # written, so that joins know how small it is beside the sets
+    member = written(of_family.join(fits, "family"))
+    whole = member.where("_fits").select("family", "set_id", "label").join(sets, "set_id")
+    links = whole.groupBy("family").applyInArrow(lambda rows: _block_links(rows, rows, percent), "a bigint, b bigint")
+
+    large = member.where("NOT _fits").drop("_fits")
+    parts = large.groupBy("family", "size").agg(F.ceil(F.sum("_size") / BLOCK).alias("_parts"))
+    part = F.expr("pmod(xxhash64(set_id), _parts)").alias("part")
+    dealt = written(large.join(parts, ["family", "size"]).select("family", "size", part, "set_id", "label"))
+    root = shared_path(sets.sparkSession)
+    dealt.join(sets, "set_id").repartition("family", "size", "part").write.partitionBy("family", "size", "part").parquet(root)
+    there = dealt.select("family", "size", "part").distinct()
+    one = there.select("family", F.col("size").alias("one"), F.col("part").alias("p"))
+    two = there.select("family", F.col("size").alias("two"), F.col("part").alias("q"))
+    met = one.join(two, "family").where("two = one + 1 OR (two = one AND p <= q)")
+    pairs = written(met.select("family", "one", "two", "p", "q"))
+    # as many tasks as pairs, which are few and heavy
+    tasks = pairs.repartition(max(1, min(pairs.count(), TASKS)))
+    return links.unionByName(tasks.mapInArrow(_part_links(root, percent), "a bigint, b bigint")).distinct()
 
 
 def _sizes_fit(a: str, b: str, percent: int) -> F.Column:
