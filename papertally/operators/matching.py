@@ -55,22 +55,27 @@ def evidence(hits: DataFrame, rules: Sequence[Rule], base_score: float = BASE_SC
     scan. Of several values that fit the rule the first one in the document
     counts; for an exact rule it is the record's own text.
     """
-    row = F.struct(_rule_scores(rules).alias("score"), "value", field_of(rules, F.col("rule_ord")).alias("via"), "kind", "mode")
     exact = F.col("mode") == "exact"
     raises = (F.col("mode") == "suffix") & (_rule_scores(rules) > base_score)
-    first = F.struct("rule_ord", "pos", "value")
-    best = F.struct((-_rule_scores(rules)).alias("s"), "rule_ord", "pos", "value")
+    # what a rule says of itself is looked up afterwards and doesn't travel
+    order = F.struct(
+        (~exact).alias("late"), F.when(exact, 0.0).otherwise(-_rule_scores(rules)).alias("s"), "rule_ord", "pos", "value"
+    )
+    of_rule = lambda said: F.get(F.array(*[F.lit(x) for x in said]), F.col("rule_ord"))
     return (
-        hits.where(F.col("name").isNotNull())
+        hits.where(F.col("name").isNotNull() & (exact | raises))
         .groupBy("doc", "name")
-        .agg(
-            F.coalesce(
-                F.min_by(F.when(exact, row), F.when(exact, first)), F.min_by(F.when(raises, row), F.when(raises, best))
-            ).alias("_e")
+        .agg(F.min(order).alias("_e"))
+        .select("doc", "name", F.col("_e.value").alias("matched_value"), F.col("_e.rule_ord").alias("rule_ord"))
+        .select(
+            "doc",
+            "name",
+            _rule_scores(rules).alias("confidence"),
+            "matched_value",
+            field_of(rules, F.col("rule_ord")).alias("via"),
+            of_rule([r.source for r in rules]).alias("kind"),
+            of_rule([r.mode for r in rules]).alias("mode"),
         )
-        .where(F.col("_e").isNotNull())
-        .select("doc", "name", "_e.*")
-        .withColumnsRenamed({"score": "confidence", "value": "matched_value"})
     )
 
 

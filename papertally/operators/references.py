@@ -183,21 +183,24 @@ def resolve_references(hits: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name"))
         .where(F.col("n") == 1)
-        .select("doc", "name", F.lit(True).alias("_proven"))
+        .select("doc", "name")
         .distinct()
     )
-    marked = names.join(proven, ["doc", "name"], "left")
     record = F.when(F.col("name").isNotNull(), F.struct("name", "rule_ord"))
     exact, suffix = F.col("mode") == "exact", F.col("mode") == "suffix"
-    counted = marked.groupBy(*keys).agg(
+    # only records found by their trailing number meet the proven ones
+    by_number = names.where(suffix & F.col("name").isNotNull()).select(*keys, "name", "rule_ord")
+    paired = by_number.join(proven, ["doc", "name"]).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_paired"), F.min(F.struct("name", "rule_ord")).alias("_paired")
+    )
+    found = names.groupBy(*keys).agg(
         F.min("pos").alias("pos"),
         F.count(F.when(exact, F.col("name"))).alias("n_exact"),
         F.count(F.when(suffix, F.col("name"))).alias("n_suffix"),
-        F.count(F.when(suffix, F.col("_proven"))).alias("n_paired"),
         F.min(F.when(exact, record)).alias("_exact"),
         F.min(F.when(suffix, record)).alias("_suffix"),
-        F.min(F.when(suffix & F.col("_proven"), record)).alias("_paired"),
     )
+    counted = found.join(paired, keys, "left")
     status = (
         F.when(F.col("n_exact") == 1, "exact")
         .when(F.col("n_exact") > 1, "duplicate")

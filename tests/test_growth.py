@@ -217,3 +217,44 @@ def test_missing_keys_of_a_long_schema(spark):
     assert {k for d, k in got if d == 1} == {"k0", "k61", "k62", "k129"}
     assert {k for d, k in got if d == 2} == set(keys) == {k for d, k in got if d is None}
     assert "ObjectHashAggregate" not in Q._lacking(docs, items, keys)._jdf.queryExecution().toString()
+
+
+def test_evidence_and_resolutions_move_only_what_they_compare(spark):
+    rules = R.rules_of([
+        {"target_field": "key", "from": "account"}, {"target_field": "alias", "from": "account", "score": 0.9},
+        {"target_field": "name", "from": "tail", "match": "numeric_suffix"}, {"target_field": "code", "from": "tail", "match": "numeric_suffix", "score": 0.8},
+        {"target_field": "note", "from": "tail", "match": "numeric_suffix", "score": 0.3},
+    ])
+    rng = random.Random(7)
+    refs = {(rng.randint(1, 9), kind, f"v{n}"): n for kind in ("account", "tail") for n in range(40)}
+    rows = {(*ref, pos, None, None, None) for ref, pos in refs.items()}
+    for (doc, kind, value), pos in refs.items():
+        for name in rng.sample("abcdef", rng.randint(0, 2)):
+            ord_ = rng.choice([0, 1] if kind == "account" else [2, 3, 4])
+            rows.add((doc, kind, value, pos, rules[ord_].mode, name, ord_))
+    hits = spark.createDataFrame(list(rows), "doc int, kind string, value string, pos int, mode string, name string, rule_ord int")
+
+    scores = [r.score or (M.EXACT_SCORE if r.mode == "exact" else M.SUFFIX_SCORE) for r in rules]
+    wanted = {}
+    for doc, kind, value, pos, mode, name, o in rows:
+        if name and (mode == "exact" or scores[o] > M.BASE_SCORE):
+            order = (mode != "exact", 0 if mode == "exact" else -scores[o], o, pos, value)
+            wanted[doc, name] = min(wanted.get((doc, name), order), order)
+    # the kind of a hit is that of its rule and isn't shuffled beside it
+    found = {(r.doc, r.name): r for r in M.evidence(hits.drop("kind"), rules).collect()}
+    assert found.keys() == wanted.keys()
+    for at, (_, _, o, _, value) in wanted.items():
+        r = found[at]
+        assert (r.confidence, r.matched_value, r.via, r.kind, r.mode) == (scores[o], value, rules[o].target_field, rules[o].source, rules[o].mode)
+
+    named = {ref: {m: {n for *r, _, mode, n, _ in rows if tuple(r) == ref and mode == m} for m in ("exact", "suffix")} for ref in refs}
+    proven = {(ref[0], n) for ref, of in named.items() if len(of["exact"]) == 1 for n in of["exact"]}
+    resolved = R.resolve_references(hits, rules)
+    got = {(r.doc, r.kind, r.value): (r.n_exact, r.n_suffix, r.status, r.target, r.pos) for r in resolved.collect()}
+    for ref, of in named.items():
+        paired = {n for n in of["suffix"] if (ref[0], n) in proven}
+        exact, suffix = len(of["exact"]), len(of["suffix"])
+        status = "exact" if exact == 1 else "duplicate" if exact else "paired" if len(paired) == 1 else ["unresolved", "suffix", "ambiguous"][min(suffix, 2)]
+        chosen = {"exact": of["exact"], "paired": paired, "suffix": of["suffix"]}.get(status)
+        assert got.pop(ref) == (exact, suffix, status, min(chosen) if chosen else None, refs[ref])
+    assert not got
