@@ -258,3 +258,12 @@ def test_evidence_and_resolutions_move_only_what_they_compare(spark):
         chosen = {"exact": of["exact"], "paired": paired, "suffix": of["suffix"]}.get(status)
         assert got.pop(ref) == (exact, suffix, status, min(chosen) if chosen else None, refs[ref])
     assert not got
+
+
+def test_documents_of_a_kind_stand_together(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc"), F.when(F.xxhash64("id") % 2 == 0, "x").otherwise("y").alias("list"))
+    refs = docs.select("doc", F.lit("account").alias("kind"), F.lit("k").alias("value"), F.lit(0).alias("pos"))
+    lists = spark.createDataFrame([("x", "a", "k", 0), ("y", "b", "k", 0)], "list string, name string, key string, fetch_pos int")
+    rules = R.rules_of([{"target_field": "key", "from": "account"}])
+    rows = M.scored_by_lists(docs, lists, refs, rules).select("doc", "name").collect()
+    assert len(rows) == 300 and sum(a.name != b.name for a, b in zip(rows, rows[1:])) <= 16
