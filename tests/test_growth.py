@@ -267,3 +267,12 @@ def test_documents_of_a_kind_stand_together(spark):
     rules = R.rules_of([{"target_field": "key", "from": "account"}])
     rows = M.scored_by_lists(docs, lists, refs, rules).select("doc", "name").collect()
     assert len(rows) == 300 and sum(a.name != b.name for a, b in zip(rows, rows[1:])) <= 16
+
+
+def test_documents_of_a_list_stand_together(spark):
+    value = F.when(F.xxhash64("id") % 2 == 0, "x1").otherwise("y2")
+    refs = spark.range(300).select(F.col("id").alias("doc"), F.lit("tail").alias("kind"), value.alias("value"), F.lit(0).alias("pos"))
+    target = spark.createDataFrame([("a", "k", "zzx1zz"), ("b", "l", "zzy2zz")], "name string, key string, text string")
+    queries = [{"keys": [{"field": "key", "from": "account"}]}, {"keys": [{"field": "text", "from": "tail", "match": "contains"}]}]
+    rows = C.fetch_candidates(refs, target, queries).select("doc", "name").collect()
+    assert len(rows) == 300 and sum(a.name != b.name for a, b in zip(rows, rows[1:])) <= 16
